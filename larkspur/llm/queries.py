@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import copies, lines, mix, neardup, pack, spans, split, tokens
+from larkspur.llm import body, copies, lines, mix, neardup, pack, pii, spans, split, tokens
 from larkspur.operators.components import connected_components
 from larkspur.session import keep, read_table
 
@@ -27,6 +27,18 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapsed_records(read_table(spark, sf_dir, "canonical_memories"))
 
 
+def _private(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [read_table(spark, sf_dir, t) for t in ("canonical_memories", "cases", "name_parts")]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_items(*_private(spark, sf_dir)).select("origin", "row_key", "turn_no", "kind", "found_text").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted_texts(*_private(spark, sf_dir))
+
+
 def _near_tables(spark: SparkSession, sf_dir: str) -> list:
     return [("web_pages", read_table(spark, sf_dir, "web_pages"), "page_id", "raw_text"), ("page_parents", read_table(spark, sf_dir, "page_parents"), "parent_id", "text")]
 
@@ -44,6 +56,18 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.substring_index("node", ":", 1).alias("origin"), of("node").alias("id"), of("component").alias("group_id"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.main_body(read_table(spark, sf_dir, "web_pages"))
+
+
+def p6_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, body): the main body of each page as text."""
+    pages = read_table(spark, sf_dir, "web_pages")
+    kept = body.main_body(pages).groupBy("page_id").agg(F.array_sort(F.collect_set("line_no")).alias("nos"))
+    rows = pages.where("page_id is not null").select("page_id", F.split("raw_text", "\r?\n").alias("lines")).join(kept, "page_id")
+    return rows.select("page_id", F.array_join(F.transform("nos", lambda k: F.element_at("lines", k)), "\n").alias("body")).distinct()
+
+
 def _limits(spark: SparkSession, sf_dir: str) -> list:
     return [
         ("web_pages", read_table(spark, sf_dir, "web_pages"), "page_id", "raw_text", 6400, 300),
