@@ -39,7 +39,7 @@ _EMAIL = re.compile(
     r"|[^\W_][\w.+\-]*\s+at\s+[\w\-]+(?:\s+dot\s+[\w\-]+)+",
     re.I,
 )
-_NUMBER = re.compile(r"(?<![\w@./\-:])(?:\+\s?|\()?(?:[A-Z] |[A-Za-z]{1,2}-?)?\d(?:[\d ()/.\-]*\d)?[A-Za-z]?(?![\w@]|[./\-]\d|:\d)")
+_NUMBER = re.compile(r"(?<![\w@./\-:])(?:\+\s?|\()?(?:[A-Z] |[A-Za-z]{1,5}-?)?\d(?:[\d ()/.\-]*\d)?(?:[A-Za-z]\d{0,2})?(?![\w@]|[./\-]\d|:\d)")
 _PAIR = re.compile(rf"(?<![\w@.+\-])(?=({_W}{{2,}}(?:-{_W}{{2,}})?)(?:[^\S\n]+{_W}\.)?(,?)[^\S\n]+({_W}{{2,}}(?:-{_W}{{2,}})?)((?:[^\S\n]+{_W}\.(?![\w]))?)(?![\w@+]|\.\w))")
 _INITIAL = re.compile(rf"[^\S\n]+{_W}\.")
 _FIRST = re.compile(rf"(?<![\w./\-])(\d{{1,4}}[a-zA-Z]?)[^\S\n]+((?:{_W}[\w'’\-]*[^\S\n]+){{1,3}}?({'|'.join(STREET_ENDS)}))\b((?<=[Ss][Tt])\.|(?<=ST)\.)?{_UNIT}", re.I)
@@ -56,6 +56,10 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
     return " ".join(before[-2:]) or "^", after[0] if after else "$"
 
 
+def _label(text: str, start: int) -> str:
+    return " ".join(t.lower() for t in _TOKEN.findall(text[max(0, start - 40) : start])[-4:])
+
+
 def candidates_in(text: str) -> list[tuple]:
     """[(hint, start, end, found, a, b, shape, left, right, n)] of one text."""
     out: list[tuple] = []
@@ -73,10 +77,10 @@ def candidates_in(text: str) -> list[tuple]:
         if digits >= 6 or digits >= 5 and found[0].isalpha():
             if free(start, end):
                 shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "0", found))
-                out.append(("number", start, end, found, None, None, shape, *_around(text, start, end), 1))
+                out.append(("number", start, end, found, _label(text, start), None, shape, *_around(text, start, end), 1))
     for m in _FIRST.finditer(text):
         if free(*m.span()):
-            name = m.group(2).lower()
+            name = m.group(2).lower().removesuffix(m.group(3).lower())
             cased = all(w[0].isupper() for w in m.group(2).split())
             out.append(("place", m.start(), m.end(), m.group(), " ".join(name.split()), "typed" if cased else "loose", "first", *_around(text, *m.span()), 1))
     for m in _LAST.finditer(text):
@@ -140,10 +144,10 @@ def score_numbers(numbers: DataFrame, rounds: int = 3) -> DataFrame:
     """(shape, left, right, kind) of the number patterns that are phone or identity. Three classes spread between
     patterns and the instances in them; seeds keep their class."""
     kinds = ("phone", "identity", "thing")
-    rows = numbers.groupBy("shape", "left", "right").agg(F.count("*").alias("n"))
-    both = F.concat_ws(" ", "left", "right")
-    seed = F.when(_telling(both, THING_WORDS), "thing").when(_telling(F.col("left"), IDENTITY_WORDS), "identity").when(_telling(F.col("left"), PHONE_WORDS), "phone")
-    rows = rows.withColumn("seed", seed).withColumns({k: F.coalesce((F.col("seed") == k).cast("double"), F.lit(0.0)) for k in kinds})
+    label = F.col("a")
+    seed = F.when(_telling(label, IDENTITY_WORDS), "identity").when(_telling(F.concat_ws(" ", label, "right"), THING_WORDS), "thing").when(_telling(label, PHONE_WORDS), "phone")
+    rows = numbers.groupBy("shape", "left", "right", seed.alias("seed")).agg(F.count("*").alias("n"))
+    rows = rows.withColumns({k: F.coalesce((F.col("seed") == k).cast("double"), F.lit(0.0)) for k in kinds})
     rows = keep(rows, "p4-numbers")
     for _ in range(rounds):
         scored = rows
@@ -154,13 +158,15 @@ def score_numbers(numbers: DataFrame, rounds: int = 3) -> DataFrame:
         rows = keep(scored.withColumns(spread).select("shape", "left", "right", "n", "seed", *kinds), "p4-numbers")
     # the shape has the last word over a seed word nearby: a few of its instances may stand behind a word of another class
     shapes = rows.groupBy("shape").agg(*(((F.sum(F.col(k) * F.col("n")) / F.sum("n"))).alias(f"s_{k}") for k in kinds))
+    rows = rows.groupBy("shape", "left", "right").agg(*((F.sum(F.col(k) * F.col("n")) / F.sum("n")).alias(k) for k in kinds))
     all_ = rows.join(shapes, "shape").withColumns({k: F.col(k) * 0.4 + F.col(f"s_{k}") * 0.6 for k in kinds})
     kind = F.when((F.col("phone") > F.col("thing")) & (F.col("phone") >= F.col("identity")) & (F.col("phone") >= 0.25), "phone").when((F.col("identity") > F.col("thing")) & (F.col("identity") >= 0.25), "identity")
-    return all_.select("shape", "left", "right", kind.alias("kind")).where("kind is not null")
+    return all_.select("shape", "left", "right", kind.alias("kind")).where("kind is not null").distinct()
 
 
-def learn_parts(pairs: DataFrame, words: DataFrame, seeds: DataFrame, rounds: int = 3) -> DataFrame:
-    """(part, role) of known and learned name parts; role is given or family.
+def learn_parts(pairs: DataFrame, words: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((part, role) of known and learned name parts, pairs of one known part in patterns worth enough); role is given or
+    family.
 
     A pattern (words before, word after) is worth the share of its candidates with one known part whose other part is
     known too. A new part must stand beside known partners, in patterns worth enough, for a fair share of all its
@@ -181,18 +187,22 @@ def learn_parts(pairs: DataFrame, words: DataFrame, seeds: DataFrame, rounds: in
         new = new.groupBy("part", "role").agg(F.sum(F.col("n") * F.col("worth")).alias("evidence"), F.count_distinct("partner").alias("partners"))
         new = new.join(words, new["part"] == words["word"]).where("evidence >= 0.2 * total and partners >= 2").select("part", "role")
         known = keep(known.unionByName(new).distinct(), "p4-parts")
-    return known
+    last = scored.where("worth >= 0.3").select("a", F.col("b").alias("b1"), "left", "right").distinct()
+    return known, keep(last, "p4-beside")
 
 
-def found_names(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+def found_names(pairs: DataFrame, parts: DataFrame, beside: DataFrame) -> DataFrame:
+    """(origin, row_key, turn_no, start, end, found): pairs of known parts in any letter case, and cased pairs of one known
+    part in a pattern worth enough."""
     g = parts.where("role = 'given'").select(F.col("part").alias("a"), F.lit(1).alias("g"))
     f = parts.where("role = 'family'").select("part", F.lit(1).alias("f"))
     rows = pairs.withColumns({"b1": F.split("b", "-")[0], "b2": F.coalesce(F.get(F.split("b", "-"), F.lit(1)), F.split("b", "-")[0])})
     straight = rows.join(g, "a").join(f.select(F.col("part").alias("b1")), "b1", "left_semi").join(f.select(F.col("part").alias("b2")), "b2", "left_semi")
+    near = rows.where("shape in ('plain', 'comma')").join(beside, ["a", "b1", "left", "right"], "left_semi")
     # family first without a comma: the roles change places
     turned = rows.where("shape in ('plain', 'plain-loose')").join(f.select(F.col("part").alias("a")), "a", "left_semi").join(g.select(F.col("a").alias("b")), "b", "left_semi")
     cols = ["origin", "row_key", "turn_no", "start", "end", "found", "shape", "n"]
-    hits = keep(straight.select(*cols).unionByName(turned.select(*cols).withColumn("shape", F.lit("turned"))).distinct(), "p4-names")
+    hits = keep(straight.select(*cols).unionByName(near.select(*cols)).unionByName(turned.select(*cols).withColumn("shape", F.lit("turned"))).distinct(), "p4-names")
     plain = hits.where("shape in ('plain', 'plain-loose')")
     # "A B, C D" are two names: a reading across the comma yields to a plain one that holds its first word
     second = plain.select("origin", "row_key", "turn_no", F.col("n").alias("start"))
@@ -225,8 +235,8 @@ def found_items(memories: DataFrame, cases: DataFrame, name_parts: DataFrame) ->
     numbers = of("number").join(kinds, ["shape", "left", "right"]).select(*cols, "kind")
     words = keep(of("word").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("total")), "p4-words")
     seeds = name_parts.where("name_part is not null and part_kind in ('given', 'family')").select(F.lower(F.trim("name_part")).alias("part"), F.col("part_kind").alias("role")).distinct()
-    parts = learn_parts(of("name"), words, seeds)
-    names = found_names(of("name"), parts).withColumn("kind", F.lit("name"))
+    parts, beside = learn_parts(of("name"), words, seeds)
+    names = found_names(of("name"), parts, beside).withColumn("kind", F.lit("name"))
     places = found_places(of("place")).withColumn("kind", F.lit("address"))
     mails = of("email").select(*cols).withColumn("kind", F.lit("email"))
     hits = numbers.select(*cols, "kind").unionByName(names.select(*cols, "kind")).unionByName(places.select(*cols, "kind")).unionByName(mails.select(*cols, "kind"))
