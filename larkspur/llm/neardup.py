@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from larkspur.session import keep
 
-EXPECTED = 8.0
+EXPECTED = 10.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = r"[^\W_]+"
 
@@ -70,22 +70,30 @@ def band_of(n: int) -> int:
     return n.bit_length() - 1
 
 
-def blocks_of(band: int, t: float) -> int:
-    """Blocks of a band, for its largest pair: sizes 2^(band+1) and that over t, clipped to the sizes that match."""
+def plan_of(band: int, t: float) -> tuple[int, int]:
+    """(blocks, least runs a block must hold to be a key) of a band, for its largest pair. A block of a single run would
+    make every common phrase a meeting point, so larger texts use fuller blocks."""
     top = 2 ** (band + 1)
     differing = 2 * top * (1 - t) / (1 + t)
     most = max(2, int(differing) + 1)  # pigeonhole: never more than this is needed
-    k = max(2, int(differing / 4))
-    while k < most and k * math.exp(-differing / k) * (1 - math.exp(-top / k)) < EXPECTED:
-        k += max(1, k // 24)
-    return max(2, min(k, most) if top > 32 else most)
-
-
-def parity_keys(h: np.ndarray, band: int, k: int, salt: int) -> np.ndarray:
-    """One key for each block that holds a run: a hash of band, block and the XOR of the block's hashes."""
+    if top <= 32:
+        return most, 1
+    for least in (3, 2, 1):
+        for k in range(max(4, int(differing / 4)), most + 1, max(1, most // 48)):
+            load = (2 * top - differing) / 2 / k
+            fuller = 1 - math.exp(-load) * sum(load**i / math.factorial(i) for i in range(least))
+            if k * math.exp(-differing / k) * fuller >= EXPECTED:
+                return k, least
+    return most, 1
+
+
+def parity_keys(h: np.ndarray, band: int, k: int, least: int, salt: int) -> np.ndarray:
+    """One key for each block that holds ``least`` runs or more: a hash of band, block and the XOR of the block's hashes."""
     block = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # h is sorted, so blocks are contiguous
     starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     parity = np.bitwise_xor.reduceat(h, starts)
+    full = np.diff(np.append(starts, len(h))) >= least
+    parity, starts = parity[full], starts[full]
     with np.errstate(over="ignore"):
         return mix64(parity * MIX + block[starts] * np.uint64(1_000_003) + np.uint64(band * 131 + salt)).view(np.int64)
 
@@ -111,8 +119,8 @@ def _keys(t: float, run: int):
                 low = band_of(max(1, math.ceil(len(h) * t - 1e-9)))
                 for band in range(low, own + 1):
                     if band not in blocks:
-                        blocks[band] = blocks_of(band, t)
-                    k = parity_keys(h, band, blocks[band], salt)
+                        blocks[band] = plan_of(band, t)
+                    k = parity_keys(h, band, *blocks[band], salt)
                     fps.append(fp)
                     sizes.append(len(h) if band == own else -len(h))
                     keys.append(k)
@@ -166,7 +174,9 @@ def candidate_pairs(texts: DataFrame, t: float, run: int) -> DataFrame:
     own, all_ = met.where("size > 0"), met.select("key", F.col("fp").alias("fp_b"), F.col("size").alias("size_b"))
     pairs = own.join(all_, "key").where((F.col("fp") != F.col("fp_b")) & ((F.col("size_b") < 0) | (F.col("fp") < F.col("fp_b"))))
     x, y = F.col("size"), F.abs("size_b")
-    return pairs.where(F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9).select(F.least("fp", "fp_b").alias("fp_a"), F.greatest("fp", "fp_b").alias("fp_b")).distinct()
+    pairs = pairs.where(F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9).select(F.least("fp", "fp_b").alias("fp_a"), F.greatest("fp", "fp_b").alias("fp_b"), F.least(x, y).alias("size"))
+    # one block may agree by chance; of ten expected, two do but for a chance of about 11 exp(-10)
+    return pairs.groupBy("fp_a", "fp_b").agg(F.count("*").alias("agree"), F.min("size").alias("size")).where("agree >= 2 or size < 32").select("fp_a", "fp_b")
 
 
 def similar_texts(texts: DataFrame, t: float = 0.7, run: int = 3) -> DataFrame:
