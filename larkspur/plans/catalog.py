@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from larkspur.operators.sessions import incremental_sessions
-from larkspur.session import read_table
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental_sessions(read_table(spark, sf_dir, "runs")).select("session_key", "start_us", "end_us")
-
-
-def p1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental_sessions(read_table(spark, sf_dir, "runs"))
+from larkspur.plans import search  # noqa: F401  each module registers its queries
+from larkspur.plans import sessions  # noqa: F401
+from larkspur.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_sessions": p1_sessions}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
