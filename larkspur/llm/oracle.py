@@ -1,5 +1,40 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
+from __future__ import annotations
+
+_SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_FOLD = "replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+_WORDS = "array_to_string(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+'), ' ')"
+_SITE = r"regexp_replace(regexp_extract(lower(trim(final_url)), '^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@]*)', 1), '^www\.', '')"
+
+_P2 = f"""
+WITH pages AS (SELECT DISTINCT page_id, {_SITE} AS site, raw_text FROM web_pages WHERE page_id IS NOT NULL AND raw_text <> ''),
+raw AS (SELECT site, page_id, unnest(string_split(raw_text, chr(10))) AS line, unnest(range(1, len(string_split(raw_text, chr(10))) + 1)) AS line_no FROM pages WHERE site <> ''),
+lines AS (SELECT site, page_id, line_no, trim(regexp_replace({_FOLD.format(x="line")}, '{_SPACE}+', ' ', 'g')) AS line FROM raw),
+counted AS (SELECT site, line, count(DISTINCT page_id) AS n FROM lines WHERE length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) >= 3 GROUP BY 1, 2),
+sizes AS (SELECT site, count(DISTINCT page_id) AS pages FROM pages GROUP BY 1)
+SELECT DISTINCT page_id, CAST(line_no AS INT) AS line_no FROM lines JOIN counted USING (site, line) JOIN sizes USING (site) WHERE n >= 6 AND 4 * n >= pages
+"""
+
+_P3 = f"""
+WITH r AS (SELECT DISTINCT record_id, main_class, {_FOLD.format(x="coalesce(sub_class, '')")} AS sub, {_FOLD.format(x="text")} AS t FROM canonical_memories
+           WHERE record_id IS NOT NULL AND trim(main_class) <> '' AND regexp_matches(text, '[^\\s\\x{{a0}}\\x{{2009}}]')),
+k AS (SELECT record_id, main_class, {_WORDS.format(x="sub")} AS sub,
+      array_to_string(list_sort(list_filter(list_transform(string_split_regex(t, '[;|]'), lambda p: {_WORDS.format(x="p")}), lambda p: p <> '')), ';') AS t FROM r),
+g AS (SELECT *, min(record_id) OVER (PARTITION BY main_class, sub, t) AS kept_id FROM k)
+"""
+
+_P7 = """
+SELECT DISTINCT 'web_pages' AS origin, page_id AS item_id FROM web_pages WHERE length(raw_text) > 6400 AND page_id IS NOT NULL
+UNION ALL SELECT DISTINCT 'page_parents', parent_id FROM page_parents WHERE length(text) > 3200 AND parent_id IS NOT NULL
+UNION ALL SELECT DISTINCT 'parent_children', child_id FROM parent_children WHERE length(text) > 800 AND child_id IS NOT NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": _P2,
+        "p3_found": _P3 + "SELECT kept_id, record_id FROM g WHERE record_id <> kept_id",
+        "p3_collapsed": _P3 + "SELECT kept_id, count(*) AS copies FROM g GROUP BY 1",
+        "p7_found": _P7,
+    }
