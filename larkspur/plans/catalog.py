@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import search  # noqa: F401  each module registers its queries
-from larkspur.plans import sessions  # noqa: F401
+from larkspur.plans import evaluation, memory, search, sessions  # noqa: F401  each module registers its queries
 from larkspur.plans.registry import QUERIES, SQL
 
 
