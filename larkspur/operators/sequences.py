@@ -16,3 +16,72 @@ def running_sum(rows: DataFrame, group: list[str], order: str, value: str, name:
     base = sums.select(*group, "_block", before.alias("_before"))
     within = F.sum(value).over(Window.partitionBy(*group, "_block").orderBy(order))
     return blocked.withColumn("_within", within).join(base, [*group, "_block"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_within", "_before")
+
+
+def running_max(rows: DataFrame, group: list[str], order: str, value: str, name: str, width: int = 1000) -> DataFrame:
+    """Inclusive running maximum of ``value`` along the integer column ``order``, in blocks like ``running_sum``."""
+    blocked = rows.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
+    tops = blocked.groupBy(*group, "_block").agg(F.max(value).alias("_top"))
+    before = F.max("_top").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    base = tops.select(*group, "_block", before.alias("_before"))
+    within = F.max(value).over(Window.partitionBy(*group, "_block").orderBy(order))
+    return blocked.withColumn("_within", within).join(base, [*group, "_block"]).withColumn(name, F.greatest("_before", "_within")).drop("_block", "_within", "_before")
+
+
+def last_n(rows: DataFrame, group: list[str], order: list[str], n: int, salts: int = 16) -> DataFrame:
+    """The last n rows of each group with ``nth`` from the newest, 1. Each of ``salts`` parts of a group gives its own
+    last n first, so a hot group is cut down before it meets in one task."""
+    newest = [F.col(c).desc() for c in order]
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    part = rows.withColumn("_salt", salt).withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*newest))).where(F.col("_r") <= n)
+    return part.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*newest))).where(F.col("nth") <= n).drop("_salt", "_r")
+
+
+def islands(rows: DataFrame, group: list[str], order: str, same: list[str]) -> DataFrame:
+    """``island``: the number, within the group, of the stretch of neighbouring rows that are equal in ``same``."""
+    w = Window.partitionBy(*group).orderBy(order)
+    changed = F.lit(False)
+    for c in same:
+        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
+    start = F.when(F.row_number().over(w) == 1, F.lit(1)).otherwise(changed.cast("int"))
+    return rows.withColumn("_start", start).withColumn("island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+
+
+def consolidation_boundary(turns: DataFrame, key: str, remove: int) -> DataFrame:
+    """(key, boundary, removed) of turns (key, turn, role, cost): the first later ``user`` turn by which at least
+    ``remove`` has gone, else the last ``user`` turn but the first row; no such turn gives no row."""
+    w = Window.partitionBy(key).orderBy("turn")
+    r = turns.withColumns({"removed": F.coalesce(F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "nth": F.row_number().over(w)})
+    b = r.where("nth > 1 and role = 'user'")
+    enough = F.min(F.when(F.col("removed") >= remove, F.struct("turn", "removed")))
+    return b.groupBy(key).agg(F.coalesce(enough, F.max(F.struct("turn", "removed"))).alias("x")).select(key, F.col("x.turn").alias("boundary"), F.col("x.removed").alias("removed"))
+
+
+def history_suffix(turns: DataFrame, key: str, last: int) -> DataFrame:
+    """The last ``last`` turns (all for 0) from their first ``user`` turn on, if there is one."""
+    newest = Window.partitionBy(key).orderBy(F.col("turn").desc())
+    cut = turns if last == 0 else turns.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= last).drop("_n")
+    first = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy(key))
+    return cut.withColumn("_first", first).where("_first is null or turn >= _first").drop("_first")
+
+
+def retain_suffix(turns: DataFrame, key: str, last: int) -> DataFrame:
+    """The last ``last`` turns, stretched back to the ``user`` turn before the cut (to the beginning without one)."""
+    n = F.count("*").over(Window.partitionBy(key))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("turn"))
+    r = turns.withColumns({"_n": n, "_nth": nth}).withColumn("_cut", F.greatest(F.col("_n") - last + 1, F.lit(1)))
+    back = F.max(F.when((F.col("role") == "user") & (F.col("_nth") <= F.col("_cut")), F.col("_nth"))).over(Window.partitionBy(key))
+    return r.withColumn("_from", F.when(F.col("_n") <= last, 1).otherwise(F.coalesce(back, F.lit(1)))).where("_nth >= _from").drop("_n", "_nth", "_cut", "_from")
+
+
+def legal_start(messages: list[dict]) -> int:
+    """The first place from which every tool result has its call: past the last result whose call is missing. Calls seen
+    before such a result no longer count."""
+    declared: set[str] = set()
+    start = 0
+    for k, m in enumerate(messages):
+        if m.get("role") == "assistant":
+            declared |= {str(c["id"]) for c in m.get("tool_calls") or [] if c.get("id")}
+        elif m.get("role") == "tool" and m.get("tool_call_id") and str(m["tool_call_id"]) not in declared:
+            start, declared = k + 1, set()
+    return start
