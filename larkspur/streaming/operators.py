@@ -1,0 +1,169 @@
+"""Structured Streaming operators over message streams.
+
+Events are rows of (key string, id string, ts timestamp, body string). Time-bounded forms use watermarks; count-bounded
+and timer forms keep state per key with ``transformWithStateInPandas``, which needs the RocksDB state store.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def dedup_within(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each (key, id) once within the watermark's delay."""
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["key", "id"])
+
+
+class _LastIds(StatefulProcessor):
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "ids string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        ids = json.loads(self.seen.get()[0]) if self.seen.exists() else []
+        known, out = set(ids), []
+        for pdf in rows:
+            for row in pdf.itertuples(index=False):
+                if row.id not in known:
+                    ids.append(row.id)
+                    known.add(row.id)
+                    if len(ids) > self.cap:  # first in, first out
+                        known.discard(ids.pop(0))
+                    out.append((row.key, row.id, row.body))
+        self.seen.update((json.dumps(ids),))
+        yield pd.DataFrame(out, columns=["key", "id", "body"])
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_last(events: DataFrame, cap: int = 1000) -> DataFrame:
+    """(key, id, body): an id is dropped if it is among the last ``cap`` distinct ids of its key."""
+    return events.groupBy("key").transformWithStateInPandas(_LastIds(cap), "key string, id string, body string", "append", "none")
+
+
+class _Buffer(StatefulProcessor):
+    """Collects the bodies of a key. ``from_first``: the timer runs from the first entry, else each entry restarts it."""
+
+    def __init__(self, wait_ms: int, from_first: bool, mention: str | None):
+        self.wait_ms, self.from_first, self.mention = wait_ms, from_first, mention
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "bodies string")
+
+    def _flush(self, key: str, bodies: list[str]) -> pd.DataFrame:
+        self.held.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        return pd.DataFrame([(key, "\n".join(b for b in bodies if b), len(bodies))], columns=["key", "body", "entries"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        bodies = json.loads(self.held.get()[0]) if self.held.exists() else []
+        started = bool(bodies)
+        for pdf in rows:
+            for body in pdf.body:
+                bodies.append(body or "")
+                if self.mention and self.mention in (body or ""):
+                    yield self._flush(key[0], bodies)
+                    bodies, started = [], False
+        if bodies:
+            if not (started and self.from_first):
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.wait_ms)
+            self.held.update((json.dumps(bodies),))
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            yield self._flush(key[0], json.loads(self.held.get()[0]))
+
+    def close(self) -> None:
+        pass
+
+
+def debounce(events: DataFrame, quiet_ms: int = 120_000, mention: str | None = None) -> DataFrame:
+    """(key, body, entries): entries of a key merged once none has come for ``quiet_ms``; one with the mention joins the
+    buffer and flushes it at once. Timers fire with the next micro-batch after they are due."""
+    return events.groupBy("key").transformWithStateInPandas(_Buffer(quiet_ms, False, mention), "key string, body string, entries int", "append", "processingTime")
+
+
+def group_buffer(events: DataFrame, wait_ms: int = 600) -> DataFrame:
+    """As ``debounce``, with the wait counted from the first entry."""
+    return events.groupBy("key").transformWithStateInPandas(_Buffer(wait_ms, True, None), "key string, body string, entries int", "append", "processingTime")
+
+
+def quiet_windows(events: DataFrame, gap: str = "2 minutes", delay: str = "10 minutes") -> DataFrame:
+    """The event-time form of ``debounce``: session windows with a watermark, bodies in the order of their times."""
+    w = events.withWatermark("ts", delay).groupBy("key", F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "body"))).alias("l"))
+    return w.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.array_join(F.col("l.body"), "\n").alias("body"), F.size("l").alias("entries"))
+
+
+class _Throttle(StatefulProcessor):
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for row in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: (r.ts, r.id)):
+            ms = int(row.ts.timestamp() * 1000)
+            if last is None or ms - last >= self.gap_ms:
+                last = ms
+                out.append((row.key, row.id, row.body))
+        if last is not None:
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=["key", "id", "body"])
+
+    def close(self) -> None:
+        pass
+
+
+def throttle(events: DataFrame, gap_ms: int = 500) -> DataFrame:
+    """Entries of a key at least ``gap_ms`` after the last one let through."""
+    return events.groupBy("key").transformWithStateInPandas(_Throttle(gap_ms), "key string, id string, body string", "append", "none")
+
+
+def coalesce_deltas(messages: list[dict]) -> list[dict]:
+    """Messages of one micro-batch in order, with neighbouring deltas of one target merged. A delta marked as the end is
+    merged and ends its stream; an end that is no delta, another target or another kind of message is a boundary."""
+    out: list[dict] = []
+    for m in messages:
+        last = out[-1] if out else None
+        joins = last is not None and last.get("delta") and m.get("delta") and not last.get("end") and (last["channel"], last["chat_id"]) == (m["channel"], m["chat_id"])
+        if joins:
+            last["content"] += m["content"]
+            last["end"] = bool(m.get("end"))
+        else:
+            out.append(dict(m))
+    return out
+
+
+def strip_think_stream(buffer: str) -> str:
+    """What of a growing answer may be shown: closed thoughts are cut out, an open one and all behind it is held back."""
+    import re
+
+    return re.sub(r"(?s)<think>.*$", "", re.sub(r"(?s)<think>.*?</think>", "", buffer)).strip()
+
+
+def ingest(events: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str):
+    """Start a stream whose micro-batches go through ``upsert(batch, epoch)``; an epoch that is run again must change
+    nothing, as upserts by key do."""
+    return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()
