@@ -33,7 +33,7 @@ class _LastIds(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "ids string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ids = json.loads(self.seen.get()[0]) if self.seen.exists() else []
         known, out = set(ids), []
         for pdf in rows:
@@ -72,7 +72,7 @@ class _Buffer(StatefulProcessor):
             self.handle.deleteTimer(t)
         return pd.DataFrame([(key, "\n".join(b for b in bodies if b), len(bodies))], columns=["key", "body", "entries"])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         bodies = json.loads(self.held.get()[0]) if self.held.exists() else []
         started = bool(bodies)
         for pdf in rows:
@@ -85,10 +85,10 @@ class _Buffer(StatefulProcessor):
             if not (started and self.from_first):
                 for t in list(self.handle.listTimers()):
                     self.handle.deleteTimer(t)
-                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.wait_ms)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
             self.held.update((json.dumps(bodies),))
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.held.exists():
             yield self._flush(key[0], json.loads(self.held.get()[0]))
 
@@ -120,7 +120,7 @@ class _Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         out = []
         for row in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: (r.ts, r.id)):
