@@ -9,8 +9,8 @@ WORD = r"[\p{L}\p{N}]+"
 
 
 def fold(text: Column) -> Column:
-    """Without regard to case, as full case folding has it (upper case first, so that sharp s and its pair agree)."""
-    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+    """Without regard to case: lower case, with sharp s as its pair and final sigma as sigma, as case folding has it."""
+    return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def words(text: Column) -> Column:
