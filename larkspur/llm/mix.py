@@ -67,7 +67,7 @@ def mix_sources(counts: DataFrame, targets: DataFrame, total: float | None = Non
     the token sums of its sources are all that the driver sees. Documents of unlisted or null sources are not used.
     """
     spark = counts.sparkSession
-    want = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source is not null and target_share is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.coalesce(F.min("max_repeats"), F.lit(1)).alias("max_repeats")).limit(100_000).collect()}
+    want = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source is not null and target_share is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.coalesce(F.min("max_repeats"), F.lit(1)).alias("max_repeats")).collect()}
     listed = spark.createDataFrame([(k,) for k in want], "source string")
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BLOCKS)).cast("int")
     rows = keep(counts.where("n_tokens > 0").join(F.broadcast(listed), "source", "left_semi").select("doc_id", "source", "n_tokens", block.alias("block")), "p9-rows")

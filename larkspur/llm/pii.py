@@ -28,6 +28,7 @@ THING_WORDS = ["order", "ticket", "inc", "version", "port", "budget", "build", "
 STREET_ENDS = ["road", "rd", "street", "st", "avenue", "ave", "lane", "drive", "close", "court", "way", "place", "square", "terrace", "crescent", "boulevard", "blvd"]
 STREET_STARTS = ["calle", "avenida", "plaza", "paseo", "camino", "carrera", "rue", "chemin", "avenue", "boulevard", "place", "allée", "impasse", "quai", "via"]
 STREET_TAILS = ["straße", "strasse", "str", "weg", "allee", "platz", "gasse", "ring", "damm", "ufer"]
+PARTICLES = ["de", "del", "des", "du", "la", "las", "los", "le", "les", "el", "al", "der", "den", "dem", "di"]
 UNIT_WORDS = ["unit", "flat", "apt", "apartment", "suite", "wohnung", "piso", "appartement", "room"]
 
 _W = r"[^\W\d_]"
@@ -35,7 +36,7 @@ _UNIT = rf"(?:,\s*(?:{'|'.join(UNIT_WORDS)})\.?\s*\d+[a-z]?\b|,?\s+#\d+)?"
 _TOKEN = re.compile(rf"{_W}+|\d+|[^\w\s]")
 _EMAIL = re.compile(
     r"[^\W_][\w.+\-]*@[^\W_][\w\-]*(?:\.[\w\-]+)*\.[^\W\d_]{2,}(?![\w@])"
-    r"|[^\W_][\w.+\-]*\s*(?:\[at\]|\(at\)|\{at\}|<at>)\s*[\w\-]+(?:\s*(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\.)\s*[^\W_][\w\-]*|\s+dot\s+[^\W_][\w\-]*)+"
+    r"|[^\W_][\w.+\-]*\s*(?:\[at\]|\(at\)|\{at\}|<at>)\s*[\w\-]+(?:\s*(?:\[dot\]|\(dot\)|\{dot\}|<dot>)\s*[^\W_][\w\-]*|\.[^\W_][\w\-]*|\s+dot\s+[^\W_][\w\-]*)+"
     r"|[^\W_][\w.+\-]*\s+at\s+[\w\-]+(?:\s+dot\s+[\w\-]+)+",
     re.I,
 )
@@ -43,7 +44,7 @@ _NUMBER = re.compile(r"(?<![\w@./\-:])(?:\+\s?|\()?(?:[A-Z] |[A-Za-z]{1,5}-?)?\d
 _PAIR = re.compile(rf"(?<![\w@.+\-])(?=({_W}{{2,}}(?:-{_W}{{2,}})?)(?:[^\S\n]+{_W}\.)?(,?)[^\S\n]+({_W}{{2,}}(?:-{_W}{{2,}})?)((?:[^\S\n]+{_W}\.(?![\w]))?)(?![\w@+]|\.\w))")
 _INITIAL = re.compile(rf"[^\S\n]+{_W}\.")
 _FIRST = re.compile(rf"(?<![\w./\-])(\d{{1,4}}[a-zA-Z]?)[^\S\n]+((?:{_W}[\w'’\-]*[^\S\n]+){{1,3}}?({'|'.join(STREET_ENDS)}))\b((?<=[Ss][Tt])\.|(?<=ST)\.)?{_UNIT}", re.I)
-_STREET = rf"(?:(?:{'|'.join(STREET_STARTS)})[^\S\n]+(?:{_W}[\w'’\-]*[^\S\n]+){{0,2}}{_W}[\w'’\-]*|{_W}[\w\-]*(?:{'|'.join(STREET_TAILS)})\.?|{_W}[\w'’\-]*[^\S\n]+{_W}[\w'’\-]*|{_W}[\w'’\-]+)"
+_STREET = rf"(?:(?:{'|'.join(STREET_STARTS)})[^\S\n]+(?:(?:{'|'.join(PARTICLES)})[^\S\n]+){{0,2}}{_W}[\w'’\-]*|{_W}[\w\-]*(?:{'|'.join(STREET_TAILS)})\.?|{_W}[\w'’\-]*[^\S\n]+{_W}[\w'’\-]*|{_W}[\w'’\-]+)"
 _LAST = re.compile(rf"(?<![\w./\-])(?=({_STREET})(,?[^\S\n]+)(\d{{1,4}}[a-zA-Z]?)(?![\w.:/\-]*\w)({_UNIT}))", re.I)
 _TYPED = re.compile(rf"(?:{'|'.join(STREET_STARTS)})\s|\S*(?:{'|'.join(STREET_TAILS)})\.?$", re.I)
 
@@ -88,7 +89,7 @@ def candidates_in(text: str) -> list[tuple]:
         if not free(start, end):
             continue
         name = " ".join(m.group(1).lower().rstrip(".").split())
-        if _TYPED.match(m.group(1)) and (m.group(1)[0].isupper() or m.group(1).split()[-1][0].isupper()):
+        if _TYPED.match(m.group(1)) and m.group(1).split()[-1][0].isupper():
             b = "typed"
         elif _TYPED.match(m.group(1)):
             b = "loose"
@@ -198,7 +199,11 @@ def found_names(pairs: DataFrame, parts: DataFrame, beside: DataFrame) -> DataFr
     f = parts.where("role = 'family'").select("part", F.lit(1).alias("f"))
     rows = pairs.withColumns({"b1": F.split("b", "-")[0], "b2": F.coalesce(F.get(F.split("b", "-"), F.lit(1)), F.split("b", "-")[0])})
     straight = rows.join(g, "a").join(f.select(F.col("part").alias("b1")), "b1", "left_semi").join(f.select(F.col("part").alias("b2")), "b2", "left_semi")
+    # a pair of one known part yields to a reading of known parts that shares a word with it
+    words = straight.select("origin", "row_key", "turn_no", F.explode(F.array("start", "n")).alias("word"))
     near = rows.where("shape in ('plain', 'comma')").join(beside, ["a", "b1", "left", "right"], "left_semi")
+    for c in ("start", "n"):
+        near = near.join(words.withColumnRenamed("word", c), ["origin", "row_key", "turn_no", c], "left_anti")
     # family first without a comma: the roles change places
     turned = rows.where("shape in ('plain', 'plain-loose')").join(f.select(F.col("part").alias("a")), "a", "left_semi").join(g.select(F.col("a").alias("b")), "b", "left_semi")
     cols = ["origin", "row_key", "turn_no", "start", "end", "found", "shape", "n"]
