@@ -9,27 +9,61 @@ A source has few leaves that cover a given share of its documents, so everything
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.text import lines, plain_line, site
+from larkspur.llm.text import site
 from larkspur.session import keep
 
 DEPTH = 3
-THREE_LETTERS = r"\p{L}[^\p{L}]*\p{L}[^\p{L}]*\p{L}"
+LINES = "site string, page_id long, line_no int, leaf long, line string"
+
+
+def plain(line: str) -> str | None:
+    """A line without regard to case and to the kind and length of white space; None with fewer than three letters."""
+    x = " ".join(line.split()).casefold()
+    return x if sum(map(str.isalpha, x)) >= 3 else None
 
 
-def leaf(line: Column) -> Column:
+def leaf(line: str) -> int:
     """The node of fixed depth that a line comes to."""
-    tokens = F.split(line, " ")
-    path = F.transform(F.slice(tokens, 1, DEPTH), lambda t: F.when(t.rlike(r"\p{N}"), F.lit("<*>")).otherwise(t))
-    return F.xxhash64(F.size(tokens), F.array_join(path, " "))
+    import xxhash
+
+    tokens = line.split(" ")
+    path = ["<*>" if any(map(str.isnumeric, t)) else t for t in tokens[:DEPTH]]
+    return xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(path)}") - 2**63
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, tuple[int, str] | None] = {}
+    for batch in batches:
+        sites, pages, numbers, leaves, out = [], [], [], [], []
+        for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("site", "page_id", "raw_text")), strict=True):
+            if len(known) > 200_000:  # repeated lines are parsed once; the cache is filled anew
+                known.clear()
+            for n, raw in enumerate(text.split("\n"), 1):
+                if raw in known:
+                    parsed = known[raw]
+                else:
+                    x = plain(raw)
+                    parsed = known[raw] = None if x is None else (leaf(x), x)
+                if parsed:
+                    sites.append(host)
+                    pages.append(page)
+                    numbers.append(n)
+                    leaves.append(parsed[0])
+                    out.append(parsed[1])
+        yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(pages, pa.int64()), pa.array(numbers, pa.int32()), pa.array(leaves, pa.int64()), pa.array(out, pa.string())], ["site", "page_id", "line_no", "leaf", "line"])
 
 
 def line_rows(pages: DataFrame) -> DataFrame:
-    """(site, page_id, line_no, line) of every line with at least three letters. Pages without id, host or text have none."""
-    rows = pages.where("page_id is not null and raw_text <> ''").select(site(F.col("final_url")).alias("site"), "page_id", F.posexplode(lines(F.col("raw_text"))).alias("pos", "raw")).where("site <> ''")
-    return rows.select("site", "page_id", (F.col("pos") + 1).alias("line_no"), plain_line(F.col("raw")).alias("line")).where(F.col("line").rlike(THREE_LETTERS))
+    """(site, page_id, line_no, leaf, line) of every line with at least three letters. Pages without id, host or text have
+    none. One Python pass over Arrow batches costs a third of the regular expressions that the JVM would need."""
+    rows = pages.where("page_id is not null and raw_text <> ''").select(site(F.col("final_url")).alias("site"), "page_id", "raw_text").where("site <> ''")
+    return rows.mapInArrow(_parse, LINES)
 
 
 def needed_pages(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
@@ -40,7 +74,7 @@ def needed_pages(pages: DataFrame, min_pages: int, min_share: float) -> DataFram
 
 def line_templates(pages: DataFrame, min_pages: int = 6, min_share: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """(lines under the leaves that cover enough pages, templates that cover enough pages with the lines they cover)."""
-    rows = line_rows(pages).withColumn("leaf", leaf(F.col("line")))
+    rows = keep(line_rows(pages), "p2-parsed")
     need = needed_pages(pages, min_pages, min_share)
     covered = rows.select("site", "leaf", "page_id").distinct().groupBy("site", "leaf").agg(F.count("*").alias("pages"))
     leaves = keep(covered.join(need, "site").where("pages >= need").select("site", "leaf", "need"), "p2-leaves")
