@@ -147,3 +147,41 @@ class SnapshotStore:
         options[0] = self._rename.OVERWRITE
         self._context.getFileContext(self._fs.getUri()).rename(self._fs.makeQualified(new), self._fs.makeQualified(final), options)
         return found + 1
+
+
+class Publication:
+    """A document beside a store, published in two steps: ``stage`` names the text that is expected now and the text that
+    shall be, ``confirm`` takes it as published once it is written. What was staged and not confirmed is seen on restart.
+    ``baseline`` accepts a text that came from outside. The state is one small record of the driver."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def state(self) -> dict:
+        import os
+
+        return json.load(open(self.path, encoding="utf-8")) if os.path.exists(self.path) else {"revision": 0, "text": "", "pending": None}
+
+    def _put(self, state: dict) -> None:
+        from larkspur.sources.sinks import replace_file
+
+        replace_file(self.path, json.dumps(state, ensure_ascii=False))
+
+    def stage(self, expected: str, target: str) -> int:
+        s = self.state()
+        if s["pending"] is not None:
+            raise ValueError("something is staged already")
+        s["pending"] = {"revision": s["revision"] + 1, "expected": expected, "target": target}
+        self._put(s)
+        return s["pending"]["revision"]
+
+    def confirm(self, revision: int) -> None:
+        s = self.state()
+        if s["pending"] is None or s["pending"]["revision"] != revision:
+            raise StaleRevision(revision, s["revision"])
+        self._put({"revision": revision, "text": s["pending"]["target"], "pending": None})
+
+    def baseline(self, text: str) -> int:
+        s = self.state()
+        self._put({"revision": s["revision"] + 1, "text": text, "pending": None})
+        return s["revision"] + 1

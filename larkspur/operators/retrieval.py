@@ -18,9 +18,14 @@ COVERAGE_BONUS = 0.001
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, token, tf, dl): the inverted index. Index text is the distinct tokens, re-split on ``_``; dl counts them with
-    repeats. Null keys and texts have none; a text without tokens has none."""
+    repeats. Null keys and texts have none; a text without tokens has none. A key must stand in one row: its postings are
+    made within that row, so nothing is shuffled."""
     parts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.filter(F.split(F.replace(T.index_text(F.col(text)), F.lit("_"), F.lit(" ")), " "), lambda t: t != "").alias("parts"))
-    return parts.select(key, F.size("parts").alias("dl"), F.explode("parts").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # only parts of tokens with ``_`` can repeat
+    single = F.transform("parts", lambda t: F.struct(t.alias("token"), F.lit(1).cast("bigint").alias("tf")))
+    counted = F.transform(F.array_distinct("parts"), lambda t: F.struct(t.alias("token"), F.size(F.filter("parts", lambda p: p == t)).cast("bigint").alias("tf")))
+    entries = F.when(F.size(F.array_distinct("parts")) == F.size("parts"), single).otherwise(counted)
+    return parts.select(key, F.size("parts").alias("dl"), F.explode(entries).alias("e")).select(key, "e.token", "e.tf", "dl")
 
 
 def corpus_stats(index: DataFrame, key: str = "doc_id") -> tuple[int, float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import activity, evaluation, memory, search, sessions, texts  # noqa: F401  each module registers its queries
+from larkspur.plans import activity, evaluation, files, memory, search, sessions, texts  # noqa: F401  each module registers its queries
 from larkspur.plans.registry import QUERIES, SQL
 
 

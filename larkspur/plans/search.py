@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.functions.backends import verdict
 from larkspur.operators import retrieval as R
 from larkspur.plans import data
 from larkspur.plans.registry import query
+from larkspur.session import keep
 
 POOL = 24
 
@@ -81,7 +83,8 @@ def _with(*pieces: str) -> str:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return R.postings(data.children(spark, d), "child_id")
+    """The index as a table: its statistics and the postings of the queries' terms are read from it, not computed anew."""
+    return keep(R.postings(data.children(spark, d), "child_id"), "postings")
 
 
 def _fts(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +217,7 @@ def search_local(spark: SparkSession, d: str) -> DataFrame:
     return _searched(spark, d).select("query_id", "child_id", "parent_id", "page_id", "sources", "rerank_score", nth)
 
 
-@query(
+_EVIDENCE = (
     _with(_DOCS, _QUERY, _BM25, _VEC, _FUSED, _POOL)
     + """, pt AS (SELECT parent_id, max(length(text)) AS n FROM page_parents WHERE text IS NOT NULL GROUP BY 1),
     cand AS (SELECT query_id, list({'pr': parent_rank, 'rr': rerank_rank, 'c': child_id, 'p': parent_id, 'cc': length(text) // 4 + 4, 'pc': n // 4 + 4} ORDER BY parent_rank, rerank_rank) AS l
@@ -223,15 +226,34 @@ def search_local(spark: SparkSession, d: str) -> DataFrame:
         lambda a, x: CASE WHEN len(a.cs) < 5 AND len(list_filter(a.ps, lambda p: p = x.ps[1])) < 2 AND (list_contains(a.ps, x.ps[1]) OR len(list_distinct(a.ps)) < 10)
             AND a.used + x.cc + CASE WHEN list_contains(a.ps, x.ps[1]) THEN 0 ELSE x.pc END <= 4000
         THEN {'used': a.used + x.cc + CASE WHEN list_contains(a.ps, x.ps[1]) THEN 0 ELSE x.pc END, 'ps': list_concat(a.ps, x.ps), 'cs': list_concat(a.cs, x.cs), 'cc': 0::BIGINT, 'pc': 0::BIGINT} ELSE a END,
-        {'used': 0::BIGINT, 'ps': []::BIGINT[], 'cs': []::BIGINT[], 'cc': 0::BIGINT, 'pc': 0::BIGINT}) AS r FROM cand)
-    SELECT query_id, cs AS child_id, ps AS parent_id, CAST(nth AS INT) AS nth FROM (SELECT query_id, unnest(r.cs) AS cs, unnest(r.ps) AS ps, unnest(range(1, len(r.cs) + 1)) AS nth FROM fold)"""
+        {'used': 0::BIGINT, 'ps': []::BIGINT[], 'cs': []::BIGINT[], 'cc': 0::BIGINT, 'pc': 0::BIGINT}) AS r FROM cand),
+    ev AS (SELECT query_id, cs AS child_id, ps AS parent_id, CAST(nth AS INT) AS nth FROM (SELECT query_id, unnest(r.cs) AS cs, unnest(r.ps) AS ps, unnest(range(1, len(r.cs) + 1)) AS nth FROM fold)) """
 )
+
+
+@query(_EVIDENCE + "SELECT * FROM ev")
 def evidence_select(spark: SparkSession, d: str) -> DataFrame:
     costs = data.parents(spark, d).groupBy("parent_id").agg(F.max(F.length("text")).alias("n")).select("parent_id", (F.floor(F.col("n") / 4) + 4).alias("parent_cost"))
     rows = _searched(spark, d).join(costs, "parent_id").withColumn("child_cost", T.token_estimate(F.col("text")).cast("long"))
     return R.evidence_select(rows)
 
 
+@query(
+    _EVIDENCE
+    + """, cov AS (SELECT e.query_id, count(*) AS n, list_distinct(flatten(list(d.toks))) AS toks FROM ev e JOIN dtok d USING (child_id) GROUP BY 1)
+    SELECT q.query_id, coalesce(n, 0) AS evidence, CASE WHEN coalesce(n, 0) = 0 THEN 'no_evidence' WHEN len(terms) > 0 AND len(list_intersect(terms, toks)) >= 0.5 * len(terms) THEN 'sufficient' ELSE 'insufficient' END AS status
+    FROM qterm q LEFT JOIN cov USING (query_id)"""
+)
+def evidence_status(spark: SparkSession, d: str) -> DataFrame:
+    """How many pieces of evidence each query has, and whether they cover its terms (the default assessor)."""
+    kids = data.children(spark, d).select("child_id", T.tokens(F.col("text")).alias("toks"))
+    # at most the evidence limit of lists a query
+    cover = evidence_select(spark, d).join(kids, "child_id").groupBy("query_id").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("toks"))).alias("toks"))
+    rows = data.queries(spark, d).select("query_id", T.query_terms(F.col("query")).alias("terms")).join(cover, "query_id", "left")
+    share = F.when(F.size("terms") > 0, F.size(F.array_intersect("terms", "toks")) / F.size("terms")).otherwise(F.lit(0.0))
+    return rows.select("query_id", F.coalesce("n", F.lit(0)).alias("evidence"), verdict(F.col("n"), share).alias("status"))
+
+
 @query("SELECT c.child_id, p.parent_id, w.page_id, w.final_url, length(c.text) AS n FROM (SELECT DISTINCT child_id, parent_id, page_id, text FROM parent_children WHERE text IS NOT NULL) c JOIN (SELECT DISTINCT parent_id, page_id FROM page_parents WHERE text IS NOT NULL) p ON p.parent_id = c.parent_id JOIN (SELECT page_id, max(final_url) AS final_url FROM web_pages GROUP BY 1) w ON w.page_id = p.page_id")
 def fk_chain_join(spark: SparkSession, d: str) -> DataFrame:
     """Children with their parents and pages. The size of each side decides whether it is broadcast."""
@@ -258,7 +280,7 @@ def bm25_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts of the dynamic classes, indexed by slot and text."""
     rows = data.read_table(spark, d, "canonical_memories").where(F.col("main_class").isin("projects", "daily_life", "plans_commitments") & F.col("text").isNotNull() & F.col("record_id").isNotNull())
     rows = rows.select("record_id", F.concat(F.coalesce("sub_class", F.lit("")), F.lit(" "), "text").alias("text")).distinct()
-    return R.ranked(R.bm25(R.postings(rows, "record_id"), R.query_postings(data.queries(spark, d)), "record_id"), "bm25", "record_id", POOL).select("query_id", "record_id", "bm25", "rank")
+    return R.ranked(R.bm25(keep(R.postings(rows, "record_id"), "postings"), R.query_postings(data.queries(spark, d)), "record_id"), "bm25", "record_id", POOL).select("query_id", "record_id", "bm25", "rank")
 
 
 @query(

@@ -71,3 +71,16 @@ def test_ranking_metrics(spark):
     rows = {r.query_id: r for r in E.ranking_metrics(run, gold).collect()}
     assert rows[1].recall_10 == 0.5 and rows[1].mrr_10 == 1.0 and rows[1].precision_10 == 0.1 and rows[1].map_10 == 0.5
     assert rows[2].ndcg_10 == 0.0 and rows[2].mrr_10 == 0.0
+
+
+def test_publication(tmp_path):
+    p = K.Publication(str(tmp_path / "state.json"))
+    r = p.stage("", "new")
+    assert p.state()["pending"]["target"] == "new" and p.state()["text"] == ""
+    with pytest.raises(ValueError):
+        p.stage("", "other")
+    with pytest.raises(K.StaleRevision):
+        p.confirm(r + 1)
+    p.confirm(r)
+    assert p.state() == {"revision": 1, "text": "new", "pending": None}
+    assert p.baseline("outside") == 2
