@@ -14,9 +14,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.sequences import last_n
 from larkspur.session import keep
 
 BLOCKS = 4096
+FILL = 256
 
 
 def temperature_weights(tokens: dict[str, float], exponent: float) -> dict[str, float]:
@@ -83,12 +85,27 @@ def mix_sources(counts: DataFrame, targets: DataFrame, total: float | None = Non
     ahead = blocks.withColumn("ahead", F.coalesce(F.sum("tokens").over(up_to), F.lit(0)))  # at most BLOCKS rows a source
     state = ahead.join(plan_df, "source").select("source", "block", "passes", "ahead", "rest", F.expr("case when ahead + tokens <= rest then 'in' when ahead >= rest then 'out' else 'cut' end").alias("part"))
     placed = rows.join(state, ["source", "block"])
-    easy = placed.where("part <> 'cut'").select("doc_id", "source", "n_tokens", (F.col("passes") + (F.col("part") == "in").cast("int")).alias("uses"))
+    cols = ["doc_id", "source", "n_tokens", "passes", "rest"]
+    easy = placed.where("part <> 'cut'").select(*cols, (F.col("part") == "in").cast("int").alias("extra"))
     run = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    cut = placed.where("part = 'cut'").withColumn("run", F.col("ahead") + run)
-    # the document that crosses the end is taken if that comes nearer to the budget
-    hard = cut.select("doc_id", "source", "n_tokens", (F.col("passes") + (F.col("run") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int")).alias("uses"))
-    uses = keep(easy.unionByName(hard).where("uses > 0"), "p9-uses")
+    hard = placed.where("part = 'cut'").withColumn("run", F.col("ahead") + run).select(*cols, (F.col("run") <= F.col("rest")).cast("int").alias("extra"))
+    chosen = keep(easy.unionByName(hard), "p9-chosen")
+    # what is left of each budget, less than the document at its end, is filled with the next FILL documents of the order
+    # that fit, longest first, and then with one that comes nearer to it if there is any
+    left = chosen.groupBy("source").agg((F.max("rest") - F.sum(F.col("n_tokens") * F.col("extra"))).alias("left"))
+    spare = chosen.where("extra = 0").join(left, "source")
+    fits = last_n(spare.where("n_tokens <= left").withColumn("order", F.xxhash64("doc_id", F.lit(seed))), ["source"], ["order", "doc_id"], FILL)
+    pool = fits.groupBy("source").agg(F.max("left").alias("left"), F.sort_array(F.collect_list(F.struct("n_tokens", "doc_id")), asc=False).alias("pool"))
+    start = F.struct(F.col("left"), F.array().cast("array<bigint>").alias("taken"))
+    step = lambda s, x: F.when(x["n_tokens"] <= s["left"], F.struct((s["left"] - x["n_tokens"]).alias("left"), F.concat(s["taken"], F.array(x["doc_id"])).alias("taken"))).otherwise(s)
+    filled = keep(pool.select("source", F.aggregate("pool", start, step).alias("r")).select("source", "r.left", "r.taken"), "p9-filled")  # one row a source
+    small = filled.select("source", F.explode("taken").alias("doc_id"), F.lit(1).alias("fill"))
+    now = left.join(F.broadcast(filled.select("source", F.col("left").alias("then"))), "source", "left").select("source", F.coalesce("then", "left").alias("left"))
+    off = F.abs(F.col("n_tokens") - F.col("left"))
+    near = chosen.where("extra = 0").join(F.broadcast(small), ["source", "doc_id"], "left_anti").join(now, "source").groupBy("source").agg(F.min_by("doc_id", F.struct(off, "doc_id")).alias("doc_id"), F.min(off).alias("off"), F.max("left").alias("left"))
+    fill = small.unionByName(near.where("off < left").select("source", "doc_id", F.lit(1).alias("fill")))
+    uses = chosen.join(F.broadcast(fill), ["source", "doc_id"], "left").select("doc_id", "source", "n_tokens", (F.col("passes") + F.col("extra") + F.coalesce("fill", F.lit(0))).alias("uses"))
+    uses = keep(uses.where("uses > 0"), "p9-uses")
     used = uses.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("used_tokens"), F.max("uses").alias("most_uses"))
     total_used = uses.agg(F.sum(F.col("uses") * F.col("n_tokens"))).first()[0] or 0
     shares = spark.createDataFrame([(s, share, have.get(s, 0)) for s, (share, _) in want.items()], "source string, target_share double, available_tokens long").join(used, "source", "left")
