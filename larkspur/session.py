@@ -43,8 +43,24 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder.own
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_kept(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder, once no result that reads it is needed any more; gives
+    the number of tables."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    n = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(hadoop).delete(path, True))
+    return n
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
