@@ -16,6 +16,12 @@ sizes AS (SELECT site, count(DISTINCT page_id) AS pages FROM pages GROUP BY 1)
 SELECT DISTINCT page_id, CAST(line_no AS INT) AS line_no FROM lines JOIN counted USING (site, line) JOIN sizes USING (site) WHERE n >= 6 AND 4 * n >= pages
 """
 
+_P2_CLEANED = f"""
+WITH gone AS (SELECT page_id, list(line_no) AS gone FROM ({_P2}) GROUP BY 1)
+SELECT DISTINCT w.page_id, CASE WHEN gone IS NULL THEN raw_text ELSE array_to_string(list_filter(string_split(raw_text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS kept_text
+FROM web_pages w LEFT JOIN gone USING (page_id) WHERE w.page_id IS NOT NULL
+"""
+
 _P3 = f"""
 WITH r AS (SELECT DISTINCT record_id, main_class, {_FOLD.format(x="coalesce(sub_class, '')")} AS sub, {_FOLD.format(x="text")} AS t FROM canonical_memories
            WHERE record_id IS NOT NULL AND trim(main_class) <> '' AND regexp_matches(text, '[^\\s\\x{{a0}}\\x{{2009}}]')),
@@ -34,6 +40,7 @@ UNION ALL SELECT DISTINCT 'parent_children', child_id FROM parent_children WHERE
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2,
+        "p2_cleaned": _P2_CLEANED,
         "p3_found": _P3 + "SELECT kept_id, record_id FROM g WHERE record_id <> kept_id",
         "p3_collapsed": _P3 + "SELECT kept_id, count(*) AS copies FROM g GROUP BY 1",
         "p7_found": _P7,
