@@ -40,14 +40,18 @@ _EMAIL = re.compile(
     r"|[^\W_][\w.+\-]*\s+at\s+[\w\-]+(?:\s+dot\s+[\w\-]+)+",
     re.I,
 )
+_WRITTEN_OUT = re.compile(r"[\[({<]at[\])}>]|\sdot\s", re.I)
 _NUMBER = re.compile(r"(?<![\w@./\-:])(?:\+\s?|\()?(?:[A-Z] |[A-Za-z]{1,5}-?)?\d(?:[\d ()/.\-]*\d)?(?:[A-Za-z]\d{0,2})?(?![\w@]|[./\-]\d|:\d)")
 _PAIR = re.compile(rf"(?<![\w@.+\-])(?=({_W}{{2,}}(?:-{_W}{{2,}})?)(?:[^\S\n]+{_W}\.)?(,?)[^\S\n]+({_W}{{2,}}(?:-{_W}{{2,}})?)((?:[^\S\n]+{_W}\.(?![\w]))?)(?![\w@+]|\.\w))")
 _INITIAL = re.compile(rf"[^\S\n]+{_W}\.")
 _FIRST = re.compile(rf"(?<![\w./\-])(\d{{1,4}}[a-zA-Z]?)[^\S\n]+((?:{_W}[\w'’\-]*[^\S\n]+){{1,3}}?({'|'.join(STREET_ENDS)}))\b((?<=[Ss][Tt])\.|(?<=ST)\.)?{_UNIT}", re.I)
 _STREET = rf"(?:(?:{'|'.join(STREET_STARTS)})[^\S\n]+(?:(?:{'|'.join(PARTICLES)})[^\S\n]+){{0,2}}{_W}[\w'’\-]*|{_W}[\w\-]*(?:{'|'.join(STREET_TAILS)})\.?|{_W}[\w'’\-]*[^\S\n]+{_W}[\w'’\-]*|{_W}[\w'’\-]+)"
 _LAST = re.compile(rf"(?<![\w./\-])(?=({_STREET})(,?[^\S\n]+)(\d{{1,4}}[a-zA-Z]?)(?![\w.:/\-]*\w)({_UNIT}))", re.I)
+_WORDS = re.compile(rf"{_W}{{2,}}")
 _TYPED = re.compile(rf"(?:{'|'.join(STREET_STARTS)})\s|\S*(?:{'|'.join(STREET_TAILS)})\.?$", re.I)
 
+#: Known name parts go to the tasks as sets up to this number, a few MB; beyond it all candidates are joined.
+MOST_KNOWN = 100_000
 CANDIDATES = "origin string, row_key string, turn_no int, hint string, start int, end int, found string, a string, b string, shape string, left string, right string, n int"
 
 
@@ -61,11 +65,16 @@ def _label(text: str, start: int) -> str:
     return " ".join(t.lower() for t in _TOKEN.findall(text[max(0, start - 40) : start])[-4:])
 
 
+def _mails(text: str) -> list[re.Match]:
+    return list(_EMAIL.finditer(text)) if "@" in text or _WRITTEN_OUT.search(text) else []
+
+
 def candidates_in(text: str) -> list[tuple]:
-    """[(hint, start, end, found, a, b, shape, left, right, n)] of one text."""
+    """[(hint, start, end, found, a, b, shape, left, right, n)] of one text. Names come in their usual letter case only;
+    ``loose_names`` has the others."""
     out: list[tuple] = []
     taken: list[tuple[int, int]] = []
-    for m in _EMAIL.finditer(text):
+    for m in _mails(text):
         out.append(("email", m.start(), m.end(), m.group(), None, None, None, None, None, 1))
         taken.append(m.span())
     free = lambda s, e: all(e <= x or s >= y for x, y in taken)
@@ -75,58 +84,82 @@ def candidates_in(text: str) -> list[tuple]:
             found = found[1:]
         start, end = m.end() - len(found), m.end()
         digits = sum(c.isdigit() for c in found)
-        if digits >= 6 or digits >= 5 and found[0].isalpha():
-            if free(start, end):
-                shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "0", found))
-                out.append(("number", start, end, found, _label(text, start), None, shape, *_around(text, start, end), 1))
+        if (digits >= 6 or digits >= 5 and found[0].isalpha()) and free(start, end):
+            shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "0", found))
+            out.append(("number", start, end, found, _label(text, start), None, shape, *_around(text, start, end), 1))
+    for start, end, name, kind, form in _places(text):
+        if free(start, end):
+            out.append(("place", start, end, text[start:end], name, kind, form, *_around(text, start, end), 1))
+    for start, end, a, b, form, second, cased in _pairs(text):
+        if cased and free(start, end):
+            out.append(("name", start, end, text[start:end], a.lower(), b.lower(), form, *_around(text, start, end), second))
+    return out
+
+
+def _places(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, street, typed or cased or loose, form): words with a house number. The street has no English street
+    word, which may be written in several ways."""
     for m in _FIRST.finditer(text):
-        if free(*m.span()):
-            name = m.group(2).lower().removesuffix(m.group(3).lower())
-            cased = all(w[0].isupper() for w in m.group(2).split())
-            out.append(("place", m.start(), m.end(), m.group(), " ".join(name.split()), "typed" if cased else "loose", "first", *_around(text, *m.span()), 1))
+        name = m.group(2).lower().removesuffix(m.group(3).lower())
+        yield m.start(), m.end(), " ".join(name.split()), "typed" if all(w[0].isupper() for w in m.group(2).split()) else "loose", "first"
     for m in _LAST.finditer(text):
-        start, end = m.start(1), m.end(4)
-        if not free(start, end):
-            continue
-        name = " ".join(m.group(1).lower().rstrip(".").split())
-        if _TYPED.match(m.group(1)) and m.group(1).split()[-1][0].isupper():
-            b = "typed"
-        elif _TYPED.match(m.group(1)):
-            b = "loose"
-        else:
-            b = "cased" if m.group(1)[0].isupper() and m.group(1).split()[-1][0].isupper() else "loose"
-        out.append(("place", start, end, text[start:end], name, b, "last", *_around(text, start, end), 1))
+        street = m.group(1)
+        last_up = street.split()[-1][0].isupper()
+        kind = ("typed" if last_up else "loose") if _TYPED.match(street) else "cased" if street[0].isupper() and last_up else "loose"
+        yield m.start(1), m.end(4), " ".join(street.lower().rstrip(".").split()), kind, "last"
+
+
+def _pairs(text: str) -> Iterator[tuple[int, int, str, str, str, int, bool]]:
+    """(start, end, given, family, form, start of the second word, cased): neighbouring words, by their reading."""
     for m in _PAIR.finditer(text):
         w1, comma, w2, tail = m.group(1), m.group(2), m.group(3), m.group(4)
-        start, end = m.start(1), m.end(3)
-        if not free(start, end):
-            continue
-        if comma:
-            middle = text[m.end(1) : m.start(3)]
-            if not middle.startswith(","):  # an initial before a comma belongs to no name
-                continue
-            end = m.end(4) if tail else end
-            a, b, form = w2, w1, "comma"
-        else:
-            a, b, form = w1, w2, "plain"
-        cased = w1[0].isupper() and w2[0].isupper()
-        out.append(("name", start, end, text[start:end], a.lower(), b.lower(), form if cased else f"{form}-loose", *(_around(text, start, end) if cased else ("", "")), m.start(3)))
+        start, end, cased = m.start(1), m.end(3), w1[0].isupper() and w2[0].isupper()
+        if not comma:
+            yield start, end, w1, w2, "plain", m.start(3), cased
+        elif text[m.end(1)] == ",":  # an initial before a comma belongs to no name
+            yield start, m.end(4) if tail else end, w2, w1, "comma", m.start(3), cased
+
+
+def loose_names(text: str, given: frozenset | None, family: frozenset | None) -> list[tuple]:
+    """As ``candidates_in``, of names in unusual letter case. What isn't in the given sets is left out; without sets
+    nothing is, and the joins decide."""
+    out: list[tuple] = []
+    taken = [m.span() for m in _mails(text)]
+    for start, end, a, b, form, second, cased in _pairs(text):
+        if not cased:
+            a, b = a.lower(), b.lower()
+            known = given is None or a in given and all(x in family for x in b.split("-")) or a in family and b in given
+            if known and all(end <= x or start >= y for x, y in taken):
+                out.append(("name", start, end, text[start:end], a, b, f"{form}-loose", "", "", second))
     return out
 
 
+_TYPES = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], [c.split()[0] for c in CANDIDATES.split(", ")])
+
+
+def _loose(given: frozenset | None, family: frozenset | None):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.to_pydict()
+            yield _batch_of([(origin, key, turn, *c) for origin, key, turn, text in zip(d["origin"], d["row_key"], d["turn_no"], d["text"], strict=True) for c in loose_names(text, given, family)])
+
+    return of
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
-    names = [c.split()[0] for c in CANDIDATES.split(", ")]
     for batch in batches:
         d = batch.to_pydict()
         rows: list[tuple] = []
         seen: Counter = Counter()
         for origin, key, turn, text in zip(d["origin"], d["row_key"], d["turn_no"], d["text"], strict=True):
             rows += [(origin, key, turn, *c) for c in candidates_in(text)]
-            seen.update(w.lower() for w in re.findall(rf"{_W}{{2,}}", text) if w[0].isupper())
-        rows += [(None, None, None, "word", None, None, None, w, None, None, None, None, n) for w, n in seen.items()]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            seen.update(w.lower() for w in _WORDS.findall(text) if w[0].isupper())
+        yield _batch_of(rows + [(None, None, None, "word", None, None, None, w, None, None, None, None, n) for w, n in seen.items()])
 
 
 def texts_of(memories: DataFrame, cases: DataFrame) -> DataFrame:
@@ -217,23 +250,27 @@ def found_names(pairs: DataFrame, parts: DataFrame, beside: DataFrame) -> DataFr
     return plain.unionByName(rest.select(*plain.columns)).select("origin", "row_key", "turn_no", "start", "end", "found")
 
 
-def found_places(places: DataFrame) -> DataFrame:
-    """Addresses: a cased street word with a house number is one. Other names become streets if they stand where such
-    addresses stand, and streets are found in any letter case."""
+def learn_streets(places: DataFrame) -> DataFrame:
+    """(a): names of streets. A cased street word with a house number is one; other names become streets if they stand
+    where such addresses stand."""
     typed = (F.col("b") == "typed").cast("double")
-    cased = places.where("b in ('typed', 'cased')").groupBy("a", "b", "left", "right").agg(F.count("*").alias("n"))
-    cased = keep(cased, "p4-places")
-    worth = lambda c: cased.groupBy(c).agg((F.sum(F.col("n") * typed) / (F.sum("n") + 2)).alias(f"{c}_worth"))
-    scored = cased.join(worth("left"), "left").join(worth("right"), "right")
-    learned = scored.groupBy("a").agg(F.max(typed).alias("typed"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("left_worth")) / F.sum("n")).alias("worth"))
-    streets = keep(learned.where("typed = 1 or (n >= 3 and worth >= 0.25)").select("a"), "p4-streets")
-    return places.join(streets, "a", "left_semi").select("origin", "row_key", "turn_no", "start", "end", "found")
+    cased = keep(places.where("b <> 'loose'").groupBy("a", "b", "left", "right").agg(F.count("*").alias("n")), "p4-places")
+    worth = cased.groupBy("left").agg((F.sum(F.col("n") * typed) / (F.sum("n") + 2)).alias("worth"))
+    learned = cased.join(worth, "left").groupBy("a").agg(F.max(typed).alias("typed"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("worth")) / F.sum("n")).alias("worth"))
+    return keep(learned.where("typed = 1 or (n >= 3 and worth >= 0.25)").select("a"), "p4-streets")
+
+
+def _small_set(df: DataFrame) -> frozenset | None:
+    """The values of a one-column table of at most MOST_KNOWN rows, else None."""
+    values = [r[0] for r in df.limit(MOST_KNOWN + 1).collect()]
+    return frozenset(values) if len(values) <= MOST_KNOWN else None
 
 
 def found_items(memories: DataFrame, cases: DataFrame, name_parts: DataFrame) -> DataFrame:
     """(origin, row_key, turn_no, kind, start, end, found_text) of every item; overlapping readings give the longest
     (ties: the first). An empty list of name parts leaves names unfound; texts without items give no rows."""
-    all_ = keep(texts_of(memories, cases).mapInArrow(_extract, CANDIDATES), "p4-candidates")
+    texts = texts_of(memories, cases)
+    all_ = keep(texts.mapInArrow(_extract, CANDIDATES), "p4-candidates")
     of = lambda hint: all_.where(F.col("hint") == hint)
     cols = ["origin", "row_key", "turn_no", "start", "end", "found"]
     kinds = score_numbers(of("number"))
@@ -241,8 +278,11 @@ def found_items(memories: DataFrame, cases: DataFrame, name_parts: DataFrame) ->
     words = keep(of("word").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("total")), "p4-words")
     seeds = name_parts.where("name_part is not null and part_kind in ('given', 'family')").select(F.lower(F.trim("name_part")).alias("part"), F.col("part_kind").alias("role")).distinct()
     parts, beside = learn_parts(of("name"), words, seeds)
-    names = found_names(of("name"), parts, beside).withColumn("kind", F.lit("name"))
-    places = found_places(of("place")).withColumn("kind", F.lit("address"))
+    streets = learn_streets(of("place"))
+    known = [_small_set(parts.where(F.col("role") == r).select("part")) for r in ("given", "family")]
+    other = keep(texts.mapInArrow(_loose(*(known if None not in known else (None, None))), CANDIDATES), "p4-loose")
+    names = found_names(of("name").unionByName(other), parts, beside).withColumn("kind", F.lit("name"))
+    places = of("place").join(streets, "a", "left_semi").select(*cols).withColumn("kind", F.lit("address"))
     mails = of("email").select(*cols).withColumn("kind", F.lit("email"))
     hits = numbers.select(*cols, "kind").unionByName(names.select(*cols, "kind")).unionByName(places.select(*cols, "kind")).unionByName(mails.select(*cols, "kind"))
     # the items of one text, longest first: bounded by the text

@@ -66,3 +66,10 @@ def test_redaction_and_empty(spark):
     got = {r.row_key: r.redacted for r in pii.redacted_texts(memories, cases, parts).collect()}
     assert got == {"1": "mail [EMAIL] or [EMAIL]!", "2": "nothing"}
     assert pii.found_items(memories.where("false"), cases, parts).count() == 0
+
+
+def test_too_many_parts_are_joined(spark, monkeypatch):
+    extra = [f"call {GIVEN[1].lower()} {FAMILY[3].lower()} soon", "see am wehr 5 again"]
+    sets = found(spark, extra)[0]
+    monkeypatch.setattr(pii, "MOST_KNOWN", 3)
+    assert found(spark, extra)[0] == sets and ("name", f"{GIVEN[1].lower()} {FAMILY[3].lower()}") in {x for items in sets.values() for x in items}
