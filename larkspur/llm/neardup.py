@@ -1,16 +1,12 @@
-"""Near-duplicate texts by a parity-sketch join.
-
-The three-word runs of a text are hashed to 64 bits and dealt into blocks; a block's parity is the XOR of its hashes,
-so one differing run changes one block at most: the number of differing blocks bounds the symmetric difference from
-below. Texts with J >= t have sizes within a factor of t, and differ in at most (1 - t) / (1 + t) of their summed
-sizes, so with enough blocks some block is untouched and two texts meet in an equi-join on (band, block, parity).
-
-Bands double in size. A text emits the blocks of its own band, and those of a smaller band whose texts it can still
-match; of a pair, the smaller text's band decides, so a pair meets in one band only. The number of blocks of a band is
-chosen so that, at similarity t exactly, the expected number of untouched blocks that hold a run is at least
-``EXPECTED``; a pair is lost with a chance of about exp(-EXPECTED) there, less above. Small bands use a block for
-nearly every run. (The pigeonhole bound itself would need one more block than the greatest difference, for a chance
-of nought; that costs two and a half times the shuffle.)
+"""Near-duplicate texts by an exact prefix-filter join.
+
+The three-word runs of a text are hashed to 64 bits and put in one order that holds for all texts, rare runs first. Two
+texts with J >= t share at least t of the runs of either, so the first n - ceil(t n) + 1 runs of the one and of the
+other share a run: the texts meet in an equi-join on single runs. No pair is lost, whatever the sizes.
+
+What is rare is learnt from a sample of the texts; the order decides only how many texts meet, never whether a pair is
+found. From the places of the runs that met follow upper bounds of what two texts can share; pairs below what t needs
+are dropped before their texts are compared.
 """
 
 from __future__ import annotations
@@ -25,6 +21,8 @@ from pyspark.sql import functions as F
 
 from larkspur.session import keep
 
+SAMPLE = 1 << 14  # texts from which the common runs are learnt
+COMMON = 1 << 17  # common runs that are told from the rest, 1.5 MB
 EXPECTED = 10.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = r"[^\W_]+"
@@ -66,16 +64,12 @@ class Shingler:
         return np.unique(h)
 
 
-def band_of(n: int) -> int:
-    return n.bit_length() - 1
-
-
 def plan_of(band: int, t: float) -> tuple[int, int]:
-    """(blocks, least runs a block must hold to be a key) of a band, for its largest pair. A block of a single run would
-    make every common phrase a meeting point, so larger texts use fuller blocks."""
+    """(blocks, least runs a block must hold to be a key) of a band of a parity sketch, for its largest pair of equal
+    sizes. ``candidate_pairs`` doesn't use it: it loses pairs, short and one-sided ones above all."""
     top = 2 ** (band + 1)
     differing = 2 * top * (1 - t) / (1 + t)
-    most = max(2, int(differing) + 1)  # pigeonhole: never more than this is needed
+    most = max(2, int(differing) + 1)
     if top <= 32:
         return most, 1
     for least in (3, 2, 1):
@@ -87,20 +81,45 @@ def plan_of(band: int, t: float) -> tuple[int, int]:
     return most, 1
 
 
-def parity_keys(h: np.ndarray, band: int, k: int, least: int, salt: int) -> np.ndarray:
-    """One key for each block that holds ``least`` runs or more: a hash of band, block and the XOR of the block's hashes."""
-    block = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # h is sorted, so blocks are contiguous
-    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    parity = np.bitwise_xor.reduceat(h, starts)
-    full = np.diff(np.append(starts, len(h))) >= least
-    parity, starts = parity[full], starts[full]
+def needed(n: int, t: float) -> int:
+    """Runs of a text of ``n`` runs that a text with J >= t shares at least."""
+    return math.ceil(n * t - 1e-9)
+
+
+def _runs(run: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(run)
+        np.seterr(over="ignore")
+        for batch in batches:
+            found = [shingle(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], ["h"])
+
+    return of
+
+
+def common_runs(texts: DataFrame, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the runs that are most often met in a sample of ``SAMPLE`` texts, at most ``COMMON``."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    sample = texts.where(F.pmod("fp", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("text")
+    counts = sample.mapInArrow(_runs(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], np.minimum(n[order], 65_535).astype(np.uint16)
+
+
+def prefix_keys(h: np.ndarray, t: float, common: np.ndarray, counts: np.ndarray, salt: int) -> np.ndarray:
+    """One key for each of the first n - ceil(t n) + 1 runs, in the order of (count in the sample, hash)."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.argsort(np.where(common[at] == h, counts[at], np.uint16(0)), kind="stable")]  # h was sorted
     with np.errstate(over="ignore"):
-        return mix64(parity * MIX + block[starts] * np.uint64(1_000_003) + np.uint64(band * 131 + salt)).view(np.int64)
+        return mix64(h[: len(h) - needed(len(h), t) + 1] * MIX + np.uint64(salt)).view(np.int64)
 
 
-def _keys(t: float, run: int):
+def _keys(t: float, run: int, common: np.ndarray, counts: np.ndarray):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, blocks = Shingler(run), {}
+        shingle = Shingler(run)
         seen: set[int] = set()
         np.seterr(over="ignore")
         for batch in batches:
@@ -115,16 +134,11 @@ def _keys(t: float, run: int):
                 h = shingle(text)
                 if not len(h):
                     continue
-                own = band_of(len(h))
-                low = band_of(max(1, math.ceil(len(h) * t - 1e-9)))
-                for band in range(low, own + 1):
-                    if band not in blocks:
-                        blocks[band] = plan_of(band, t)
-                    k = parity_keys(h, band, *blocks[band], salt)
-                    fps.append(fp)
-                    sizes.append(len(h) if band == own else -len(h))
-                    keys.append(k)
-                    offsets.append(offsets[-1] + len(k))
+                k = prefix_keys(h, t, common, counts, salt)
+                fps.append(fp)
+                sizes.append(len(h))
+                keys.append(k)
+                offsets.append(offsets[-1] + len(k))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["fp", "size", "keys"])
 
@@ -163,20 +177,26 @@ def texts_of(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
 
 
 def candidate_pairs(texts: DataFrame, t: float, run: int) -> DataFrame:
-    """(fp_a, fp_b) of different texts that share a block of a band."""
-    rows = texts.select("fp", F.pmod(F.xxhash64("origin"), F.lit(1_000_000_007)).alias("salt"), "text").mapInArrow(_keys(t, run), "fp long, size int, keys array<long>")
-    rows = rows.select("fp", "size", F.explode("keys").alias("key"))
+    """(fp_a, fp_b) of different texts that share a run of their prefixes and may have J >= t; all that have it are there."""
+    salted = texts.select("fp", F.pmod(F.xxhash64("origin"), F.lit(1_000_000_007)).alias("salt"), "text")
+    rows = salted.mapInArrow(_keys(t, run, *common_runs(texts, run)), "fp long, size int, keys array<long>")
+    rows = rows.select("fp", "size", F.posexplode("keys").alias("at", "key"))
 
-    # most blocks are met by one text only; they end here, after the one large shuffle
+    # most runs are met by one text only; they end here, after the one large shuffle
     by_key = Window.partitionBy("key")
-    met = rows.withColumns({"least": F.min("fp").over(by_key), "most": F.max("fp").over(by_key)}).where("least <> most").select("key", "fp", "size")
+    met = rows.withColumns({"least": F.min("fp").over(by_key), "most": F.max("fp").over(by_key)}).where("least <> most").select("key", "fp", "size", "at")
     met = keep(met, "p5-met").distinct()
-    own, all_ = met.where("size > 0"), met.select("key", F.col("fp").alias("fp_b"), F.col("size").alias("size_b"))
-    pairs = own.join(all_, "key").where((F.col("fp") != F.col("fp_b")) & ((F.col("size_b") < 0) | (F.col("fp") < F.col("fp_b"))))
-    x, y = F.col("size"), F.abs("size_b")
-    pairs = pairs.where(F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9).select(F.least("fp", "fp_b").alias("fp_a"), F.greatest("fp", "fp_b").alias("fp_b"), F.least(x, y).alias("size"))
-    # one block may agree by chance; of ten expected, two do but for a chance of about 11 exp(-10)
-    return pairs.groupBy("fp_a", "fp_b").agg(F.count("*").alias("agree"), F.min("size").alias("size")).where("agree >= 2 or size < 32").select("fp_a", "fp_b")
+    pairs = met.toDF("key", "fp_a", "size_a", "at_a").join(met.toDF("key", "fp_b", "size_b", "at_b"), "key").where("fp_a < fp_b")
+    x, y = F.col("size_a"), F.col("size_b")
+    enough = (x + y) * F.lit(t / (1 + t)) - F.lit(1e-6)  # runs that a pair with J >= t shares
+    # shared runs stand in the same order in both, so at most min(at) come before this one, and min(size - at) from it on
+    rest = F.least(x - F.col("at_a"), y - F.col("at_b"))
+    pairs = pairs.where((F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9) & (F.least("at_a", "at_b") + rest >= enough))
+    pairs = pairs.groupBy("fp_a", "fp_b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.count("*").alias("shared"), F.max(rest).alias("from_first"), F.min(rest).alias("from_last"))
+    # a shared run that isn't in both prefixes lies behind the prefix that ends first
+    behind = F.ceil(F.greatest(x, y) * F.lit(t) - F.lit(1e-9)) - 1
+    most = F.least(F.col("from_first"), F.col("shared") - 1 + F.col("from_last"), F.col("shared") + behind)
+    return pairs.where(most >= enough).select("fp_a", "fp_b")
 
 
 def similar_texts(texts: DataFrame, t: float = 0.7, run: int = 3) -> DataFrame:

@@ -88,6 +88,23 @@ def test_plan_keeps_enough_blocks():
         assert k == max(2, int(differing) + 1) or k * math.exp(-differing / k) >= neardup.EXPECTED * 0.9
 
 
+def extended(sizes, tries):
+    """Texts of the smaller and the larger number of runs, the larger one the smaller with words added at its end."""
+    texts = []
+    for small, large in sizes:
+        for k in range(tries):
+            words = [f"v{small}x{k}x{j}" for j in range(large + 2)]
+            texts += [" ".join(words[: small + 2]), " ".join(words)]
+    return texts
+
+
+def test_short_extended_texts_are_all_found(spark):
+    texts = extended([(3, 4), (5, 7), (6, 8), (7, 10), (14, 20), (15, 21)], 40)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.id_a, r.id_b) for r in neardup.similar_rows([("t", df, "id", "text")]).collect()}
+    assert got == {(k, k + 1) for k in range(0, len(texts), 2)}
+
+
 def span_corpus():
     r = Random(6)
     letters = "abcdefgh \n中é"
