@@ -182,10 +182,13 @@ def candidate_pairs(texts: DataFrame, t: float, run: int) -> DataFrame:
     rows = salted.mapInArrow(_keys(t, run, *common_runs(texts, run)), "fp long, size int, keys array<long>")
     rows = rows.select("fp", "size", F.posexplode("keys").alias("at", "key"))
 
-    # most runs are met by one text only; they end here, after the one large shuffle
-    by_key = Window.partitionBy("key")
-    met = rows.withColumns({"least": F.min("fp").over(by_key), "most": F.max("fp").over(by_key)}).where("least <> most").select("key", "fp", "size", "at")
-    met = keep(met, "p5-met").distinct()
+    # most runs are met by one text only, or by none of a size that can match; they end here, after the one large shuffle.
+    # In the order of sizes a text has a match if a neighbour is one. Repeated rows end here too, where a key is in one task
+    by_size = Window.partitionBy("key").orderBy("size")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = (F.lag("size").over(by_size) >= F.col("size") * F.lit(t) - 1e-9) | (F.col("size") >= F.lead("size").over(by_size) * F.lit(t) - 1e-9)
+    met = rows.withColumns({"near": near, "least": F.min("fp").over(whole), "most": F.max("fp").over(whole)}).where("near and least <> most")
+    met = keep(met.select("key", "fp", "size", "at").distinct(), "p5-met")
     pairs = met.toDF("key", "fp_a", "size_a", "at_a").join(met.toDF("key", "fp_b", "size_b", "at_b"), "key").where("fp_a < fp_b")
     x, y = F.col("size_a"), F.col("size_b")
     enough = (x + y) * F.lit(t / (1 + t)) - F.lit(1e-6)  # runs that a pair with J >= t shares

@@ -105,6 +105,16 @@ def test_short_extended_texts_are_all_found(spark):
     assert got == {(k, k + 1) for k in range(0, len(texts), 2)}
 
 
+def test_long_extended_texts_are_all_found(spark):
+    texts = []
+    for k in (27, 76, 98, 138):  # met in fewer than two blocks of the former sketch
+        words = [f"v2047x{k}x{j}" for j in range(2926)]
+        texts += [" ".join(words[:2049]), " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.id_a, r.id_b) for r in neardup.similar_rows([("t", df, "id", "text")]).collect()}
+    assert got == {(k, k + 1) for k in range(0, len(texts), 2)}
+
+
 def span_corpus():
     r = Random(6)
     letters = "abcdefgh \n中é"
