@@ -1,10 +1,15 @@
-"""Text functions as column expressions: no Python runs per row, so they stay inside whole-stage code generation.
+"""Text functions as column expressions: no Python runs per row, so they stay inside whole-stage code generation. Only
+``redact_text`` hands texts that look like JSON to Python.
 
 All of them give null for null. ``white`` stands for white space as Unicode has it, not only ASCII.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,13 +145,58 @@ def token_estimate(text: Column) -> Column:
     return (F.floor(F.length(text) / 4) + 4).cast("int")
 
 
+_KEY = "|".join("[_-]*".join(k) for k in sorted(SECRET_KEYS, key=len, reverse=True))
+# (pattern, what takes its place), in this order; they mean the same to Java and to Python.
+REDACTIONS = (
+    (r"(?i)data:[^\s,;\"'<>]*(?:;[^\s,;\"'<>]+)*;base64,[A-Za-z0-9+/_=-]+", "[BINARY DATA]"),
+    (rf"(?i)(^|[^\w-])((?:{_KEY})[_-]*\s*[:=]\s*)(?!\[REDACTED\]|(?:bearer|basic)(?:[\s,;}}\]]|$))(?:(\")[^\"\r\n]*\"|(')[^'\r\n]*'|[^\s,;}}\]\"'][^\s,;}}\]]*)", "$1$2$3$4[REDACTED]$3$4"),
+    (r"(?im)^([ \t]*Authorization[ \t]*:[ \t]*(?:Bearer|Basic)[ \t]+)[^\r\n]+", "$1[REDACTED]"),
+    (r"(?im)^([ \t]*(?:Cookie|Set-Cookie)[ \t]*:[ \t]*)[^\r\n]+", "$1[REDACTED]"),
+)
+
+
+def _redact_json(text: str) -> str | None:
+    """A text that is a JSON object or array, redacted; None if it is neither."""
+    if not text.lstrip().startswith(("{", "[")):
+        return None
+    try:
+        parsed = json.loads(text)
+        return json.dumps(_redact_value(parsed), ensure_ascii=False)
+    except ValueError:
+        return None
+    except RecursionError:  # nested too deeply to be looked at
+        return "[REDACTED]"
+
+
+def _redact_value(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if re.sub(r"[^a-z0-9]", "", k.lower()) in SECRET_KEYS else _redact_value(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_redact_value(v) for v in value]
+    if not isinstance(value, str):
+        return value
+    whole = _redact_json(value)
+    if whole is not None:
+        return whole
+    for pattern, instead in REDACTIONS:
+        value = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", instead), value)
+    return value
+
+
+def _redact_series(texts: pd.Series) -> pd.Series:
+    found = (None if t is None else _redact_json(t) for t in texts)
+    return pd.Series([None if t is None else t.encode("utf-8", "replace").decode() for t in found], dtype=object)  # half a surrogate pair is no text
+
+
 def redact_text(text: Column) -> Column:
-    """Values of secret keys, base64 data, and Authorization and Cookie headers are blotted out."""
-    key = "|".join("[_-]*".join(k) for k in sorted(SECRET_KEYS, key=len, reverse=True))
-    t = F.regexp_replace(text, r"(?i)data:[^\s,;\"'<>]*(?:;[^\s,;\"'<>]+)*;base64,[A-Za-z0-9+/_=-]+", "[BINARY DATA]")
-    t = F.regexp_replace(t, rf"(?i)(^|[^\w-])((?:{key})[_-]*\s*[:=]\s*)(?!\[REDACTED\]|(?:bearer|basic)(?:[\s,;}}\]]|$))(?:(\")[^\"\r\n]*\"|(')[^'\r\n]*'|[^\s,;}}\]\"'][^\s,;}}\]]*)", "$1$2$3$4[REDACTED]$3$4")
-    t = F.regexp_replace(t, r"(?im)^([ \t]*Authorization[ \t]*:[ \t]*(?:Bearer|Basic)[ \t]+)[^\r\n]+", "$1[REDACTED]")
-    return F.regexp_replace(t, r"(?im)^([ \t]*(?:Cookie|Set-Cookie)[ \t]*:[ \t]*)[^\r\n]+", "$1[REDACTED]")
+    """Values of secret keys, base64 data, and Authorization and Cookie headers are blotted out. A JSON object or array is
+    redacted by its keys, at any depth and in strings that are JSON themselves, and the rules for texts hold for its other
+    strings; JSON that is nested too deeply to be parsed is blotted out as a whole."""
+    in_json = F.pandas_udf(_redact_series, "string")(F.when(text.rlike(r"^[ \t\r\n]*[{\[]"), text))
+    t = text
+    for pattern, instead in REDACTIONS:
+        t = F.regexp_replace(t, pattern, instead)
+    return F.coalesce(in_json, t)
 
 
 def clip_bytes(text: Column, limit: int = 4096) -> Column:

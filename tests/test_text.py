@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
@@ -45,6 +47,20 @@ def test_redaction(spark):
     assert redact("password=[REDACTED]") == "password=[REDACTED]"
 
 
+def test_redaction_of_json(spark):
+    redact = lambda s: one(spark, T.redact_text, s)
+    inner = json.dumps({"Client-Secret": "s3", "n": 1, "note": "api_key=abc é"}, ensure_ascii=False)
+    given = {"api_key": "x", "a": [{"Set-Cookie": ["c"], "token_count": 5}, inner, "password: hunter2", None, True, 1.5], "token": {"b": 1}, "prompt_tokens": "7"}
+    safe = json.dumps({"Client-Secret": "[REDACTED]", "n": 1, "note": "api_key=[REDACTED] é"}, ensure_ascii=False)
+    want = {"api_key": "[REDACTED]", "a": [{"Set-Cookie": "[REDACTED]", "token_count": 5}, safe, "password: [REDACTED]", None, True, 1.5], "token": "[REDACTED]", "prompt_tokens": "7"}
+    assert redact(" \n" + json.dumps(given)) == json.dumps(want, ensure_ascii=False)
+    assert redact('["Authorization: Bearer abc"]') == '["Authorization: Bearer [REDACTED]"]'
+    assert redact("{token: abc") == "{token: [REDACTED]"
+    assert redact("[" * 200_000 + '{"token": "abc"}' + "]" * 200_000) == "[REDACTED]"
+    assert redact('["\\ud800"]') == '["?"]'
+    assert redact(None) is None
+
+
 def test_clip_keeps_whole_characters(spark):
     assert tuple(one(spark, lambda c: T.clip_bytes(c, 3), "aéé")) == ("aé", True)
     assert tuple(one(spark, lambda c: T.clip_bytes(c, 4), "aéé")) == ("aé", True)
