@@ -201,10 +201,18 @@ def redact_text(text: Column) -> Column:
 
 def clip_bytes(text: Column, limit: int = 4096) -> Column:
     """struct(text, truncated): at most ``limit`` bytes of UTF-8 without a broken last character."""
-    cut = F.regexp_replace(F.make_valid_utf8(F.substring(text.cast("binary"), 1, limit).cast("string")), "\ufffd+$", "")
+    raw = text.cast("binary")
+    inside = lambda k: F.hex(F.substring(raw, k, 1)).between("80", "BF")  # noqa: E731  # byte k continues a character
+    end = F.when(~inside(limit + 1), limit).when(~inside(limit), limit - 1).when(~inside(limit - 1), limit - 2).otherwise(limit - 3)
+    cut = F.substring(raw, F.lit(1), end).cast("string")
     return F.struct(F.when(F.octet_length(text) > limit, cut).otherwise(text).alias("text"), (F.octet_length(text) > limit).alias("truncated"))
 
 
+def preview(text: Column, limit: int = 4096) -> Column:
+    """``clip_bytes`` of the redacted text."""
+    return clip_bytes(redact_text(text), limit)
+
+
 def normalize_answer(text: Column) -> Column:
     t = F.lower(strip(text))
     for a, b in (("’", "'"), ("“", '"'), ("”", '"')):

@@ -124,6 +124,13 @@ def preview_clip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.md5("c.text").alias("clipped"), "c.truncated")
 
 
+@query()
+def preview(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as stored, redacted and clipped; ``preview_clip`` is the clip of their ASCII characters."""
+    rows = data.read_table(spark, d, "documents").where("text is not null").select("doc_id", T.preview(F.col("text")).alias("p"))
+    return rows.select("doc_id", F.col("p.text").alias("text"), "p.truncated")
+
+
 @query("SELECT doc_id, md5(CASE WHEN length(text) > 10000 THEN left(text, 5000) || chr(10) || chr(10) || '... (' || (length(text) - 10000) || ' chars truncated) ...' || chr(10) || chr(10) || right(text, 5000) ELSE text END) AS clipped FROM documents WHERE text IS NOT NULL")
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
     return data.read_table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.truncate_middle(F.col("text"))).alias("clipped"))

@@ -67,6 +67,18 @@ def test_clip_keeps_whole_characters(spark):
     assert tuple(one(spark, lambda c: T.clip_bytes(c, 5), "aéé")) == ("aéé", False)
 
 
+def test_preview_redacts_and_clips_any_text(spark):
+    texts = ["aé中😀b\ufffd" * 3, "\ufffd\ufffd\ufffd\ufffd", "中文 token=abc 中文中文", '{"token": "中", "b": "é"}']
+    safe = [*texts[:2], "中文 token=[REDACTED] 中文中文", '{"token": "[REDACTED]", "b": "é"}']
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    limits = range(1, 50)
+    got = df.select("k", *(T.preview(F.col("x"), n).alias(f"n{n}") for n in limits)).collect()
+    for r in got:
+        raw = safe[r.k].encode()
+        for n in limits:
+            assert tuple(r[f"n{n}"]) == (raw[:n].decode(errors="ignore"), len(raw) > n)
+
+
 def test_answers(spark):
     assert one(spark, T.normalize_answer, "18:40") == one(spark, T.normalize_answer, "18 minutes and 40 seconds")
 
