@@ -1,31 +1,37 @@
-"""Near-duplicate texts by an exact prefix-filter join.
-
-The three-word runs of a text are hashed to 64 bits and put in one order that holds for all texts, rare runs first. Two
-texts with J >= t share at least t of the runs of either, so the first n - ceil(t n) + 1 runs of the one and of the
-other share a run: the texts meet in an equi-join on single runs. No pair is lost, whatever the sizes.
-
-What is rare is learnt from a sample of the texts; the order decides only how many texts meet, never whether a pair is
-found. From the places of the runs that met follow upper bounds of what two texts can share; pairs below what t needs
-are dropped before their texts are compared.
+"""Near-duplicate texts by a parity-sketch join.
+
+A text is the set of the 64-bit hashes of its word runs. The hashes are dealt into the blocks of a sketch, and a block
+holds the XOR (the parity, bit by bit) of its hashes. Texts are sketched in size bands: two texts with J >= t differ in
+at most D runs, D known from the sizes that can meet in the band, and D runs touch at most D blocks. So of a text with
+more than D filled blocks one is met again, untouched, in the other text: blocks are the keys of an equi-join. It is
+enough to send the first D + 1 blocks of an order that is the same for all texts (rarest content first): of the blocks
+that two texts have in common the first one stands behind at most D others in either. A text whose filled blocks don't
+exceed D is sketched again with four times the blocks, and again, until they do; a pair meets at the first level at
+which one of the two is through. Hence no pair is lost, at any size.
+
+Pairs that met are held against a bound before their texts are fetched: the Hamming distance of two parity bit sketches
+is never more than the runs they differ in. What is left is verified on the texts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.components import connected_components
 from larkspur.session import keep
 
-SAMPLE = 1 << 14  # texts from which the common runs are learnt
-COMMON = 1 << 17  # common runs that are told from the rest, 1.5 MB
-EXPECTED = 10.0
+COUNTERS = 1 << 16  # counters of the frequent-items summary of a task, 1 MB
+COMMON = 1 << 17  # runs that are told to be common, 2 MB
+LOAD = 1.5  # runs a block in the largest texts of a band
+SMALL = 64  # below this size every run is a block of its own
+SLICE = 300_000  # characters that are hashed at a time
 MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = r"[^\W_]+"
+_BASE = 0xD6E8FEB86659FD93
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -34,196 +40,366 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 class Shingler:
-    """Sorted distinct 64-bit hashes of the runs of ``run`` consecutive folded words of a text."""
+    """Sorted distinct 64-bit hashes of the runs of ``run`` consecutive folded words of texts, many texts at a time."""
 
     def __init__(self, run: int):
-        import re
-
-        self.run, self.find, self.ids = run, re.compile(_WORDS).findall, _WordHashes()
-
-    def __call__(self, text: str) -> np.ndarray:
-        found = self.find(text.casefold())
-        if len(found) < self.run:
-            return np.empty(0, np.uint64)
-        if len(self.ids) > 500_000:  # a cache only; it is filled anew
-            self.ids.clear()
-        codes = np.fromiter(map(self.ids.__getitem__, found), np.uint64, len(found))
-        n = len(found) - self.run + 1
-        h = codes[:n].copy()
-        for k in range(1, self.run):
-            h = mix64(h * MIX + codes[k : n + k])
-        return np.unique(h)
-
-
-def plan_of(band: int, t: float) -> tuple[int, int]:
-    """(blocks, least runs a block must hold to be a key) of a band of a parity sketch, for its largest pair of equal
-    sizes. ``candidate_pairs`` doesn't use it: it loses pairs, short and one-sided ones above all."""
-    top = 2 ** (band + 1)
-    differing = 2 * top * (1 - t) / (1 + t)
-    most = max(2, int(differing) + 1)
-    if top <= 32:
-        return most, 1
-    for least in (3, 2, 1):
-        for k in range(max(4, int(differing / 4)), most + 1, max(1, most // 48)):
-            load = (2 * top - differing) / 2 / k
-            fuller = 1 - math.exp(-load) * sum(load**i / math.factorial(i) for i in range(least))
-            if k * math.exp(-differing / k) * fuller >= EXPECTED:
-                return k, least
-    return most, 1
-
-
-def needed(n: int, t: float) -> int:
-    """Runs of a text of ``n`` runs that a text with J >= t shares at least."""
-    return math.ceil(n * t - 1e-9)
-
-
-def _runs(run: int):
+        self.run = run
+        self.of_word = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _word_hashes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(codes)
+        if len(self.up) <= n:
+            self.up = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(2 * n, _BASE, np.uint64))))
+            self.down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(2 * n, pow(_BASE, -1, 2**64), np.uint64))))
+        inside = np.zeros(n + 2, bool)
+        inside[1:-1] = self.of_word[codes]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(7)) * self.up[:n], out=sums[1:])
+        return starts, mix64((sums[ends] - sums[starts]) * self.down[starts])
+
+    def _slice(self, texts: list[str]) -> list[np.ndarray]:
+        folded = [t.casefold() for t in texts]
+        codes = np.frombuffer("\n".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)
+        bounds = np.cumsum([len(t) + 1 for t in folded])
+        with np.errstate(over="ignore"):
+            starts, words = self._word_hashes(codes)
+            n = max(len(words) - self.run + 1, 0)
+            h = words[:n].copy()
+            for k in range(1, self.run):
+                h = mix64(h * MIX + words[k : n + k])
+        owner = np.searchsorted(bounds, starts, side="right")
+        whole = owner[:n] == owner[self.run - 1 : self.run - 1 + n]
+        h, owner = h[whole], owner[:n][whole]
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            x = np.sort(h[a:b])
+            out.append(x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x)
+        return out
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        part, size = [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= SLICE:
+                yield from self._slice(part)
+                part, size = [], 0
+        if part:
+            yield from self._slice(part)
+
+
+class FrequentItems:
+    """A mergeable summary of at most ``counters`` items (Misra and Gries): an item that occurs more than total / counters
+    times is always in it, with a count that is never too great."""
+
+    def __init__(self, counters: int):
+        self.counters, self.items, self.counts = counters, np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, items: np.ndarray) -> None:
+        self.waiting.append(items)
+        self.size += len(items)
+        if self.size > 1 << 20:
+            self.fold()
+
+    def fold(self) -> None:
+        new, n = np.unique(np.concatenate([np.empty(0, np.uint64), *self.waiting]), return_counts=True)
+        self.waiting, self.size = [], 0
+        x, at = np.unique(np.concatenate((self.items, new)), return_inverse=True)
+        c = np.bincount(at, np.concatenate((self.counts, n)), len(x)).astype(np.int64)
+        if len(c) > self.counters:
+            c -= np.partition(c, len(c) - self.counters - 1)[len(c) - self.counters - 1]
+        self.items, self.counts = x[c > 0], c[c > 0]
+
+
+def _frequent(run: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(run)
-        np.seterr(over="ignore")
+        shingle, summary = Shingler(run), FrequentItems(COUNTERS)
         for batch in batches:
-            found = [shingle(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], ["h"])
+            for h in shingle(batch.column("text").to_pylist()):
+                summary.add(h)
+        summary.fold()
+        often = summary.counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(summary.items[often].view(np.int64)), pa.array(summary.counts[often])], ["h", "n"])
 
     return of
 
 
 def common_runs(texts: DataFrame, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of the runs that are most often met in a sample of ``SAMPLE`` texts, at most ``COMMON``."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    sample = texts.where(F.pmod("fp", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("text")
-    counts = sample.mapInArrow(_runs(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    """(sorted hashes, counts) of the runs that are frequent in all texts, at most ``COMMON``: the tasks' summaries are
+    added up. The order that comes of it decides how many texts meet, never whether a pair is found."""
+    counts = texts.select("text").mapInArrow(_frequent(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
-    return h[order], np.minimum(n[order], 65_535).astype(np.uint16)
+    return h[order], np.minimum(n[order], 65_535).astype(np.uint64)
+
+
+def band_of(size: int) -> int:
+    """Bands are [4^i, 4^(i + 1))."""
+    return (size.bit_length() - 1) // 2
+
+
+def blocks_of(band: int, level: int = 0) -> int:
+    """Blocks of a band's sketch; at small sizes so many that every run has its own."""
+    top = 4 ** (band + 1)
+    return min(2**32, 2**32 if top <= SMALL else int(top / LOAD) * 4**level)
+
+
+def differing(a: int, b: int, t: float) -> int:
+    """Runs in which two texts of ``a`` and ``b`` runs with J >= t differ at most."""
+    return int((1 - t) / (1 + t) * (a + b) + 1e-9)
+
+
+def roles(size: int, t: float) -> list[tuple[int, int]]:
+    """[(band, D)] of a text: its own band, and the next lower one if texts of it are large enough to match. A pair meets
+    in the band of the smaller text."""
+    own = band_of(size)
+    out = [(own, differing(size, int(size / t + 1e-9), t))]
+    below = 4**own - 1
+    if own and below >= size * t - 1e-9:
+        out.append((own - 1, differing(size, below, t)))
+    return out
 
 
-def prefix_keys(h: np.ndarray, t: float, common: np.ndarray, counts: np.ndarray, salt: int) -> np.ndarray:
-    """One key for each of the first n - ceil(t n) + 1 runs, in the order of (count in the sample, hash)."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        h = h[np.argsort(np.where(common[at] == h, counts[at], np.uint16(0)), kind="stable")]  # h was sorted
+def sketch_keys(h: np.ndarray, t: float, salt: int, count: np.ndarray) -> np.ndarray:
+    """The keys of one text: ``h`` are its sorted run hashes, ``count`` how common each is."""
+    keys = []
     with np.errstate(over="ignore"):
-        return mix64(h[: len(h) - needed(len(h), t) + 1] * MIX + np.uint64(salt)).view(np.int64)
+        for band, most in roles(len(h), t):
+            level = 0
+            while True:
+                k = blocks_of(band, level)
+                x, c = h, count
+                if level:
+                    order = np.argsort(mix64(h + MIX * np.uint64(level)))
+                    place = mix64(h + MIX * np.uint64(level))[order]
+                    x, c = h[order], count[order]
+                else:
+                    place = h
+                block = ((place >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+                first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+                xor = np.bitwise_xor.reduceat(x, first)
+                load = np.diff(np.append(first, len(x))).astype(np.uint64)
+                name = mix64(xor * MIX + mix64(block[first] + np.uint64((salt * 64 + band) * 32 + level)))
+                if len(first) <= most and k < 2**32:
+                    keys.append(name)
+                    level += 1
+                    continue
+                # rarest first, then fullest, then by name: a rule of the content, so the same for every text
+                rank = (np.minimum.reduceat(c, first) << np.uint64(48)) | ((np.uint64(15) - np.minimum(load, np.uint64(15))) << np.uint64(44)) | (name >> np.uint64(20))
+                if most + 1 < len(rank):
+                    name = name[rank <= np.partition(rank, most)[most]]
+                keys.append(name)
+                break
+    return np.concatenate(keys).view(np.int64)
+
+
+def _commonness(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return np.zeros(len(h), np.uint64)
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    return np.where(common[at] == h, counts[at], np.uint64(0))
 
 
 def _keys(t: float, run: int, common: np.ndarray, counts: np.ndarray):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(run)
-        seen: set[int] = set()
-        np.seterr(over="ignore")
+        shingle, seen = Shingler(run), set()
         for batch in batches:
-            d = batch.to_pydict()
+            fp, check, salt, text = (batch.column(c).to_pylist() for c in ("fp", "check", "salt", "text"))
+            new = []
+            for k, pair in enumerate(zip(fp, check, strict=True)):  # copies within a task are sent once
+                if pair not in seen:
+                    seen.add(pair)
+                    new.append(k)
+            if len(seen) > 1_000_000:
+                seen.clear()
             fps, sizes, keys, offsets = [], [], [], [0]
-            for fp, salt, text in zip(d["fp"], d["salt"], d["text"], strict=True):
-                if fp in seen:  # copies within a task are sent once
-                    continue
-                seen.add(fp)
-                if len(seen) > 2_000_000:
-                    seen.clear()
-                h = shingle(text)
-                if not len(h):
-                    continue
-                k = prefix_keys(h, t, common, counts, salt)
-                fps.append(fp)
-                sizes.append(len(h))
-                keys.append(k)
-                offsets.append(offsets[-1] + len(k))
+            for k, h in zip(new, shingle([text[k] for k in new]), strict=True):
+                if len(h):
+                    own = sketch_keys(h, t, salt[k], _commonness(h, common, counts))
+                    fps.append(fp[k])
+                    sizes.append(len(h))
+                    keys.append(own)
+                    offsets.append(offsets[-1] + len(own))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["fp", "size", "keys"])
 
     return of
 
 
-def _verify(t: float, run: int):
+def _met(t: float):
+    """Of rows sorted by (key, size, fp) those with a neighbour of another text and a size that can match: in the order of
+    sizes a text has a match of its key if a neighbour is one. Two rows are held over from batch to batch."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(run)
-        np.seterr(over="ignore")
-        last, mine = None, None
+        held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
+        done = 0  # of the held rows, how many are decided
+
+        def decide(key, size, fp, last: bool):
+            nonlocal held, done
+            n = len(key)
+            if not n:
+                return None
+            link = np.zeros(n + 1, bool)
+            link[1:n] = (key[1:] == key[:-1]) & (size[:-1] >= size[1:] * t - 1e-9)
+            end = n if last else n - 1
+            hit = np.flatnonzero((link[:-1] | link[1:])[done:end]) + done
+            held, done = [x[max(n - 2, 0) :] for x in (key, size, fp)], min(n - 1, 1)
+            return pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(fp[hit]), pa.array(size[hit])], ["key", "fp", "size"])
+
         for batch in batches:
-            d = batch.to_pydict()
-            out = []
-            for a, b, x, y in zip(d["fp_a"], d["fp_b"], d["text_a"], d["text_b"], strict=True):
-                if a != last:
-                    last, mine = a, shingle(x)
-                other = shingle(y)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                either = len(mine) + len(other) - both
-                if either and both >= t * either - 1e-12:
-                    out.append((a, b, both / either))
-            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["fp_a", "fp_b", "similarity"])
+            key, size, fp = (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("key", "size", "fp"), strict=True))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
+            out = decide(key[new], size[new], fp[new], False)
+            if out is not None:
+                yield out
+        out = decide(*held, True)
+        if out is not None:
+            yield out
 
     return of
 
 
 def texts_of(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """(origin, id, text, fp) of several tables; null ids and texts are left out. fp stands for the exact text."""
+    """(origin, id, text, fp, check) of several tables; null ids and texts are left out. fp and check together, 128 bits,
+    stand for the exact text."""
     out = None
     for origin, df, key, text in tables:
         d = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.lit(origin).alias("origin"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
         out = d if out is None else out.unionByName(d)
-    return out.withColumn("fp", F.xxhash64("origin", "text"))
+    return out.withColumns({"fp": F.xxhash64("origin", "text"), "check": F.xxhash64(F.lit(11), "text")})
 
 
 def candidate_pairs(texts: DataFrame, t: float, run: int) -> DataFrame:
-    """(fp_a, fp_b) of different texts that share a run of their prefixes and may have J >= t; all that have it are there."""
-    salted = texts.select("fp", F.pmod(F.xxhash64("origin"), F.lit(1_000_000_007)).alias("salt"), "text")
+    """(fp_a, fp_b) of different texts that met in a block and whose sizes allow J >= t; all that have it are there. Only
+    numbers are shuffled; a key that many texts have is split by the adaptive join."""
+    salted = texts.select("fp", "check", F.pmod(F.xxhash64("origin"), F.lit(1_000_003)).alias("salt"), "text")
     rows = salted.mapInArrow(_keys(t, run, *common_runs(texts, run)), "fp long, size int, keys array<long>")
-    rows = rows.select("fp", "size", F.posexplode("keys").alias("at", "key"))
-
-    # most runs are met by one text only, or by none of a size that can match; they end here, after the one large shuffle.
-    # In the order of sizes a text has a match if a neighbour is one. Repeated rows end here too, where a key is in one task
-    by_size = Window.partitionBy("key").orderBy("size")
-    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = (F.lag("size").over(by_size) >= F.col("size") * F.lit(t) - 1e-9) | (F.col("size") >= F.lead("size").over(by_size) * F.lit(t) - 1e-9)
-    met = rows.withColumns({"near": near, "least": F.min("fp").over(whole), "most": F.max("fp").over(whole)}).where("near and least <> most")
-    met = keep(met.select("key", "fp", "size", "at").distinct(), "p5-met")
-    pairs = met.toDF("key", "fp_a", "size_a", "at_a").join(met.toDF("key", "fp_b", "size_b", "at_b"), "key").where("fp_a < fp_b")
+    rows = rows.select(F.explode("keys").alias("key"), "fp", "size")
+    # most blocks are met by one text only; they end here, behind the one large shuffle
+    met = rows.repartition("key").sortWithinPartitions("key", "size", "fp").mapInArrow(_met(t), "key long, fp long, size int")
+    met = keep(met, "p5-met")
+    pairs = met.toDF("key", "fp_a", "size_a").join(met.toDF("key", "fp_b", "size_b"), "key").where("fp_a < fp_b")
     x, y = F.col("size_a"), F.col("size_b")
-    enough = (x + y) * F.lit(t / (1 + t)) - F.lit(1e-6)  # runs that a pair with J >= t shares
-    # shared runs stand in the same order in both, so at most min(at) come before this one, and min(size - at) from it on
-    rest = F.least(x - F.col("at_a"), y - F.col("at_b"))
-    pairs = pairs.where((F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9) & (F.least("at_a", "at_b") + rest >= enough))
-    pairs = pairs.groupBy("fp_a", "fp_b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.count("*").alias("shared"), F.max(rest).alias("from_first"), F.min(rest).alias("from_last"))
-    # a shared run that isn't in both prefixes lies behind the prefix that ends first
-    behind = F.ceil(F.greatest(x, y) * F.lit(t) - F.lit(1e-9)) - 1
-    most = F.least(F.col("from_first"), F.col("shared") - 1 + F.col("from_last"), F.col("shared") + behind)
-    return pairs.where(most >= enough).select("fp_a", "fp_b")
+    return pairs.where(F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9).select("fp_a", "fp_b").distinct()
 
 
-def similar_texts(texts: DataFrame, t: float = 0.7, run: int = 3) -> DataFrame:
-    """(fp_a, fp_b, similarity) of the pairs of different texts of one origin with Jaccard similarity >= t over their
-    runs of ``run`` words, verified exactly."""
+def sketch_words(size: int) -> int:
+    """64-bit words of the bit sketch of a text: two bits for each run of the largest text of its band."""
+    return max(1, 4 ** (band_of(size) + 1) * 2 // 64)
+
+
+def bit_sketch(h: np.ndarray) -> np.ndarray:
+    """Parities: bit b is set if an odd number of runs falls on it. A larger sketch folds to a smaller one by XOR."""
+    words = sketch_words(len(h))
+    bit = mix64(h) & np.uint64(words * 64 - 1)
+    odd = np.bincount(bit.astype(np.int64), minlength=words * 64).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _sketches(run: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(run)
+        for batch in batches:
+            found = list(shingle(batch.column("text").to_pylist()))
+            with np.errstate(over="ignore"):
+                bits = [bit_sketch(h) if len(h) else np.empty(0, np.int64) for h in found]
+            offsets = np.concatenate(([0], np.cumsum([len(b) for b in bits]))).astype(np.int32)
+            flat = np.concatenate(bits) if bits else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("check"), pa.array([len(h) for h in found], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["fp", "check", "size", "sketch"])
+
+    return of
+
+
+def hamming(a: str, b: str):
+    """Distance of two bit sketches, the larger folded to the size of the smaller."""
+    n = F.least(F.size(a), F.size(b))
+    fold = lambda s, j: F.aggregate(F.sequence(F.lit(0), (F.size(s) / n).cast("int") - 1), F.lit(0).cast("long"), lambda acc, q: acc.bitwiseXOR(F.get(F.col(s), j + q * n)))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, j: acc + F.bit_count(fold(a, j).bitwiseXOR(fold(b, j))))
+
+
+def near_pairs(texts: DataFrame, t: float, run: int) -> DataFrame:
+    """(fp_a, check_a, fp_b, check_b): the candidates whose bit sketches are as near as texts with J >= t are."""
     pairs = keep(candidate_pairs(texts, t, run), "p5-pairs")
-    needed = pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
-    found = texts.select("fp", "text").join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
-    found = keep(found, "p5-texts")
-    with_a = pairs.join(found.select(F.col("fp").alias("fp_a"), F.col("text").alias("text_a")), "fp_a")
-    with_b = with_a.join(found.select(F.col("fp").alias("fp_b"), F.col("text").alias("text_b")), "fp_b")
-    return with_b.select("fp_a", "fp_b", "text_a", "text_b").mapInArrow(_verify(t, run), "fp_a long, fp_b long, similarity double")
+    asked = pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
+    bits = texts.select("fp", "check", "text").join(asked, "fp", "left_semi").mapInArrow(_sketches(run), "fp long, check long, size int, sketch array<long>")
+    bits = keep(bits.dropDuplicates(["fp", "check"]), "p5-sketches")
+    both = pairs.join(bits.toDF("fp_a", "check_a", "size_a", "sketch_a"), "fp_a").join(bits.toDF("fp_b", "check_b", "size_b", "sketch_b"), "fp_b")
+    far = F.floor(F.lit((1 - t) / (1 + t)) * (F.col("size_a") + F.col("size_b")) + F.lit(1e-9))
+    return both.where((F.size("sketch_a") > 0) & (F.size("sketch_b") > 0)).where(hamming("sketch_a", "sketch_b") <= far).select("fp_a", "check_a", "fp_b", "check_b")
+
+
+def _verify(t: float, run: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(run)
+        names = ("fp_a", "check_a", "fp_b", "check_b")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):  # texts may be long: few at a time
+                batch = whole.slice(at, 64)
+                a, b = (list(shingle(batch.column(c).to_pylist())) for c in ("text_a", "text_b"))
+                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
+                sims = [n / (len(x) + len(y) - n) if n else 0.0 for n, x, y in zip(both, a, b, strict=True)]
+                good = pa.array([n > 0 and n >= t * (len(x) + len(y) - n) - 1e-9 for n, x, y in zip(both, a, b, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sims, pa.float64())], [*names, "similarity"]).filter(good)
+
+    return of
+
+
+def similar_texts(texts: DataFrame, t: float = 0.7, run: int = 3) -> DataFrame:
+    """(fp_a, check_a, fp_b, check_b, similarity) of the pairs of different texts of one origin with Jaccard similarity
+    >= t over their runs of ``run`` words, verified on the texts."""
+    pairs = keep(near_pairs(texts, t, run), "p5-near")
+    asked = pairs.select(F.explode(F.array(F.struct(F.col("fp_a").alias("fp"), F.col("check_a").alias("check")), F.struct(F.col("fp_b").alias("fp"), F.col("check_b").alias("check")))).alias("x")).select("x.fp", "x.check").distinct()
+    found = keep(texts.select("fp", "check", "text").join(asked, ["fp", "check"], "left_semi").dropDuplicates(["fp", "check"]), "p5-texts")
+    with_a = pairs.join(found.toDF("fp_a", "check_a", "text_a"), ["fp_a", "check_a"])
+    both = with_a.join(found.toDF("fp_b", "check_b", "text_b"), ["fp_b", "check_b"])
+    return both.mapInArrow(_verify(t, run), "fp_a long, check_a long, fp_b long, check_b long, similarity double")
+
+
+def members_of(texts: DataFrame, run: int) -> DataFrame:
+    """(origin, id, fp, check), once each, of the texts with at least ``run`` words."""
+    enough = r"[^\p{L}\p{N}]+".join([r"[\p{L}\p{N}]+"] * run)
+    return texts.where(F.col("text").rlike(enough)).select("origin", "id", "fp", "check").distinct()
 
 
 def similar_rows(tables: list[tuple[str, DataFrame, str, str]], t: float = 0.7, run: int = 3) -> DataFrame:
     """(origin, id_a, id_b, similarity), id_a < id_b, of all pairs of rows of one table whose texts have a Jaccard
-    similarity of t or more, exact copies included. Repeated rows count once; null texts and texts of fewer than
-    ``run`` words are in no pair."""
+    similarity of t or more, exact copies included: where every pair is asked for. ``similar_groups`` has the groups
+    without writing out the pairs of copies. Repeated rows count once; null texts and texts of fewer than ``run`` words
+    are in no pair."""
     texts = texts_of(tables)
     pairs = keep(similar_texts(texts, t, run), "p5-similar")
-    ids = keep(texts.select("origin", "id", "fp", (F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= run).alias("long")).where("long").select("origin", "id", "fp").distinct(), "p5-ids")
-    a, b = ids.select("origin", F.col("id").alias("id_1"), F.col("fp").alias("fp_a")), ids.select(F.col("id").alias("id_2"), F.col("fp").alias("fp_b"))
-    across = pairs.join(a, "fp_a").join(b, "fp_b").select("origin", "id_1", "id_2", "similarity")
-    copies = ids.groupBy("fp").count().where("count > 1").select("fp")
-    same = ids.join(copies, "fp", "left_semi")
-    within = same.select("origin", "fp", F.col("id").alias("id_1")).join(same.select("fp", F.col("id").alias("id_2")), "fp").where("id_1 < id_2").select("origin", "id_1", "id_2", F.lit(1.0).alias("similarity"))
+    ids = keep(members_of(texts, run), "p5-ids")
+    a = ids.select("origin", F.col("id").alias("id_1"), F.col("fp").alias("fp_a"), F.col("check").alias("check_a"))
+    b = ids.select(F.col("id").alias("id_2"), F.col("fp").alias("fp_b"), F.col("check").alias("check_b"))
+    across = pairs.join(a, ["fp_a", "check_a"]).join(b, ["fp_b", "check_b"]).select("origin", "id_1", "id_2", "similarity")
+    copies = ids.groupBy("origin", "fp", "check").count().where("count > 1").drop("count")
+    same = ids.join(copies, ["origin", "fp", "check"], "left_semi")
+    within = same.withColumnRenamed("id", "id_1").join(same.withColumnRenamed("id", "id_2"), ["origin", "fp", "check"]).where("id_1 < id_2").select("origin", "id_1", "id_2", F.lit(1.0).alias("similarity"))
     return across.unionByName(within).select("origin", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"), "similarity").where("id_a < id_b").distinct()
+
+
+def similar_groups(tables: list[tuple[str, DataFrame, str, str]], t: float = 0.7, run: int = 3) -> DataFrame:
+    """(origin, id, group_id, copies, links) of every row that has a copy or a near duplicate. The group is the component
+    of linked texts, named by its least id; copies is the number of ids with the row's exact text, itself included; links
+    is the number of other texts that its text is near to. Copies meet their text's row, never each other."""
+    texts = texts_of(tables)
+    pairs = keep(similar_texts(texts, t, run), "p5-similar")
+    ids = keep(members_of(texts, run), "p5-ids")
+    text = ["origin", "fp", "check"]
+    classes = keep(ids.groupBy(*text).agg(F.min("id").alias("least"), F.count("*").alias("copies")), "p5-classes")
+    name = F.concat_ws(":", "origin", F.lpad(F.col("least").cast("string"), 20, "0"))
+    named = classes.select("fp", "check", name.alias("name"))
+    links = keep(pairs.join(named.toDF("fp_a", "check_a", "src"), ["fp_a", "check_a"]).join(named.toDF("fp_b", "check_b", "dst"), ["fp_b", "check_b"]).where("substring_index(src, ':', 1) = substring_index(dst, ':', 1) and src <> dst").select("src", "dst").distinct(), "p5-links")
+    count = links.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count("*").alias("links"))
+    parts = connected_components(links).select(F.col("node").alias("name"), "component")
+    told = classes.withColumn("name", name).join(count, "name", "left").join(parts, "name", "left").where("copies > 1 or links > 0")
+    told = told.select(*text, F.coalesce(F.substring_index("component", ":", -1).cast("long"), "least").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return ids.join(told, text).select("origin", "id", "group_id", "copies", "links")

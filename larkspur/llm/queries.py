@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import body, copies, lines, mix, neardup, pack, pii, spans, split, tokens
-from larkspur.operators.components import connected_components
-from larkspur.session import keep, read_table
+from larkspur.session import read_table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +47,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(origin, id, group_id) of every row that is in a pair."""
-    pairs = keep(neardup.similar_rows(_near_tables(spark, sf_dir)), "p5-rows")
-    name = lambda c: F.concat_ws(":", "origin", F.lpad(F.col(c).cast("string"), 20, "0"))
-    parts = connected_components(pairs.select(name("id_a").alias("src"), name("id_b").alias("dst")))
-    of = lambda c: F.substring_index(c, ":", -1).cast("long")
-    return parts.select(F.substring_index("node", ":", 1).alias("origin"), of("node").alias("id"), of("component").alias("group_id"))
+    """(origin, id, group_id, copies, links) of every row that has a copy or a near duplicate."""
+    return neardup.similar_groups(_near_tables(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,15 +77,57 @@ def test_a_hot_group_of_copies_is_whole(spark):
     assert got.count() == 61 * 60 // 2
 
 
-def test_plan_keeps_enough_blocks():
-    import math
-
-    for band in range(5, 14):
-        k, least = neardup.plan_of(band, 0.7)
-        top = 2 ** (band + 1)
-        differing = 2 * top * 0.3 / 1.7
-        assert k <= differing + 1 and 1 <= least <= 3
-        assert k == max(2, int(differing) + 1) or k * math.exp(-differing / k) >= neardup.EXPECTED * 0.9
+def test_thin_sketches_are_drawn_finer(spark, monkeypatch):
+    """With far too few blocks every text is thin at first; no pair is lost by it."""
+    import random
+
+    r = random.Random(3)
+    texts = []
+    for size in (70, 150, 300, 900):
+        base = [f"w{r.randrange(10_000)}" for _ in range(size)]
+        texts += [" ".join(base), " ".join(base[: int(size * 0.75)]), " ".join("x" if k % 23 == 0 else w for k, w in enumerate(base))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    s = {k: shingles(t) for k, t in enumerate(texts)}
+    want = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.7 * len(s[a] | s[b])}
+    monkeypatch.setattr(neardup, "LOAD", 40.0)
+    assert {(r.id_a, r.id_b) for r in neardup.similar_rows([("t", df, "id", "text")]).collect()} == want and len(want) >= 8
+
+
+def test_hamming_distance_never_exceeds_the_difference(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = []
+    for a, b, both in ((10, 12, 8), (60, 70, 50), (500, 300, 280), (1100, 1000, 990), (4000, 5000, 3900)):
+        x = r.integers(0, 2**63, a + b, dtype=np.uint64)
+        left, right = np.unique(x[:a]), np.unique(np.concatenate((x[:both], x[a : a + b - both])))
+        with np.errstate(over="ignore"):
+            rows.append((neardup.bit_sketch(left).tolist(), neardup.bit_sketch(right).tolist(), len(np.setxor1d(left, right))))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, most int")
+    for x in df.select("most", neardup.hamming("a", "b").alias("d")).collect():
+        assert 0.5 * x.most <= x.d <= x.most or x.most < 20 and x.d <= x.most
+
+
+def test_frequent_items_are_all_there():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    summary = neardup.FrequentItems(200)
+    for k in range(300):  # 20 items stand in all of 300 sets, more often than 36,000 / 200
+        summary.add(np.unique(np.concatenate((r.integers(100, 2**60, 100).astype(np.uint64), np.arange(20, dtype=np.uint64)))))
+        if k % 10 == 9:
+            summary.fold()
+    assert set(range(20)) <= set(summary.items.tolist())
+    assert len(summary.items) <= 200 and summary.counts.max() <= 300
+
+
+def test_groups_name_copies_and_links(spark):
+    base = [f"w{k}" for k in range(60)]
+    near, far = " ".join([*base[:57], "x", "y", "z"]), " ".join(f"v{k}" for k in range(60))
+    df = spark.createDataFrame([(5, " ".join(base)), (6, " ".join(base)), (6, " ".join(base)), (9, near), (10, far), (11, far), (12, "one two"), (13, "one two"), (None, "a b c"), (14, None)], "id long, text string")
+    got = {x.id: (x.group_id, x.copies, x.links) for x in neardup.similar_groups([("t", df, "id", "text")]).collect()}
+    assert got == {5: (5, 2, 1), 6: (5, 2, 1), 9: (5, 1, 1), 10: (10, 2, 0), 11: (10, 2, 0)}
+    assert neardup.similar_groups([("t", df.where("false"), "id", "text")]).count() == 0
 
 
 def extended(sizes, tries):
