@@ -1,13 +1,16 @@
 """Near-duplicate texts by a parity-sketch join.
 
 A text is the set of the 64-bit hashes of its word runs. The hashes are dealt into the blocks of a sketch, and a block
-holds the XOR (the parity, bit by bit) of its hashes. Texts are sketched in size bands: two texts with J >= t differ in
-at most D runs, D known from the sizes that can meet in the band, and D runs touch at most D blocks. So of a text with
-more than D filled blocks one is met again, untouched, in the other text: blocks are the keys of an equi-join. It is
-enough to send the first D + 1 blocks of an order that is the same for all texts (rarest content first): of the blocks
-that two texts have in common the first one stands behind at most D others in either. A text whose filled blocks don't
-exceed D is sketched again with four times the blocks, and again, until they do; a pair meets at the first level at
-which one of the two is through. Hence no pair is lost, at any size.
+holds the XOR (the parity, bit by bit) of its hashes: a rare run has a block of its own, common runs share a number of
+blocks that is fixed for a size band, so that even texts of common runs have telling blocks. A text with J >= t to
+another differs from it in a bounded number of runs, and a run alters at most one block; from the size and the number of
+filled common blocks follows how many blocks of the text can be altered at most (``altered``). By the pigeonhole
+principle a text with ``agree`` filled blocks more than that is met again, in so many untouched blocks, in the other
+text: blocks are the keys of an equi-join. It is enough to send the first altered + agree blocks of an order that is the
+same for all texts (most telling content first): of the blocks that two texts have in common, the first ones stand
+behind no more than ``altered`` others in either. A text with too few filled blocks is sketched again with four times the
+common blocks, and again, until it has enough; a pair meets at the first level at which one of the two is through.
+Hence no pair is lost.
 
 Pairs that met are held against a bound before their texts are fetched: the Hamming distance of two parity bit sketches
 is never more than the runs they differ in. What is left is verified on the texts.
@@ -25,10 +28,10 @@ from pyspark.sql import functions as F
 from larkspur.operators.components import connected_components
 from larkspur.session import keep
 
-COUNTERS = 1 << 16  # counters of the frequent-items summary of a task, 1 MB
-COMMON = 1 << 17  # runs that are told to be common, 2 MB
-LOAD = 1.5  # runs a block in the largest texts of a band
-SMALL = 64  # below this size every run is a block of its own
+COUNTERS = 1 << 20  # counters of the frequent-items summary of a task, 16 MB
+COMMON = 1 << 18  # runs that are told to be common, 4 MB
+SHARE = 0.15  # common blocks of a band, as a share of the runs of its largest text
+AGREE, LARGE = 3, 16  # blocks in which a pair agrees at least, if the smaller text has so many runs; else 1
 SLICE = 300_000  # characters that are hashed at a time
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -118,27 +121,43 @@ class FrequentItems:
         self.items, self.counts = x[c > 0], c[c > 0]
 
 
-def _frequent(run: int):
+def _first_pass(run: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, summary = Shingler(run), FrequentItems(COUNTERS)
+        names = ["kind", "a", "b", "n", "sketch"]
         for batch in batches:
+            sizes, bits, good = [], [], []
             for h in shingle(batch.column("text").to_pylist()):
-                summary.add(h)
+                good.append(len(h) > 0)
+                if len(h):
+                    summary.add(h)
+                    sizes.append(len(h))
+                    with np.errstate(over="ignore"):
+                        bits.append(bit_sketch(h))
+            kept = batch.filter(pa.array(good, pa.bool_()))
+            offsets = np.concatenate(([0], np.cumsum([len(b) for b in bits]))).astype(np.int32)
+            sketches = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bits) if bits else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), kept.column("fp"), kept.column("check"), pa.array(sizes, pa.int64()), sketches], names)
         summary.fold()
-        often = summary.counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(summary.items[often].view(np.int64)), pa.array(summary.counts[often])], ["h", "n"])
+        items, counts = summary.items, summary.counts
+        most = np.argsort(-counts, kind="stable")[:COMMON]
+        most = most[counts[most] > 2]
+        n = len(most)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(items[most].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(counts[most]), pa.nulls(n, pa.list_(pa.int64()))], names)
 
     return of
 
 
-def common_runs(texts: DataFrame, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of the runs that are frequent in all texts, at most ``COMMON``: the tasks' summaries are
-    added up. The order that comes of it decides how many texts meet, never whether a pair is found."""
-    counts = texts.select("text").mapInArrow(_frequent(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+def first_pass(texts: DataFrame, run: int) -> tuple[DataFrame, Worth]:
+    """((fp, check, size, sketch) of each text with a run, the worth of runs). Of at most ``COMMON`` runs that are frequent
+    in all texts the counts are known: the tasks' summaries are added up. They decide how many texts meet, never whether
+    a pair is found."""
+    out = keep(texts.select("fp", "check", "text").mapInArrow(_first_pass(run), "kind int, a long, b long, n long, sketch array<long>"), "p5-first")
+    found = out.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON).toArrow()
+    h, n = found.column("a").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
-    return h[order], np.minimum(n[order], 65_535).astype(np.uint64)
+    sketches = out.where("kind = 0").select(F.col("a").alias("fp"), F.col("b").alias("check"), F.col("n").cast("int").alias("size"), "sketch").dropDuplicates(["fp", "check"])
+    return sketches, Worth(h[order], n[order], out.where("kind = 0").count())
 
 
 def band_of(size: int) -> int:
@@ -146,69 +165,85 @@ def band_of(size: int) -> int:
     return (size.bit_length() - 1) // 2
 
 
-def blocks_of(band: int, level: int = 0) -> int:
-    """Blocks of a band's sketch; at small sizes so many that every run has its own."""
-    top = 4 ** (band + 1)
-    return min(2**32, 2**32 if top <= SMALL else int(top / LOAD) * 4**level)
+def blocks_of(band: int, level: int) -> int:
+    """Blocks of a band that common runs share."""
+    return min(2**32, max(1, int(4 ** (band + 1) * SHARE)) * 4**level)
 
 
-def differing(a: int, b: int, t: float) -> int:
-    """Runs in which two texts of ``a`` and ``b`` runs with J >= t differ at most."""
-    return int((1 - t) / (1 + t) * (a + b) + 1e-9)
+def altered(size: int, shared: int, t: float, cap: int | None = None) -> int:
+    """Blocks of a text of ``size`` runs and ``shared`` filled common blocks that differ at most from those of any text
+    (of at most ``cap`` runs) with J >= t. With x runs of its own and y runs of the other one alone J is (size - x) /
+    (size + y); each of the x alters one block, and the y can alter no more than the shared ones."""
+    x = np.arange(int(size * (1 - t) + 1e-9) + 1)
+    y = np.floor((size - x) / t - size + 1e-9)
+    if cap is not None:
+        y = np.minimum(y, cap - size + x)
+    good = y >= 0
+    return int((x + np.minimum(y, shared))[good].max()) if good.any() else -1
 
 
-def roles(size: int, t: float) -> list[tuple[int, int]]:
-    """[(band, D)] of a text: its own band, and the next lower one if texts of it are large enough to match. A pair meets
+def roles(size: int, t: float) -> list[tuple[int, int | None]]:
+    """[(band, cap)] of a text: its own band, and the next lower one if texts of it are large enough to match. A pair meets
     in the band of the smaller text."""
     own = band_of(size)
-    out = [(own, differing(size, int(size / t + 1e-9), t))]
     below = 4**own - 1
-    if own and below >= size * t - 1e-9:
-        out.append((own - 1, differing(size, below, t)))
-    return out
+    return [(own, None), (own - 1, below)] if own and below >= size * t - 1e-9 else [(own, None)]
 
 
-def sketch_keys(h: np.ndarray, t: float, salt: int, count: np.ndarray) -> np.ndarray:
-    """The keys of one text: ``h`` are its sorted run hashes, ``count`` how common each is."""
+def sketch_keys(h: np.ndarray, t: float, salt: int, worth: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The keys of one text: ``h`` are its sorted run hashes, ``worth`` how telling each is, ``rare`` whether it isn't
+    known to be common."""
     keys = []
     with np.errstate(over="ignore"):
-        for band, most in roles(len(h), t):
+        names = mix64(h[rare] * MIX + np.uint64(salt))
+        own_worth, common, worth = worth[rare], h[~rare], worth[~rare]
+        for band, cap in roles(len(h), t):
             level = 0
             while True:
-                k = blocks_of(band, level)
-                x, c = h, count
+                x, w, place = common, worth, common
                 if level:
-                    order = np.argsort(mix64(h + MIX * np.uint64(level)))
-                    place = mix64(h + MIX * np.uint64(level))[order]
-                    x, c = h[order], count[order]
-                else:
-                    place = h
-                block = ((place >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-                first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-                xor = np.bitwise_xor.reduceat(x, first)
-                load = np.diff(np.append(first, len(x))).astype(np.uint64)
-                name = mix64(xor * MIX + mix64(block[first] + np.uint64((salt * 64 + band) * 32 + level)))
-                if len(first) <= most and k < 2**32:
-                    keys.append(name)
-                    level += 1
-                    continue
-                # rarest first, then fullest, then by name: a rule of the content, so the same for every text
-                rank = (np.minimum.reduceat(c, first) << np.uint64(48)) | ((np.uint64(15) - np.minimum(load, np.uint64(15))) << np.uint64(44)) | (name >> np.uint64(20))
-                if most + 1 < len(rank):
-                    name = name[rank <= np.partition(rank, most)[most]]
+                    place = mix64(common + MIX * np.uint64(level))
+                    order = np.argsort(place)
+                    x, w, place = common[order], worth[order], place[order]
+                block = ((place >> np.uint64(32)) * np.uint64(blocks_of(band, level))) >> np.uint64(32)
+                name, told = names, own_worth
+                first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(x) else np.empty(0, np.int64)
+                if len(first):
+                    xor = np.bitwise_xor.reduceat(x, first)
+                    shared = mix64(xor * MIX + mix64(block[first] + np.uint64((salt * 64 + band) * 64 + level + 1)))
+                    name, told = np.concatenate((names, shared)), np.concatenate((own_worth, np.add.reduceat(w, first)))
+                most = altered(len(h), len(first), t, cap)
+                if most < 0:
+                    break
+                through = len(name) >= most + (AGREE if len(h) >= LARGE else 1)
+                if most + AGREE < len(name):  # a rule of the content, so the same for every text; ties are all sent
+                    last = most + AGREE - 1
+                    rank = ((np.uint64(65_535) - np.minimum(told, np.uint64(65_535))) << np.uint64(48)) | (name >> np.uint64(16))
+                    name = name[rank <= np.partition(rank, last)[last]]
                 keys.append(name)
-                break
-    return np.concatenate(keys).view(np.int64)
+                if through or blocks_of(band, level) == 2**32:
+                    break
+                level += 1
+    return np.unique(np.concatenate(keys)).view(np.int64)
+
 
+class Worth:
+    """How telling runs are, in sixteenths of a bit: the logarithm of one in how many texts has them."""
 
-def _commonness(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    if not len(common):
-        return np.zeros(len(h), np.uint64)
-    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-    return np.where(common[at] == h, counts[at], np.uint64(0))
+    def __init__(self, common: np.ndarray, counts: np.ndarray, texts: int):
+        bits = lambda n: np.log2(np.maximum(texts, 2) / np.minimum(np.maximum(n, 1), max(texts, 2)))
+        self.common, self.known = common, (16 * bits(counts)).astype(np.uint64)
+        self.unknown = np.uint64(16 * bits(np.array(counts.min() if len(counts) else 1)))
 
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.common):
+            return np.full(len(h), self.unknown), np.ones(len(h), bool)
+        at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+        rare = self.common[at] != h
+        return np.where(rare, self.unknown, self.known[at]), rare
 
-def _keys(t: float, run: int, common: np.ndarray, counts: np.ndarray):
+
+def _keys(t: float, run: int, worth: Worth):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(run), set()
         for batch in batches:
@@ -223,7 +258,7 @@ def _keys(t: float, run: int, common: np.ndarray, counts: np.ndarray):
             fps, sizes, keys, offsets = [], [], [], [0]
             for k, h in zip(new, shingle([text[k] for k in new]), strict=True):
                 if len(h):
-                    own = sketch_keys(h, t, salt[k], _commonness(h, common, counts))
+                    own = sketch_keys(h, t, salt[k], *worth(h))
                     fps.append(fp[k])
                     sizes.append(len(h))
                     keys.append(own)
@@ -277,18 +312,20 @@ def texts_of(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     return out.withColumns({"fp": F.xxhash64("origin", "text"), "check": F.xxhash64(F.lit(11), "text")})
 
 
-def candidate_pairs(texts: DataFrame, t: float, run: int) -> DataFrame:
-    """(fp_a, fp_b) of different texts that met in a block and whose sizes allow J >= t; all that have it are there. Only
+def candidate_pairs(texts: DataFrame, t: float, run: int, worth: Worth) -> DataFrame:
+    """(fp_a, fp_b) of different texts that met in enough blocks and whose sizes allow J >= t; all that have it are there. Only
     numbers are shuffled; a key that many texts have is split by the adaptive join."""
     salted = texts.select("fp", "check", F.pmod(F.xxhash64("origin"), F.lit(1_000_003)).alias("salt"), "text")
-    rows = salted.mapInArrow(_keys(t, run, *common_runs(texts, run)), "fp long, size int, keys array<long>")
+    rows = salted.mapInArrow(_keys(t, run, worth), "fp long, size int, keys array<long>")
     rows = rows.select(F.explode("keys").alias("key"), "fp", "size")
     # most blocks are met by one text only; they end here, behind the one large shuffle
     met = rows.repartition("key").sortWithinPartitions("key", "size", "fp").mapInArrow(_met(t), "key long, fp long, size int")
     met = keep(met, "p5-met")
     pairs = met.toDF("key", "fp_a", "size_a").join(met.toDF("key", "fp_b", "size_b"), "key").where("fp_a < fp_b")
     x, y = F.col("size_a"), F.col("size_b")
-    return pairs.where(F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9).select("fp_a", "fp_b").distinct()
+    fit = pairs.where(F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9)
+    met_in = fit.groupBy("fp_a", "fp_b").agg(F.count("*").alias("blocks"), F.min(F.least(x, y)).alias("size"))
+    return met_in.where((F.col("blocks") >= AGREE) | (F.col("size") < LARGE)).select("fp_a", "fp_b")
 
 
 def sketch_words(size: int) -> int:
@@ -304,20 +341,6 @@ def bit_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def _sketches(run: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(run)
-        for batch in batches:
-            found = list(shingle(batch.column("text").to_pylist()))
-            with np.errstate(over="ignore"):
-                bits = [bit_sketch(h) if len(h) else np.empty(0, np.int64) for h in found]
-            offsets = np.concatenate(([0], np.cumsum([len(b) for b in bits]))).astype(np.int32)
-            flat = np.concatenate(bits) if bits else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("check"), pa.array([len(h) for h in found], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["fp", "check", "size", "sketch"])
-
-    return of
-
-
 def hamming(a: str, b: str):
     """Distance of two bit sketches, the larger folded to the size of the smaller."""
     n = F.least(F.size(a), F.size(b))
@@ -325,15 +348,12 @@ def hamming(a: str, b: str):
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, j: acc + F.bit_count(fold(a, j).bitwiseXOR(fold(b, j))))
 
 
-def near_pairs(texts: DataFrame, t: float, run: int) -> DataFrame:
+def near_pairs(texts: DataFrame, t: float, run: int, bits: DataFrame, worth: Worth) -> DataFrame:
     """(fp_a, check_a, fp_b, check_b): the candidates whose bit sketches are as near as texts with J >= t are."""
-    pairs = keep(candidate_pairs(texts, t, run), "p5-pairs")
-    asked = pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
-    bits = texts.select("fp", "check", "text").join(asked, "fp", "left_semi").mapInArrow(_sketches(run), "fp long, check long, size int, sketch array<long>")
-    bits = keep(bits.dropDuplicates(["fp", "check"]), "p5-sketches")
+    pairs = keep(candidate_pairs(texts, t, run, worth), "p5-pairs")
     both = pairs.join(bits.toDF("fp_a", "check_a", "size_a", "sketch_a"), "fp_a").join(bits.toDF("fp_b", "check_b", "size_b", "sketch_b"), "fp_b")
     far = F.floor(F.lit((1 - t) / (1 + t)) * (F.col("size_a") + F.col("size_b")) + F.lit(1e-9))
-    return both.where((F.size("sketch_a") > 0) & (F.size("sketch_b") > 0)).where(hamming("sketch_a", "sketch_b") <= far).select("fp_a", "check_a", "fp_b", "check_b")
+    return both.where(hamming("sketch_a", "sketch_b") <= far).select("fp_a", "check_a", "fp_b", "check_b")
 
 
 def _verify(t: float, run: int):
@@ -352,21 +372,17 @@ def _verify(t: float, run: int):
     return of
 
 
-def similar_texts(texts: DataFrame, t: float = 0.7, run: int = 3) -> DataFrame:
-    """(fp_a, check_a, fp_b, check_b, similarity) of the pairs of different texts of one origin with Jaccard similarity
-    >= t over their runs of ``run`` words, verified on the texts."""
-    pairs = keep(near_pairs(texts, t, run), "p5-near")
+def similar_texts(texts: DataFrame, t: float = 0.7, run: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((fp_a, check_a, fp_b, check_b, similarity) of the pairs of different texts of one origin with Jaccard similarity
+    >= t over their runs of ``run`` words, verified on the texts; (fp, check) of all texts with at least one run)."""
+    bits, worth = first_pass(texts, run)
+    pairs = keep(near_pairs(texts, t, run, bits, worth), "p5-near")
     asked = pairs.select(F.explode(F.array(F.struct(F.col("fp_a").alias("fp"), F.col("check_a").alias("check")), F.struct(F.col("fp_b").alias("fp"), F.col("check_b").alias("check")))).alias("x")).select("x.fp", "x.check").distinct()
     found = keep(texts.select("fp", "check", "text").join(asked, ["fp", "check"], "left_semi").dropDuplicates(["fp", "check"]), "p5-texts")
     with_a = pairs.join(found.toDF("fp_a", "check_a", "text_a"), ["fp_a", "check_a"])
     both = with_a.join(found.toDF("fp_b", "check_b", "text_b"), ["fp_b", "check_b"])
-    return both.mapInArrow(_verify(t, run), "fp_a long, check_a long, fp_b long, check_b long, similarity double")
-
-
-def members_of(texts: DataFrame, run: int) -> DataFrame:
-    """(origin, id, fp, check), once each, of the texts with at least ``run`` words."""
-    enough = r"[^\p{L}\p{N}]+".join([r"[\p{L}\p{N}]+"] * run)
-    return texts.where(F.col("text").rlike(enough)).select("origin", "id", "fp", "check").distinct()
+    similar = both.mapInArrow(_verify(t, run), "fp_a long, check_a long, fp_b long, check_b long, similarity double")
+    return keep(similar, "p5-similar"), bits.select("fp", "check")
 
 
 def similar_rows(tables: list[tuple[str, DataFrame, str, str]], t: float = 0.7, run: int = 3) -> DataFrame:
@@ -375,12 +391,12 @@ def similar_rows(tables: list[tuple[str, DataFrame, str, str]], t: float = 0.7,
     without writing out the pairs of copies. Repeated rows count once; null texts and texts of fewer than ``run`` words
     are in no pair."""
     texts = texts_of(tables)
-    pairs = keep(similar_texts(texts, t, run), "p5-similar")
-    ids = keep(members_of(texts, run), "p5-ids")
+    pairs, told = similar_texts(texts, t, run)
+    ids = keep(texts.select("origin", "id", "fp", "check").distinct(), "p5-ids")
     a = ids.select("origin", F.col("id").alias("id_1"), F.col("fp").alias("fp_a"), F.col("check").alias("check_a"))
     b = ids.select(F.col("id").alias("id_2"), F.col("fp").alias("fp_b"), F.col("check").alias("check_b"))
     across = pairs.join(a, ["fp_a", "check_a"]).join(b, ["fp_b", "check_b"]).select("origin", "id_1", "id_2", "similarity")
-    copies = ids.groupBy("origin", "fp", "check").count().where("count > 1").drop("count")
+    copies = ids.groupBy("origin", "fp", "check").count().where("count > 1").drop("count").join(told, ["fp", "check"], "left_semi")
     same = ids.join(copies, ["origin", "fp", "check"], "left_semi")
     within = same.withColumnRenamed("id", "id_1").join(same.withColumnRenamed("id", "id_2"), ["origin", "fp", "check"]).where("id_1 < id_2").select("origin", "id_1", "id_2", F.lit(1.0).alias("similarity"))
     return across.unionByName(within).select("origin", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"), "similarity").where("id_a < id_b").distinct()
@@ -391,8 +407,8 @@ def similar_groups(tables: list[tuple[str, DataFrame, str, str]], t: float = 0.7
     of linked texts, named by its least id; copies is the number of ids with the row's exact text, itself included; links
     is the number of other texts that its text is near to. Copies meet their text's row, never each other."""
     texts = texts_of(tables)
-    pairs = keep(similar_texts(texts, t, run), "p5-similar")
-    ids = keep(members_of(texts, run), "p5-ids")
+    pairs, told = similar_texts(texts, t, run)
+    ids = keep(texts.select("origin", "id", "fp", "check").distinct().join(told, ["fp", "check"], "left_semi"), "p5-ids")
     text = ["origin", "fp", "check"]
     classes = keep(ids.groupBy(*text).agg(F.min("id").alias("least"), F.count("*").alias("copies")), "p5-classes")
     name = F.concat_ws(":", "origin", F.lpad(F.col("least").cast("string"), 20, "0"))

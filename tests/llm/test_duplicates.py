@@ -89,10 +89,30 @@ def test_thin_sketches_are_drawn_finer(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     s = {k: shingles(t) for k, t in enumerate(texts)}
     want = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.7 * len(s[a] | s[b])}
-    monkeypatch.setattr(neardup, "LOAD", 40.0)
+    monkeypatch.setattr(neardup, "SHARE", 0.001)
+    monkeypatch.setattr(neardup.Worth, "__call__", lambda self, h: (h * 0 + 1, h != h))  # all runs are common
     assert {(r.id_a, r.id_b) for r in neardup.similar_rows([("t", df, "id", "text")]).collect()} == want and len(want) >= 8
 
 
+def test_no_pair_alters_more_blocks_than_stated():
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    for _ in range(400):
+        both, x, y, t = int(r.integers(1, 200)), int(r.integers(0, 80)), int(r.integers(0, 80)), float(r.choice([0.5, 0.7, 0.8]))
+        if both < t * (both + x + y):
+            continue
+        blocks = int(r.integers(1, 60))
+        place = r.integers(0, blocks, both + x + y)
+        sets = [np.r_[0 : both + x], np.r_[0:both, both + x : both + x + y]]
+        content = [{int(b): frozenset(s[place[s] == b].tolist()) for b in np.unique(place[s])} for s in sets]
+        for mine, other, s, o in ((content[0], content[1], sets[0], sets[1]), (content[1], content[0], sets[1], sets[0])):
+            differ = sum(other.get(b) != c for b, c in mine.items())
+            assert differ <= neardup.altered(len(s), len(mine), t)
+            if len(o) < len(s):
+                assert differ <= neardup.altered(len(s), len(mine), t, len(o))
+
+
 def test_hamming_distance_never_exceeds_the_difference(spark):
     import numpy as np
 
