@@ -31,7 +31,7 @@ from larkspur.session import keep
 COUNTERS = 1 << 20  # counters of the frequent-items summary of a task, 16 MB
 COMMON = 1 << 18  # runs that are told to be common, 4 MB
 SHARE = 0.15  # common blocks of a band, as a share of the runs of its largest text
-AGREE, LARGE = 3, 16  # blocks in which a pair agrees at least, if the smaller text has so many runs; else 1
+GROUP = 64  # texts of one key that a task pairs itself; larger groups are left to a join
 SLICE = 300_000  # characters that are hashed at a time
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -170,6 +170,11 @@ def blocks_of(band: int, level: int) -> int:
     return min(2**32, max(1, int(4 ** (band + 1) * SHARE)) * 4**level)
 
 
+def agreeing(size: int) -> int:
+    """Blocks in which a pair agrees at least, by the size of its smaller text."""
+    return 1 if size < 16 else 3 if size < 64 else 6
+
+
 def altered(size: int, shared: int, t: float, cap: int | None = None) -> int:
     """Blocks of a text of ``size`` runs and ``shared`` filled common blocks that differ at most from those of any text
     (of at most ``cap`` runs) with J >= t. With x runs of its own and y runs of the other one alone J is (size - x) /
@@ -215,9 +220,9 @@ def sketch_keys(h: np.ndarray, t: float, salt: int, worth: np.ndarray, rare: np.
                 most = altered(len(h), len(first), t, cap)
                 if most < 0:
                     break
-                through = len(name) >= most + (AGREE if len(h) >= LARGE else 1)
-                if most + AGREE < len(name):  # a rule of the content, so the same for every text; ties are all sent
-                    last = most + AGREE - 1
+                last = most + agreeing(len(h)) - 1
+                through = len(name) > last
+                if last + 1 < len(name):  # a rule of the content, so the same for every text; ties are all sent
                     rank = ((np.uint64(65_535) - np.minimum(told, np.uint64(65_535))) << np.uint64(48)) | (name >> np.uint64(16))
                     name = name[rank <= np.partition(rank, last)[last]]
                 keys.append(name)
@@ -270,34 +275,50 @@ def _keys(t: float, run: int, worth: Worth):
 
 
 def _met(t: float):
-    """Of rows sorted by (key, size, fp) those with a neighbour of another text and a size that can match: in the order of
-    sizes a text has a match of its key if a neighbour is one. Two rows are held over from batch to batch."""
+    """Of rows sorted by (key, size, fp) the pairs of different texts that have a key in common and sizes that can match, as
+    (null, fp, fp, smaller size). Groups of more than ``GROUP`` texts are passed on as rows (key, fp, null, size)."""
+
+    def pairs(size: np.ndarray, fp: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+        for far in range(1, GROUP):  # each text with the far-th one behind it in its group
+            first, n = first[n > far], n[n > far]
+            if not len(n):
+                return
+            at = np.repeat(first - np.concatenate(([0], np.cumsum(n - far)[:-1])), n - far) + np.arange((n - far).sum())
+            at = at[size[at] >= size[at + far] * t - 1e-9]
+            yield np.minimum(fp[at], fp[at + far]), np.maximum(fp[at], fp[at + far]), size[at]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "fp_a", "fp_b", "size"]
         held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
-        done = 0  # of the held rows, how many are decided
-
-        def decide(key, size, fp, last: bool):
-            nonlocal held, done
-            n = len(key)
-            if not n:
-                return None
-            link = np.zeros(n + 1, bool)
-            link[1:n] = (key[1:] == key[:-1]) & (size[:-1] >= size[1:] * t - 1e-9)
-            end = n if last else n - 1
-            hit = np.flatnonzero((link[:-1] | link[1:])[done:end]) + done
-            held, done = [x[max(n - 2, 0) :] for x in (key, size, fp)], min(n - 1, 1)
-            return pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(fp[hit]), pa.array(size[hit])], ["key", "fp", "size"])
+        within = 0  # rows of the held group that were passed on already: it is a large one
+
+        def told(key, size, fp, end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, within
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+            n = np.diff(np.append(first, len(key)))
+            large = n > GROUP
+            if within and len(n):
+                large[0] = True
+            if len(n) and not end:  # the last group may go on in the next batch
+                a = first[-1]
+                if large[-1]:
+                    within, held = 1, [x[-1:] for x in (key, size, fp)]
+                else:
+                    within, held = 0, [x[a:] for x in (key, size, fp)]
+                    first, n, large = first[:-1], n[:-1], large[:-1]
+            found = list(pairs(size, fp, first[~large], n[~large]))
+            if found:
+                a, b, least = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.array(least)], names)
+            if large.any():
+                at = np.repeat(first[large] - np.concatenate(([0], np.cumsum(n[large])[:-1])), n[large]) + np.arange(n[large].sum())
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(fp[at]), pa.nulls(len(at), pa.int64()), pa.array(size[at])], names)
 
         for batch in batches:
             key, size, fp = (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("key", "size", "fp"), strict=True))
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
-            out = decide(key[new], size[new], fp[new], False)
-            if out is not None:
-                yield out
-        out = decide(*held, True)
-        if out is not None:
-            yield out
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))) if len(key) else np.empty(0, bool)
+            yield from told(key[new], size[new], fp[new], False)
+        yield from told(*held, True)
 
     return of
 
@@ -319,13 +340,15 @@ def candidate_pairs(texts: DataFrame, t: float, run: int, worth: Worth) -> DataF
     rows = salted.mapInArrow(_keys(t, run, worth), "fp long, size int, keys array<long>")
     rows = rows.select(F.explode("keys").alias("key"), "fp", "size")
     # most blocks are met by one text only; they end here, behind the one large shuffle
-    met = rows.repartition("key").sortWithinPartitions("key", "size", "fp").mapInArrow(_met(t), "key long, fp long, size int")
+    met = rows.repartition("key").sortWithinPartitions("key", "size", "fp").mapInArrow(_met(t), "key long, fp_a long, fp_b long, size int")
     met = keep(met, "p5-met")
-    pairs = met.toDF("key", "fp_a", "size_a").join(met.toDF("key", "fp_b", "size_b"), "key").where("fp_a < fp_b")
-    x, y = F.col("size_a"), F.col("size_b")
-    fit = pairs.where(F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9)
-    met_in = fit.groupBy("fp_a", "fp_b").agg(F.count("*").alias("blocks"), F.min(F.least(x, y)).alias("size"))
-    return met_in.where((F.col("blocks") >= AGREE) | (F.col("size") < LARGE)).select("fp_a", "fp_b")
+    small = met.where("fp_b is not null").select("fp_a", "fp_b", "size")
+    large = met.where("fp_b is null").select("key", "fp_a", "size").distinct()
+    x, y = F.col("x"), F.col("y")
+    pairs = large.toDF("key", "fp_a", "x").join(large.toDF("key", "fp_b", "y"), "key").where("fp_a < fp_b").where(F.least(x, y) >= F.greatest(x, y) * F.lit(t) - 1e-9)
+    both = small.unionByName(pairs.select("fp_a", "fp_b", F.least(x, y).alias("size"))).groupBy("fp_a", "fp_b").agg(F.count("*").alias("blocks"), F.min("size").alias("size"))
+    enough = F.when(F.col("size") < 16, agreeing(15)).when(F.col("size") < 64, agreeing(63)).otherwise(agreeing(64))
+    return both.where(F.col("blocks") >= enough).select("fp_a", "fp_b")
 
 
 def sketch_words(size: int) -> int:

@@ -94,6 +94,31 @@ def test_thin_sketches_are_drawn_finer(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in neardup.similar_rows([("t", df, "id", "text")]).collect()} == want and len(want) >= 8
 
 
+@pytest.mark.parametrize("rows", [1, 7, 64, 1000])
+def test_pairs_of_sorted_keys_match_brute_force(rows):
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(rows)
+    sizes = r.integers(3, 30, 400)
+    data = sorted({(int(k), int(sizes[f]), int(f)) for k, g in enumerate(r.choice([1, 2, 5, 63, 64, 65, 66, 200], 60)) for f in r.integers(0, 400, g)})
+    data = sorted(data + data[::5])
+    cols = [np.array(c) for c in zip(*data, strict=True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(cols[0][k : k + rows]), pa.array(cols[1][k : k + rows].astype(np.int32)), pa.array(cols[2][k : k + rows])], ["key", "size", "fp"]) for k in range(0, len(data), rows)]
+    by_key = {}
+    for k, s, f in data:
+        by_key.setdefault(k, set()).add((s, f))
+    want, passed = [], set()
+    for k, g in by_key.items():
+        if len(g) > neardup.GROUP:
+            passed |= {(k, f) for _, f in g}
+        else:
+            want += [(min(f, q), max(f, q), min(s, p)) for s, f in g for p, q in g if f < q and min(s, p) >= 0.7 * max(s, p) - 1e-9]
+    out = [x for b in neardup._met(0.7)(iter(batches)) for x in b.to_pylist()]
+    assert sorted((x["fp_a"], x["fp_b"], x["size"]) for x in out if x["fp_b"] is not None) == sorted(want)
+    assert {(x["key"], x["fp_a"]) for x in out if x["fp_b"] is None} == passed
+
+
 def test_no_pair_alters_more_blocks_than_stated():
     import numpy as np
 
