@@ -31,6 +31,7 @@ from larkspur.session import keep
 COUNTERS = 1 << 20  # counters of the frequent-items summary of a task, 16 MB
 COMMON = 1 << 18  # runs that are told to be common, 4 MB
 SHARE = 0.15  # common blocks of a band, as a share of the runs of its largest text
+SIEVE = 1 << 18  # residues that tell most of the texts that aren't needed, 2 MB
 GROUP = 64  # texts of one key that a task pairs itself; larger groups are left to a join
 SLICE = 300_000  # characters that are hashed at a time
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -156,7 +157,7 @@ def first_pass(texts: DataFrame, run: int) -> tuple[DataFrame, Worth]:
     found = out.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON).toArrow()
     h, n = found.column("a").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
-    sketches = out.where("kind = 0").select(F.col("a").alias("fp"), F.col("b").alias("check"), F.col("n").cast("int").alias("size"), "sketch").dropDuplicates(["fp", "check"])
+    sketches = out.where("kind = 0").select(F.col("a").alias("fp"), F.col("b").alias("check"), F.col("n").cast("int").alias("size"), "sketch")
     return sketches, Worth(h[order], n[order], out.where("kind = 0").count())
 
 
@@ -371,9 +372,19 @@ def hamming(a: str, b: str):
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, j: acc + F.bit_count(fold(a, j).bitwiseXOR(fold(b, j))))
 
 
+def asked_rows(rows: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose ``on``, which begins with fp, is among the asked ones, once each. At most ``SIEVE`` residues of fp are
+    broadcast, so that rows with a large column are mostly dropped before they would be shuffled."""
+    residue = F.pmod(F.col("fp"), F.lit(SIEVE)).alias("residue")
+    near = rows.withColumn("residue", residue).join(F.broadcast(asked.select(residue).distinct()), "residue", "left_semi").drop("residue")
+    return near.join(asked, on, "left_semi").dropDuplicates(["fp", "check"])
+
+
 def near_pairs(texts: DataFrame, t: float, run: int, bits: DataFrame, worth: Worth) -> DataFrame:
     """(fp_a, check_a, fp_b, check_b): the candidates whose bit sketches are as near as texts with J >= t are."""
     pairs = keep(candidate_pairs(texts, t, run, worth), "p5-pairs")
+    met = pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
+    bits = keep(asked_rows(bits, met, ["fp"]), "p5-sketches")
     both = pairs.join(bits.toDF("fp_a", "check_a", "size_a", "sketch_a"), "fp_a").join(bits.toDF("fp_b", "check_b", "size_b", "sketch_b"), "fp_b")
     far = F.floor(F.lit((1 - t) / (1 + t)) * (F.col("size_a") + F.col("size_b")) + F.lit(1e-9))
     return both.where(hamming("sketch_a", "sketch_b") <= far).select("fp_a", "check_a", "fp_b", "check_b")
@@ -401,7 +412,7 @@ def similar_texts(texts: DataFrame, t: float = 0.7, run: int = 3) -> tuple[DataF
     bits, worth = first_pass(texts, run)
     pairs = keep(near_pairs(texts, t, run, bits, worth), "p5-near")
     asked = pairs.select(F.explode(F.array(F.struct(F.col("fp_a").alias("fp"), F.col("check_a").alias("check")), F.struct(F.col("fp_b").alias("fp"), F.col("check_b").alias("check")))).alias("x")).select("x.fp", "x.check").distinct()
-    found = keep(texts.select("fp", "check", "text").join(asked, ["fp", "check"], "left_semi").dropDuplicates(["fp", "check"]), "p5-texts")
+    found = keep(asked_rows(texts.select("fp", "check", "text"), keep(asked, "p5-asked"), ["fp", "check"]), "p5-texts")
     with_a = pairs.join(found.toDF("fp_a", "check_a", "text_a"), ["fp_a", "check_a"])
     both = with_a.join(found.toDF("fp_b", "check_b", "text_b"), ["fp_b", "check_b"])
     similar = both.mapInArrow(_verify(t, run), "fp_a long, check_a long, fp_b long, check_b long, similarity double")
