@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.text import WORD, blank, fold
+from larkspur.session import keep
 
 
 def _plain(text: Column) -> Column:
@@ -18,31 +19,36 @@ def canonical(main_class: Column, sub_class: Column, text: Column) -> Column:
     return F.concat_ws("\n", main_class, _plain(fold(F.coalesce(sub_class, F.lit("")))), F.array_join(pieces, ";"))
 
 
-def copy_groups(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records with their hash, groups with the kept record and the number of copies).
+HOT = 1000  # a group of more than one in so many of all rows is hot; there are fewer than this many
 
-    Records are distinct record_ids; those with a null id or class or a blank text are in no group. Groups are counted
-    by hash with map-side combining, so a group that holds a third of all rows reaches the shuffle as one row a task.
-    A second hash and the length tell whether two canonical forms share a hash; such groups, normally none, are split
-    by the canonical form itself.
-    """
+
+def hashed(records: DataFrame) -> DataFrame:
+    """(hash, check, record_id), distinct and kept: the canonical form of every record is made once, and from here on 128
+    bits stand for it. check is a second, unlike hash of the form with its length. Records with a null id or class or a
+    blank class or text are left out."""
     form = canonical(F.col("main_class"), F.col("sub_class"), F.col("text"))
     rows = records.where(F.col("record_id").isNotNull() & F.col("main_class").isNotNull() & ~blank(F.col("main_class")) & ~blank(F.col("text"))).select("record_id", form.alias("form"))
-    rows = rows.select("record_id", F.unhex(F.md5("form")).alias("hash"), F.xxhash64("form", F.length("form")).alias("check"), "form")
-    ids = rows.groupBy("hash", "record_id").agg(F.min("check").alias("check"))
-    groups = ids.groupBy("hash").agg(F.min("record_id").alias("kept_id"), F.count("*").alias("copies"), F.min("check").alias("least"), F.max("check").alias("most"))
-    clear = groups.where("least = most").select("hash", F.lit("").alias("form"), "kept_id", "copies")
-    mixed = rows.join(groups.where("least <> most").select("hash"), "hash", "left_semi").groupBy("hash", "form").agg(F.min("record_id").alias("kept_id"), F.count_distinct("record_id").alias("copies"))
-    return rows, clear.unionByName(mixed)
+    return keep(rows.select(F.unhex(F.md5("form")).alias("hash"), F.xxhash64("form", F.length("form")).alias("check"), "record_id").distinct(), "p3-hashed")
+
+
+def copy_groups(rows: DataFrame) -> DataFrame:
+    """(hash, check, kept_id, copies) of ``hashed`` rows, counted with map-side combining, so that a group that holds a third
+    of all rows reaches the shuffle as one row a task. Two canonical forms of one hash differ in their check, which
+    parts them."""
+    return rows.groupBy("hash", "check").agg(F.min("record_id").alias("kept_id"), F.count("*").alias("copies"))
 
 
 def redundant_records(records: DataFrame) -> DataFrame:
-    """(kept_id, record_id) of every record that repeats another one, kept_id being the least of its group."""
-    rows, groups = copy_groups(records)
-    hits = rows.select("record_id", "hash", F.col("form").alias("own")).join(groups.where("copies > 1"), "hash").where("form = '' or form = own")
-    return hits.where("record_id <> kept_id").select("kept_id", "record_id").distinct()
+    """(kept_id, record_id) of every record that repeats another one, kept_id being the least of its group. Hot groups,
+    fewer than ``HOT``, are broadcast, so that their members stay where they are; the others are joined by hash."""
+    rows = hashed(records)
+    groups = keep(copy_groups(rows).where("copies > 1"), "p3-groups")
+    hot = F.broadcast(groups.where(F.col("copies") > rows.count() / HOT))
+    in_hot = rows.join(hot, ["hash", "check"])
+    rest = rows.join(hot, ["hash", "check"], "left_anti").join(groups, ["hash", "check"])
+    return in_hot.unionByName(rest).where("record_id <> kept_id").select("kept_id", "record_id").distinct()
 
 
 def collapsed_records(records: DataFrame) -> DataFrame:
     """One row a fact: (kept_id, copies)."""
-    return copy_groups(records)[1].select("kept_id", "copies")
+    return copy_groups(hashed(records)).select("kept_id", "copies")
