@@ -87,10 +87,9 @@ def pack_documents(counts: DataFrame, capacity: int = 2048) -> DataFrame:
     before = salted.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     histogram = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     slots = slots_of(pack_histogram(histogram, capacity))
-    # each pattern step ends a length or a group of packs, so slots grow with the capacity, not with the documents
+    # a pattern step ends a length or a group of packs, so slots grow with the capacity, not with the documents; their size
+    # decides whether they are broadcast
     table = pieces.sparkSession.createDataFrame(slots, "length int, low long, high long, container long, place int")
-    if len(slots) <= 500_000:
-        table = F.broadcast(table)
     ranked = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece_no"))).join(before.select("length", "salt", "before"), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1)
     placed = ranked.join(table, "length").where("rank >= low and rank < high")

@@ -56,7 +56,30 @@ def test_weights():
     assert mix.entropy(mix.temperature_weights(t, mix.bisect_exponent(t, target_entropy=goal))) == pytest.approx(goal, abs=1e-6)
     x = mix.bisect_exponent(t, max_repeats={"c": 2.0}, budget=1000.0)
     assert mix.temperature_weights(t, x)["c"] * 1000 <= 100 + 1e-6
-    assert mix.temperature_weights({}, 1.0) == {} and mix.budgets({}, {"a": (1.0, 2)})[0] == 0.0
+    assert mix.temperature_weights(t, x * 0.99)["c"] * 1000 > 100
+    assert mix.temperature_weights({}, 1.0) == {} and mix.budgets({}, {"a": (1.0, 2)})[1] == 0.0
+
+
+def test_exponents_above_one_and_what_cannot_be_met():
+    t = {"a": 800.0, "b": 150.0, "c": 50.0}
+    natural = mix.entropy(mix.temperature_weights(t, 1.0))
+    x = mix.bisect_exponent(t, target_entropy=natural / 3)
+    assert x > 1 and mix.entropy(mix.temperature_weights(t, x)) == pytest.approx(natural / 3, abs=1e-6)
+    for bad in ({"target_entropy": 2.0}, {"target_entropy": -0.1}, {"max_repeats": {"a": 1.0}}, {}, {"max_repeats": dict.fromkeys("abc", 1.0), "budget": 1500.0}, {"max_repeats": {}, "budget": 1.0, "target_entropy": 0.5}):
+        with pytest.raises(ValueError):
+            mix.bisect_exponent(t, **bad)
+
+
+def test_a_greater_budget_is_tilted_as_far_as_the_limits_allow():
+    tokens, targets = {"a": 1000, "b": 100, "c": 10}, {"a": (0.2, 2), "b": (0.4, 2), "c": (0.4, 3)}
+    x, whole, by_source = mix.budgets(tokens, targets)
+    assert x == 1.0 and whole == pytest.approx(75.0) and by_source["b"] == pytest.approx(30.0)
+    x, whole, by_source = mix.budgets(tokens, targets, 1200)
+    assert 0 < x < 1 and sum(by_source.values()) == pytest.approx(1200)
+    used = {s: by_source[s] / tokens[s] / targets[s][1] for s in tokens}
+    assert max(used.values()) <= 1 + 1e-6 and max(used.values()) == pytest.approx(1, abs=1e-6)
+    with pytest.raises(ValueError):
+        mix.budgets(tokens, targets, 5000)
 
 
 def test_mixture_reaches_its_shares(spark):
@@ -73,6 +96,21 @@ def test_mixture_reaches_its_shares(spark):
     assert any(sum(x.uses * x.n_tokens for x in rows if x.source == s) >= most * got[s].available_tokens * 0.99 for s, most in (("a", 1), ("b", 3), ("c", 2)))
 
 
+@pytest.mark.parametrize("total", [None, 5000, 60_000])
+def test_budgets_are_met_to_the_last_tokens(spark, total):
+    """Many documents of the same hash digits, a few long ones: the rest of each budget is filled by what fits."""
+    r = Random(3)
+    docs = [(k, r.choice("abbb"), r.choice([1, 2, 3, 50, 400]), "clash") for k in range(2000)]
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long, place string")
+    uses, shares = mix.mix_sources(df, targets, total)
+    have = {s: sum(n for _, q, n, _ in docs if q == s) for s in "ab"}
+    _, whole, budget = mix.budgets(have, {"a": (0.5, 2), "b": (0.5, 1)}, total)
+    for x in shares.collect():
+        assert 0 <= budget[x.source] - x.used_tokens < 2, (x, budget)
+    assert all(x.uses <= {"a": 2, "b": 1}[x.source] for x in uses.collect())
+
+
 def test_missing_source_makes_no_mixture(spark):
     df = spark.createDataFrame([(1, "a", 5)], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
