@@ -2,14 +2,17 @@
 
 Two facts keep every group small. Runs of one key that start within one cell of the width of the gap are always in one
 session, so rows are aggregated to (key, cell) before any window, with map-side combining; a window then sees at most
-one row per cell, which is bounded by the calendar (48 a day for half an hour), never by the number of runs. Run
-intervals only grow as more rows of a run arrive, so stored sessions only grow and merge, and an update needs nothing
-but the stored sessions of the batch's keys.
+one row per cell, which is bounded by the calendar (48 a day for half an hour), never by the number of runs.
+
+The table is a log of segments: a batch appends the runs and the sessions that it changed and nothing else; a session
+that it merged away or moved is appended as gone. Segments of a level are merged into one of the next level when there
+are ``fan`` of them, so what is written for a batch grows with the batch, and with the logarithm of the table.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +20,9 @@ from pyspark.sql import functions as F
 from larkspur.session import new_path
 
 RUNS = "run_id string, session_key string, start_us long, end_us long"
+CHANGED = RUNS + ", old_key string, old_start long"
 SESSIONS = "session_key string, start_us long, end_us long, n_runs long"
+VERSIONS = SESSIONS + ", live boolean, batch long"
 
 
 def clean_key(key: Column) -> Column:
@@ -29,11 +34,13 @@ def run_intervals(runs: DataFrame) -> DataFrame:
     """One row a run: from its earliest start to its latest end.
 
     Rows without a key (null or blank) or start are left out. An end that is null or before its start counts as the
-    start. Rows of one run_id are one run under its least key; a row without run_id is a run by itself.
+    start. Rows of one run_id are one run under its least key. Rows without run_id are one run if they are equal in all
+    columns: their contents, in 128 bits, stand for the id, so that a row that comes again is known.
     """
+    contents = F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in runs.columns)), {"ignoreNullFields": "false"}))
     start, end = F.unix_micros(F.col("started_at").cast("timestamp")), F.unix_micros(F.col("finished_at").cast("timestamp"))
     rows = (
-        runs.select(F.coalesce(F.concat(F.lit("r"), "run_id"), F.concat(F.lit("n"), F.uuid())).alias("run_id"), clean_key(F.col("session_key")).alias("session_key"), start.alias("start_us"), end.alias("end_us"))
+        runs.select(F.coalesce(F.concat(F.lit("r"), "run_id"), F.concat(F.lit("n"), contents)).alias("run_id"), clean_key(F.col("session_key")).alias("session_key"), start.alias("start_us"), end.alias("end_us"))
         .where("session_key <> '' and start_us is not null")
         .withColumn("end_us", F.greatest("start_us", "end_us"))
     )
@@ -52,15 +59,18 @@ def sessionize(intervals: DataFrame, gap_us: int) -> DataFrame:
 
 
 class SessionTable:
-    """Sessions and run intervals stored under one folder, in ``buckets`` parts by key and by run.
+    """Run states and sessions under one folder, as two logs of segments.
+
+    A small manifest names the segments. An update writes new ones and then replaces the manifest by one rename, so readers
+    see the table before or after a batch, never between. One writer at a time is assumed. Segments that a merge has
+    replaced are deleted one publication later, when no reader of the former manifest should be left.
 
-    A small manifest names the folder of each part. An update writes new folders for the affected parts only and then
-    replaces the manifest by one rename, so readers see the table before or after a batch, never between. One writer at
-    a time is assumed. A part that no batch touched keeps its folder.
+    What is known of a run only ever grows: its least key, earliest start and latest end, whatever the order in which its
+    rows come. A run whose least key changes leaves its session, which is then rebuilt from the runs in it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, gap_us: int = 30 * 60 * 1_000_000, buckets: int = 16):
-        self.spark, self.path, self.gap_us, self.buckets = spark, path.rstrip("/"), gap_us, buckets
+    def __init__(self, spark: SparkSession, path: str, gap_us: int = 30 * 60 * 1_000_000, fan: int = 8):
+        self.spark, self.path, self.gap_us, self.fan = spark, path.rstrip("/"), gap_us, fan
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -70,7 +80,7 @@ class SessionTable:
     def _manifest(self) -> dict:
         p = self._path(f"{self.path}/manifest.json")
         if not self._fs.exists(p):
-            return {"runs": {}, "sessions": {}}
+            return {"batch": 0, "runs": [], "sessions": [], "dropped": []}
         stream = self._fs.open(p)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -86,50 +96,92 @@ class SessionTable:
         options[0] = self._rename.OVERWRITE
         self._context.getFileContext(self._fs.getUri()).rename(self._fs.makeQualified(new), self._fs.makeQualified(final), options)
 
-    def _read(self, manifest: dict, table: str, schema: str, parts: list[int] | None = None) -> DataFrame:
-        folders = [v for k, v in manifest[table].items() if parts is None or int(k) in parts]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+    def _write(self, df: DataFrame, name: str) -> str:
+        folder = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(folder)
+        return folder
+
+    def _read(self, segments: list, schema: str) -> DataFrame:
+        """Segments are [level, folder], the oldest first."""
+        return self.spark.read.schema(schema).parquet(*(f for _, f in segments)) if segments else self.spark.createDataFrame([], schema)
+
+    def _latest(self, segments: list) -> DataFrame:
+        versions = self._read(segments, VERSIONS)
+        return versions.groupBy("session_key", "start_us").agg(F.max_by(F.struct("end_us", "n_runs", "live", "batch"), "batch").alias("v")).select("session_key", "start_us", "v.*")
+
+    def _live(self, segments: list) -> DataFrame:
+        return self._latest(segments).where("live").select("session_key", "start_us", "end_us", "n_runs")
 
     def sessions(self) -> DataFrame:
         """The sessions as last published."""
-        return self._read(self._manifest(), "sessions", SESSIONS)
-
-    def _write(self, df: DataFrame, by: str, manifest: dict, table: str) -> None:
-        part = F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("int")
-        root = new_path_under(self.path, table)
-        df.withColumn("part", part).write.option("compression", "zstd").partitionBy("part").parquet(root)
-        for status in self._fs.listStatus(self._path(root)):
-            name = status.getPath().getName()
-            if name.startswith("part="):
-                manifest[table][name.removeprefix("part=")] = status.getPath().toString()
+        return self._live(self._manifest()["sessions"])
+
+    def _merged(self, segments: list, table: str, dropped: list) -> list:
+        """Segments with every ``fan`` neighbours of one level merged. Sessions that are gone are forgotten once nothing
+        older is left."""
+        while len(segments) >= self.fan and len({level for level, _ in segments[-self.fan :]}) == 1:
+            old, last = segments[: -self.fan], segments[-self.fan :]
+            if table == "runs":
+                df = states(self._read(last, RUNS))
+            else:
+                df = self._latest(last) if old else self._latest(last).where("live")
+            segments = [*old, [last[0][0] + 1, self._write(df, table)]]
+            dropped += [f for _, f in last]
+        return segments
 
     def update(self, runs: DataFrame) -> None:
         """Take in one batch of run rows. Rows seen before, in any order or number, change nothing."""
         old = self._manifest()
+        number, dropped = old["batch"] + 1, []
         batch = run_intervals(runs)
-        part_of = lambda c: F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in batch.select(part_of("run_id")).distinct().collect()]  # at most ``buckets`` numbers
-        if not touched:
-            return
-        new = {"runs": dict(old["runs"]), "sessions": dict(old["sessions"])}
-        stored = self._read(old, "runs", RUNS, touched).withColumn("was", F.lit(1))
-        both = stored.unionByName(batch.withColumn("was", F.lit(0)))
-        # a run keeps the key that it was stored under
-        merged = both.groupBy("run_id").agg(F.coalesce(F.min(F.when(F.col("was") == 1, F.col("session_key"))), F.min("session_key")).alias("session_key"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("was").alias("was"), F.min("was").alias("again"))
-        self._write(merged, "run_id", new, "runs")
-        changed = self.spark.read.schema(RUNS + ", was int, again int").parquet(*[new["runs"][str(p)] for p in touched]).where("again = 0")
-        local = sessionize(changed.select("session_key", "start_us", "end_us", (1 - F.col("was")).cast("long").alias("n_runs")), self.gap_us)
-        keys = [r[0] for r in local.select(part_of("session_key")).distinct().collect()]
-        near = self._read(old, "sessions", SESSIONS, keys)
-        # stored sessions that a local session bridges fall into one component; the others come out as they went in
-        self._write(sessionize(near.unionByName(local), self.gap_us), "session_key", new, "sessions")
-        self._publish(new)
-
-
-def new_path_under(path: str, name: str) -> str:
-    import uuid
-
-    return f"{path}/{name}-{uuid.uuid4().hex}"
+        if old["runs"]:
+            kept = self._write(batch, "batch")
+            dropped.append(kept)
+            batch = self.spark.read.schema(RUNS).parquet(kept)
+            before = states(self._read(old["runs"], RUNS).join(batch.select("run_id"), "run_id", "left_semi"))
+            b = before.toDF("run_id", "old_key", "old_start", "old_end")
+            both = batch.join(b, "run_id", "left")
+            grown = both.select("run_id", F.least("session_key", "old_key").alias("session_key"), F.least("start_us", "old_start").alias("start_us"), F.greatest("end_us", "old_end").alias("end_us"), "old_key", "old_start", "old_end")
+            changed = grown.where("old_key is null or session_key <> old_key or start_us <> old_start or end_us <> old_end").drop("old_end")
+        else:
+            changed = batch.select("*", F.lit(None).cast("string").alias("old_key"), F.lit(None).cast("long").alias("old_start"))
+        folder = self._write(changed, "runs")
+        changed = self.spark.read.schema(CHANGED).parquet(folder)
+        log = [*old["runs"], [0, folder]]
+        new = F.col("old_key").isNull() | (F.col("old_key") != F.col("session_key"))
+        local = changed.select("session_key", "start_us", "end_us", new.cast("long").alias("n_runs"))
+        if old["sessions"]:
+            keys = changed.select(F.explode(F.array("session_key", "old_key")).alias("session_key")).where("session_key is not null").distinct()
+            near = self._live(old["sessions"]).join(keys, "session_key", "left_semi")
+            stay, again = near, local
+            moved = changed.where("old_key <> session_key")
+            if not moved.isEmpty():
+                at = moved.select(F.col("old_key").alias("session_key"), "old_start")
+                left = near.join(at, "session_key").where("old_start between start_us and end_us").select("session_key", "start_us", "end_us").distinct()
+                left = self.spark.read.schema("session_key string, start_us long, end_us long").parquet(kept_left := self._write(left, "left"))
+                dropped.append(kept_left)
+                stay = near.join(left, ["session_key", "start_us", "end_us"], "left_anti")
+                inside = lambda df: df.join(left.toDF("session_key", "s", "e"), "session_key").where("start_us between s and e").drop("s", "e")
+                was = self._read(old["runs"], RUNS)
+                members = inside(states(was.join(inside(was).select("run_id").distinct(), "run_id", "left_semi"))).select("run_id")
+                stayed = members.join(changed.where(new).select("run_id"), "run_id", "left_anti")
+                now = states(self._read(log, RUNS).join(stayed, "run_id", "left_semi"))
+                again = local.unionByName(now.select("session_key", "start_us", "end_us", F.lit(1).cast("long").alias("n_runs")))
+            after = sessionize(stay.unionByName(again), self.gap_us)
+            versions = near.toDF("session_key", "start_us", "e", "n").join(after, ["session_key", "start_us"], "full").where("not (end_us <=> e and n_runs <=> n)")
+        else:
+            versions = sessionize(local, self.gap_us)
+        versions = versions.select("session_key", "start_us", "end_us", "n_runs", F.col("end_us").isNotNull().alias("live"), F.lit(number).cast("long").alias("batch"))
+        sessions = [*old["sessions"], [0, self._write(versions, "sessions")]]
+        runs_now, sessions_now = self._merged(log, "runs", dropped), self._merged(sessions, "sessions", dropped)
+        self._publish({"batch": number, "runs": runs_now, "sessions": sessions_now, "dropped": dropped})
+        for f in old["dropped"]:
+            self._fs.delete(self._path(f), True)
+
+
+def states(rows: DataFrame) -> DataFrame:
+    """One row a run out of all that was logged of it."""
+    return rows.groupBy("run_id").agg(F.min("session_key").alias("session_key"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
 
 
 def incremental_sessions(runs: DataFrame, batches: int = 3, gap_us: int = 30 * 60 * 1_000_000) -> DataFrame:

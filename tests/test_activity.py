@@ -68,12 +68,52 @@ def test_suffixes(spark):
     assert Q.history_suffix(mixed, "key", 0).count() == 5
 
 
-def test_orphan_tool_results():
-    call = lambda *ids: {"role": "assistant", "tool_calls": [{"id": i} for i in ids]}
-    result = lambda i: {"role": "tool", "tool_call_id": i}
-    assert Q.legal_start([result("x"), {"role": "user"}, call("a", "b"), result("a"), result("b")]) == 1
-    assert Q.legal_start([call("a"), result("a")]) == 0
-    assert Q.legal_start([call("a"), result("z"), result("a")]) == 3
+TALK = "key string, turn int, role string, tool_calls array<struct<id:string>>, tool_call_id string"
+
+
+def talk(spark, *conversations):
+    rows = []
+    for name, entries in conversations:
+        for k, e in enumerate(entries):
+            calls = [(i,) for i in e[1:].split()] if e.startswith("c") else None
+            rows.append((name, k, {"c": "assistant", "r": "tool", "u": "user"}[e[0]], calls, e[1:].strip() if e[0] == "r" else None))
+    return spark.createDataFrame(rows, TALK)
+
+
+def slow_start(entries):
+    """By trying every start: the first from which each result's latest call is not cut off."""
+    for start in range(len(entries) + 1):
+        known = lambda k, i: max((j for j in range(k) if entries[j][0] == "c" and i in entries[j][1:].split()), default=-1)
+        if all(known(k, e[1:].strip()) >= start for k, e in enumerate(entries) if k >= start and e[0] == "r"):
+            return start
+
+
+def test_legal_starts_match_every_start_tried(spark):
+    from random import Random
+
+    r = Random(11)
+    made = [(f"k{n}", [r.choice(["u", f"c {r.choice('abc')}", f"c {r.choice('ab')} {r.choice('cd')}", f"r {r.choice('abcd')}"]) for _ in range(r.randint(1, 14))]) for n in range(120)]
+    got = {x.key: x.legal_from for x in Q.legal_starts(talk(spark, *made), "key").collect()}
+    assert got == {k: (s if (s := slow_start(e)) < len(e) else None) for k, e in made}
+
+
+def test_suffixes_drop_results_without_their_call(spark):
+    rows = [("a", ["u", "c x", "r x", "u", "c y z", "r y", "r z", "c"]), ("b", ["u", "c x", "u", "r x", "u"])]
+    left = {k: [x.turn for x in Q.history_suffix(talk(spark, *rows), "key", 3).where(F.col("key") == k).orderBy("turn").collect()] for k in "ab"}
+    assert left == {"a": [7], "b": [4]}
+    kept = Q.retain_suffix(talk(spark, *rows), "key", 3).orderBy("key", "turn").collect()
+    assert [(x.key, x.turn, x.dropped) for x in kept] == [*(("a", k, 3) for k in range(3, 8)), ("b", 4, 4)]
+
+
+def test_islands_match_a_plain_window(spark):
+    df = spark.range(400).select((F.col("id") % 2).alias("g"), "id", (F.floor(F.col("id") / 7) % 3).cast("int").alias("v"), F.when(F.col("id") % 50 < 40, "a").alias("s"))
+    got = {(r.g, r.id): r.island for r in Q.islands(df, ["g"], "id", ["v", "s"], 30).collect()}
+    for g in (0, 1):
+        last, n = object(), 0
+        for r in df.where(F.col("g") == g).orderBy("id").collect():
+            n += (r.v, r.s) != last
+            last = (r.v, r.s)
+            assert got[g, r.id] == n
 
 
 def test_running_operators_match_plain_windows(spark):

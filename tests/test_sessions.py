@@ -18,7 +18,7 @@ def brute(rows):
         if not key or s is None:
             continue
         e = max(s, e) if e else s
-        rid = ("r", rid) if rid is not None else ("n", k)
+        rid = ("r", rid) if rid is not None else ("n", *rows[k])
         old = runs.get(rid)
         runs[rid] = (min(key, old[0]), min(s, old[1]), max(e, old[2])) if old else (key, s, e)
     out, keys = [], {}
@@ -44,9 +44,7 @@ def test_any_batches_give_the_brute_force_sessions(spark):
         s = T0 + timedelta(minutes=r.randint(0, 6000)) if r.random() > 0.05 else None
         e = s + timedelta(minutes=r.choice([-5, 0, 5, 29, 30, 200])) if s and r.random() > 0.2 else None
         rows.append((f"r{r.randint(0, 300)}" if r.random() > 0.05 else None, r.choice(["A ", "a", " b", "hot", "hot", "", None]), s, e, T0 + timedelta(minutes=r.randint(0, 900)) if r.random() > 0.05 else None, k))
-    # one key for a run, as a run in two keys would keep the one that came first
-    by_run = {}
-    rows = [(rid, by_run.setdefault(rid, key) if rid else key, *rest) for rid, key, *rest in rows]
+    rows += rows[::9]  # repeated rows, without a run_id too
     want = [(k, us(s), us(e), n) for k, s, e, n in brute(rows)]
     df = spark.createDataFrame(rows, SCHEMA)
     for batches in (1, 4):
@@ -55,7 +53,7 @@ def test_any_batches_give_the_brute_force_sessions(spark):
 
 
 def test_a_late_run_bridges_stored_sessions(spark, tmp_path):
-    table = SessionTable(spark, str(tmp_path / "t"), buckets=4)
+    table = SessionTable(spark, str(tmp_path / "t"))
     row = lambda i, minute, end=None: (i, "k", T0 + timedelta(minutes=minute), T0 + timedelta(minutes=end or minute), T0, 0)
     df = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
     table.update(df(row("a", 0), row("b", 60)))
@@ -68,6 +66,56 @@ def test_a_late_run_bridges_stored_sessions(spark, tmp_path):
     assert table.sessions().count() == 1
 
 
+def entry(i, key, minute, end=None):
+    return (i, key, T0 + timedelta(minutes=minute), T0 + timedelta(minutes=minute if end is None else end), T0, 0)
+
+
+def stored(table):
+    return sorted((r.session_key, (r.start_us - us(T0)) // 60_000_000, (r.end_us - us(T0)) // 60_000_000, r.n_runs) for r in table.sessions().collect())
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_a_run_under_two_keys_takes_the_least_in_any_order(spark, tmp_path, order):
+    """The run in the middle joins b's runs to one session until it is known to be a's."""
+    batches = [[entry("x", "b", 20), entry("p", "b", 0), entry("q", "b", 45)], [entry("x", "a", 25)], [entry("r", "a", 40), entry("x", "c", 26)]]
+    table = SessionTable(spark, str(tmp_path / "t"))
+    for k in order:
+        table.update(spark.createDataFrame(batches[k], SCHEMA))
+    assert stored(table) == [("a", 20, 40, 2), ("b", 0, 0, 1), ("b", 45, 45, 1)]
+
+
+def test_a_batch_fed_twice_changes_nothing(spark, tmp_path):
+    table = SessionTable(spark, str(tmp_path / "t"))
+    rows = [entry(None, "k", 0), entry(None, "k", 5), entry(None, "k", 5), entry("a", "k", 7)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for _ in range(3):
+        table.update(df)
+        assert stored(table) == [("k", 0, 7, 3)]
+
+
+def test_many_batches_are_merged_and_old_segments_deleted(spark, tmp_path):
+    import os
+
+    table, rows = SessionTable(spark, str(tmp_path / "t"), fan=2), []
+    r = Random(8)
+    for n in range(7):
+        batch = [entry(f"r{r.randint(0, 30)}", r.choice("abc"), r.randint(0, 900)) for _ in range(12)]
+        rows += batch
+        table.update(spark.createDataFrame(batch, SCHEMA))
+    want = [(k, us(s), us(e), n) for k, s, e, n in brute(rows)]
+    assert sorted(tuple(x) for x in table.sessions().select("session_key", "start_us", "end_us", "n_runs").collect()) == want
+    assert len(table._manifest()["runs"]) <= 3 and len(table._manifest()["sessions"]) <= 3
+    assert len([f for f in os.listdir(tmp_path / "t") if "-" in f]) <= 14
+
+
+def test_what_a_batch_writes_follows_the_batch(spark, tmp_path):
+    table = SessionTable(spark, str(tmp_path / "t"))
+    table.update(spark.createDataFrame([entry(f"r{k}", f"k{k % 40}", k * 7) for k in range(4000)], SCHEMA))
+    table.update(spark.createDataFrame([entry("new", "k1", 90_000), entry("r5", "k5", 35)], SCHEMA))
+    size = lambda name: sum(spark.read.parquet(f).count() for _, f in table._manifest()[name][1:])
+    assert size("runs") == 1 and size("sessions") == 1
+
+
 def test_exactly_the_gap_opens(spark):
     gap = 30
     df = spark.createDataFrame([("k", 0, 0, 1), ("k", 30, 30, 1), ("k", 59, 59, 1)], "session_key string, start_us long, end_us long, n_runs long")
