@@ -1,8 +1,8 @@
 """Personal information in free text by bootstrapped contextual extraction.
 
 Tasks pull loose candidates out of the texts: number-like runs, neighbouring words that may be a name, words with a
-house number, written-out addresses of mail. Few of them are known: numbers behind a telling word, words of the list of
-name parts, streets with a street word. These seeds score the patterns they stand in (shape of the number, words before
+house number, addresses of mail. Few of them are known: numbers behind a telling word, words of the list of name parts,
+streets with a street word, addresses with their signs. These seeds score the patterns they stand in (shape of the number, words before
 and after), patterns score the other candidates in them, and so on for a few rounds; what stands in trusted patterns
 becomes known: new name parts, new streets, numbers without a label. Scores are aggregates over distinct
 (candidate, pattern) rows, joined by equality; texts and their candidates never leave the cluster.
@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,15 +44,14 @@ _EMAIL = re.compile(
 _WRITTEN_OUT = re.compile(r"[\[({<]at[\])}>]|\sdot\s", re.I)
 _NUMBER = re.compile(r"(?<![\w@./\-:])(?:\+\s?|\()?(?:[A-Z] |[A-Za-z]{1,5}-?)?\d(?:[\d ()/.\-]*\d)?(?:[A-Za-z]\d{0,2})?(?![\w@]|[./\-]\d|:\d)")
 _PAIR = re.compile(rf"(?<![\w@.+\-])(?=({_W}{{2,}}(?:-{_W}{{2,}})?)(?:[^\S\n]+{_W}\.)?(,?)[^\S\n]+({_W}{{2,}}(?:-{_W}{{2,}})?)((?:[^\S\n]+{_W}\.(?![\w]))?)(?![\w@+]|\.\w))")
-_INITIAL = re.compile(rf"[^\S\n]+{_W}\.")
 _FIRST = re.compile(rf"(?<![\w./\-])(\d{{1,4}}[a-zA-Z]?)[^\S\n]+((?:{_W}[\w'’\-]*[^\S\n]+){{1,3}}?({'|'.join(STREET_ENDS)}))\b((?<=[Ss][Tt])\.|(?<=ST)\.)?{_UNIT}", re.I)
 _STREET = rf"(?:(?:{'|'.join(STREET_STARTS)})[^\S\n]+(?:(?:{'|'.join(PARTICLES)})[^\S\n]+){{0,2}}{_W}[\w'’\-]*|{_W}[\w\-]*(?:{'|'.join(STREET_TAILS)})\.?|{_W}[\w'’\-]*[^\S\n]+{_W}[\w'’\-]*|{_W}[\w'’\-]+)"
 _LAST = re.compile(rf"(?<![\w./\-])(?=({_STREET})(,?[^\S\n]+)(\d{{1,4}}[a-zA-Z]?)(?![\w.:/\-]*\w)({_UNIT}))", re.I)
 _WORDS = re.compile(rf"{_W}{{2,}}")
+_HOUSE = re.compile(r"[^\S\n]\d{1,4}[a-zA-Z]?(?![\w.:/\-]*\w)")  # without one no street ends in a number
 _TYPED = re.compile(rf"(?:{'|'.join(STREET_STARTS)})\s|\S*(?:{'|'.join(STREET_TAILS)})\.?$", re.I)
 
-#: Known name parts go to the tasks as sets up to this number, a few MB; beyond it all candidates are joined.
-MOST_KNOWN = 100_000
+SIEVE = 1 << 20  # bits of the sieve of known name parts that goes to the tasks, 128 KB
 CANDIDATES = "origin string, row_key string, turn_no int, hint string, start int, end int, found string, a string, b string, shape string, left string, right string, n int"
 
 
@@ -75,7 +75,8 @@ def candidates_in(text: str) -> list[tuple]:
     out: list[tuple] = []
     taken: list[tuple[int, int]] = []
     for m in _mails(text):
-        out.append(("email", m.start(), m.end(), m.group(), None, None, None, None, None, 1))
+        form = "signs" if re.search(r"@|[\[({<]", m.group()) else "words"
+        out.append(("email", m.start(), m.end(), m.group(), None, None, form, *_around(text, m.start(), m.end()), 1))
         taken.append(m.span())
     free = lambda s, e: all(e <= x or s >= y for x, y in taken)
     for m in _NUMBER.finditer(text):
@@ -89,8 +90,9 @@ def candidates_in(text: str) -> list[tuple]:
             out.append(("number", start, end, found, _label(text, start), None, shape, *_around(text, start, end), 1))
     for start, end, name, kind, form in _places(text):
         if free(start, end):
-            out.append(("place", start, end, text[start:end], name, kind, form, *_around(text, start, end), 1))
-    for start, end, a, b, form, second, cased in _pairs(text):
+            # places in loose letter case are only looked up among the streets, not learnt from
+            out.append(("place", start, end, text[start:end], name, kind, form, *(("", "") if kind == "loose" else _around(text, start, end)), 1))
+    for start, end, a, b, form, second, cased in _pairs(text, [m.start() for m in _WORDS.finditer(text) if m.group()[0].isupper()]):
         if cased and free(start, end):
             out.append(("name", start, end, text[start:end], a.lower(), b.lower(), form, *_around(text, start, end), second))
     return out
@@ -102,16 +104,20 @@ def _places(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     for m in _FIRST.finditer(text):
         name = m.group(2).lower().removesuffix(m.group(3).lower())
         yield m.start(), m.end(), " ".join(name.split()), "typed" if all(w[0].isupper() for w in m.group(2).split()) else "loose", "first"
-    for m in _LAST.finditer(text):
+    for m in _LAST.finditer(text) if _HOUSE.search(text) else ():
         street = m.group(1)
         last_up = street.split()[-1][0].isupper()
         kind = ("typed" if last_up else "loose") if _TYPED.match(street) else "cased" if street[0].isupper() and last_up else "loose"
         yield m.start(1), m.end(4), " ".join(street.lower().rstrip(".").split()), kind, "last"
 
 
-def _pairs(text: str) -> Iterator[tuple[int, int, str, str, str, int, bool]]:
-    """(start, end, given, family, form, start of the second word, cased): neighbouring words, by their reading."""
-    for m in _PAIR.finditer(text):
+def _pairs(text: str, starts: list[int]) -> Iterator[tuple[int, int, str, str, str, int, bool]]:
+    """(start, end, given, family, form, start of the second word, cased): neighbouring words, by their reading, whose first
+    begins at one of the places."""
+    for at in starts:
+        m = _PAIR.match(text, at)
+        if m is None:
+            continue
         w1, comma, w2, tail = m.group(1), m.group(2), m.group(3), m.group(4)
         start, end, cased = m.start(1), m.end(3), w1[0].isupper() and w2[0].isupper()
         if not comma:
@@ -120,16 +126,38 @@ def _pairs(text: str) -> Iterator[tuple[int, int, str, str, str, int, bool]]:
             yield start, m.end(4) if tail else end, w2, w1, "comma", m.start(3), cased
 
 
-def loose_names(text: str, given: frozenset | None, family: frozenset | None) -> list[tuple]:
-    """As ``candidates_in``, of names in unusual letter case. What isn't in the given sets is left out; without sets
-    nothing is, and the joins decide."""
+class _Sieve(dict):
+    """Whether a word may be a known name part: always true of those that are, seldom of others."""
+
+    def __init__(self, bits: bytes):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, word: str) -> bool:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        at = xxhash.xxh64_intdigest(word.encode(), seed=42) % SIEVE
+        known = self[word] = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        return known
+
+
+def loose_names(text: str, known: _Sieve) -> list[tuple]:
+    """As ``candidates_in``, of names in unusual letter case. A pair is one if all its words may be known parts and one of
+    them begins with a small letter; the joins that follow are exact. Words are looked up once, and only texts with a
+    known part in a small letter are read further."""
+    words = [(m.start(), m.group()) for m in _WORDS.finditer(text)]
+    small = [k for k, (_, w) in enumerate(words) if not w[0].isupper() and known[w.lower()]]
+    if not small:
+        return []
+    near = sorted({words[j][0] for k in small for j in range(max(0, k - 2), k + 1) if known[words[j][1].lower()]})
     out: list[tuple] = []
     taken = [m.span() for m in _mails(text)]
-    for start, end, a, b, form, second, cased in _pairs(text):
+    for start, end, a, b, form, second, cased in _pairs(text, near):
         if not cased:
             a, b = a.lower(), b.lower()
-            known = given is None or a in given and all(x in family for x in b.split("-")) or a in family and b in given
-            if known and all(end <= x or start >= y for x, y in taken):
+            if all(known[x] for x in (*a.split("-"), *b.split("-"))) and all(end <= x or start >= y for x, y in taken):
                 out.append(("name", start, end, text[start:end], a, b, f"{form}-loose", "", "", second))
     return out
 
@@ -142,11 +170,12 @@ def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], [c.split()[0] for c in CANDIDATES.split(", ")])
 
 
-def _loose(given: frozenset | None, family: frozenset | None):
+def _loose(bits: bytes):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Sieve(bits)
         for batch in batches:
             d = batch.to_pydict()
-            yield _batch_of([(origin, key, turn, *c) for origin, key, turn, text in zip(d["origin"], d["row_key"], d["turn_no"], d["text"], strict=True) for c in loose_names(text, given, family)])
+            yield _batch_of([(origin, key, turn, *c) for origin, key, turn, text in zip(d["origin"], d["row_key"], d["turn_no"], d["text"], strict=True) for c in loose_names(text, known)])
 
     return of
 
@@ -170,26 +199,38 @@ def texts_of(memories: DataFrame, cases: DataFrame) -> DataFrame:
     return m.unionByName(c).distinct()
 
 
-def _telling(left: Column, words: list[str]) -> Column:
-    return left.rlike(r"(?i)(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})")
+def _telling(left: Column, words: Iterable[str]) -> Column:
+    return left.rlike(r"(?i)(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})") if words else F.lit(False)
 
 
-def score_numbers(numbers: DataFrame, rounds: int = 3) -> DataFrame:
+@dataclass(frozen=True)
+class Seeds:
+    """Words that stand before a number of each class; any list may be empty."""
+
+    phone: tuple[str, ...] = tuple(PHONE_WORDS)
+    identity: tuple[str, ...] = tuple(IDENTITY_WORDS)
+    thing: tuple[str, ...] = tuple(THING_WORDS)
+
+
+def score_numbers(numbers: DataFrame, seeds: Seeds = Seeds(), most_rounds: int = 10, still: float = 0.01) -> DataFrame:
     """(shape, left, right, kind) of the number patterns that are phone or identity. Three classes spread between
-    patterns and the instances in them; seeds keep their class."""
+    patterns and the instances in them; seeds keep their class. It ends when no score has moved by more than ``still``."""
     kinds = ("phone", "identity", "thing")
     label = F.col("a")
-    seed = F.when(_telling(label, IDENTITY_WORDS), "identity").when(_telling(F.concat_ws(" ", label, "right"), THING_WORDS), "thing").when(_telling(label, PHONE_WORDS), "phone")
+    seed = F.when(_telling(label, seeds.identity), "identity").when(_telling(F.concat_ws(" ", label, "right"), seeds.thing), "thing").when(_telling(label, seeds.phone), "phone")
     rows = numbers.groupBy("shape", "left", "right", seed.alias("seed")).agg(F.count("*").alias("n"))
     rows = rows.withColumns({k: F.coalesce((F.col("seed") == k).cast("double"), F.lit(0.0)) for k in kinds})
     rows = keep(rows, "p4-numbers")
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         scored = rows
         for c, w in (("shape", 0.6), ("left", 0.3), ("right", 0.1)):
             of = rows.groupBy(c).agg(*(((F.sum(F.col(k) * F.col("n")) / F.sum("n")) * w).alias(f"{c}_{k}") for k in kinds))
             scored = scored.join(of, c)
         spread = {k: F.when(F.col("seed").isNotNull(), F.col(k)).otherwise(sum(F.col(f"{c}_{k}") for c in ("shape", "left", "right"))) for k in kinds}
-        rows = keep(scored.withColumns(spread).select("shape", "left", "right", "n", "seed", *kinds), "p4-numbers")
+        moved = F.greatest(*(F.abs(v - F.col(k)) for k, v in spread.items())).alias("moved")
+        rows = keep(scored.select("shape", "left", "right", "n", "seed", *(v.alias(k) for k, v in spread.items()), moved), "p4-numbers")
+        if (rows.agg(F.max("moved")).first()[0] or 0) <= still:
+            break
     # the shape has the last word over a seed word nearby: a few of its instances may stand behind a word of another class
     shapes = rows.groupBy("shape").agg(*(((F.sum(F.col(k) * F.col("n")) / F.sum("n"))).alias(f"s_{k}") for k in kinds))
     rows = rows.groupBy("shape", "left", "right").agg(*((F.sum(F.col(k) * F.col("n")) / F.sum("n")).alias(k) for k in kinds))
@@ -198,20 +239,20 @@ def score_numbers(numbers: DataFrame, rounds: int = 3) -> DataFrame:
     return all_.select("shape", "left", "right", kind.alias("kind")).where("kind is not null").distinct()
 
 
-def learn_parts(pairs: DataFrame, words: DataFrame, seeds: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def learn_parts(pairs: DataFrame, words: DataFrame, seeds: DataFrame, most_rounds: int = 8) -> tuple[DataFrame, DataFrame]:
     """((part, role) of known and learned name parts, pairs of one known part in patterns worth enough); role is given or
     family.
 
     A pattern (words before, word after) is worth the share of its candidates with one known part whose other part is
     known too. A new part must stand beside known partners, in patterns worth enough, for a fair share of all its
     occurrences. So what often follows given names but never in the patterns of names (a machine, a project) is
-    not taken.
+    not taken. It ends when a round finds no new part.
     """
-    known = keep(seeds, "p4-parts")
+    known, n = keep(seeds, "p4-parts"), -1
     cased = pairs.where("shape in ('plain', 'comma')").groupBy("a", "b", "left", "right").agg(F.count("*").alias("n"))
     cased = cased.withColumn("b", F.explode(F.split("b", "-")))
     cased = keep(cased, "p4-pairs")
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         g = known.where("role = 'given'").select(F.col("part").alias("a"), F.lit(1).alias("g"))
         f = known.where("role = 'family'").select(F.col("part").alias("b"), F.lit(1).alias("f"))
         rows = keep(cased.join(g, "a", "left").join(f, "b", "left").fillna(0, ["g", "f"]), "p4-known")
@@ -221,6 +262,9 @@ def learn_parts(pairs: DataFrame, words: DataFrame, seeds: DataFrame, rounds: in
         new = new.groupBy("part", "role").agg(F.sum(F.col("n") * F.col("worth")).alias("evidence"), F.count_distinct("partner").alias("partners"))
         new = new.join(words, new["part"] == words["word"]).where("evidence >= 0.2 * total and partners >= 2").select("part", "role")
         known = keep(known.unionByName(new).distinct(), "p4-parts")
+        before, n = n, known.count()
+        if n == before:
+            break
     last = scored.where("worth >= 0.3").select("a", F.col("b").alias("b1"), "left", "right").distinct()
     return known, keep(last, "p4-beside")
 
@@ -260,30 +304,42 @@ def learn_streets(places: DataFrame) -> DataFrame:
     return keep(learned.where("typed = 1 or (n >= 3 and worth >= 0.25)").select("a"), "p4-streets")
 
 
-def _small_set(df: DataFrame) -> frozenset | None:
-    """The values of a one-column table of at most MOST_KNOWN rows, else None."""
-    values = [r[0] for r in df.limit(MOST_KNOWN + 1).collect()]
-    return frozenset(values) if len(values) <= MOST_KNOWN else None
+def found_mails(mails: DataFrame) -> DataFrame:
+    """Addresses with their signs are seeds, and score the words that stand before them; an address whose signs are written
+    as words is one if it stands behind such words, or if addresses of its form mostly do."""
+    known = (F.col("shape") == "signs").cast("double")
+    left = mails.groupBy("left").agg((F.sum(known) / (F.count("*") + 1)).alias("worth"))
+    scored = mails.join(left, "left")
+    form = scored.groupBy("shape").agg(F.avg("worth").alias("form"))
+    return scored.join(form, "shape").where("shape = 'signs' or worth >= 0.2 or form >= 0.2")
+
+
+def sieve_of(parts: DataFrame) -> bytes:
+    """A bit for each residue of the hashes of (part): at most ``SIEVE`` numbers reach the driver, however many parts."""
+    bits = bytearray(SIEVE // 8)
+    hashes = parts.select(F.explode(F.split("part", "-")).alias("p")).select(F.pmod(F.xxhash64("p"), F.lit(SIEVE)).cast("int").alias("at")).distinct()
+    for at in hashes.toArrow().column("at").to_pylist():
+        bits[at >> 3] |= 1 << (at & 7)
+    return bytes(bits)
 
 
-def found_items(memories: DataFrame, cases: DataFrame, name_parts: DataFrame) -> DataFrame:
+def found_items(memories: DataFrame, cases: DataFrame, name_parts: DataFrame, seed_words: Seeds = Seeds()) -> DataFrame:
     """(origin, row_key, turn_no, kind, start, end, found_text) of every item; overlapping readings give the longest
     (ties: the first). An empty list of name parts leaves names unfound; texts without items give no rows."""
     texts = texts_of(memories, cases)
     all_ = keep(texts.mapInArrow(_extract, CANDIDATES), "p4-candidates")
     of = lambda hint: all_.where(F.col("hint") == hint)
     cols = ["origin", "row_key", "turn_no", "start", "end", "found"]
-    kinds = score_numbers(of("number"))
+    kinds = score_numbers(of("number"), seed_words)
     numbers = of("number").join(kinds, ["shape", "left", "right"]).select(*cols, "kind")
     words = keep(of("word").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("total")), "p4-words")
     seeds = name_parts.where("name_part is not null and part_kind in ('given', 'family')").select(F.lower(F.trim("name_part")).alias("part"), F.col("part_kind").alias("role")).distinct()
     parts, beside = learn_parts(of("name"), words, seeds)
     streets = learn_streets(of("place"))
-    known = [_small_set(parts.where(F.col("role") == r).select("part")) for r in ("given", "family")]
-    other = keep(texts.mapInArrow(_loose(*(known if None not in known else (None, None))), CANDIDATES), "p4-loose")
+    other = keep(texts.mapInArrow(_loose(sieve_of(parts)), CANDIDATES), "p4-loose")
     names = found_names(of("name").unionByName(other), parts, beside).withColumn("kind", F.lit("name"))
     places = of("place").join(streets, "a", "left_semi").select(*cols).withColumn("kind", F.lit("address"))
-    mails = of("email").select(*cols).withColumn("kind", F.lit("email"))
+    mails = found_mails(of("email")).select(*cols).withColumn("kind", F.lit("email"))
     hits = numbers.select(*cols, "kind").unionByName(names.select(*cols, "kind")).unionByName(places.select(*cols, "kind")).unionByName(mails.select(*cols, "kind"))
     # the items of one text, longest first: bounded by the text
     lists = hits.groupBy("origin", "row_key", "turn_no").agg(F.array_sort(F.collect_set(F.struct((F.col("start") - F.col("end")).alias("rank"), "start", "end", "kind", "found"))).alias("items"))
