@@ -75,7 +75,7 @@ def candidates_in(text: str) -> list[tuple]:
     out: list[tuple] = []
     taken: list[tuple[int, int]] = []
     for m in _mails(text):
-        form = "signs" if re.search(r"@|[\[({<]", m.group()) else "words"
+        form = "signs" if re.search(r"@|[\[({<]", m.group()) or len(re.findall(r"(?i)\sdot\s", m.group())) > 1 else "words"
         out.append(("email", m.start(), m.end(), m.group(), None, None, form, *_around(text, m.start(), m.end()), 1))
         taken.append(m.span())
     free = lambda s, e: all(e <= x or s >= y for x, y in taken)
@@ -305,8 +305,9 @@ def learn_streets(places: DataFrame) -> DataFrame:
 
 
 def found_mails(mails: DataFrame) -> DataFrame:
-    """Addresses with their signs are seeds, and score the words that stand before them; an address whose signs are written
-    as words is one if it stands behind such words, or if addresses of its form mostly do."""
+    """Addresses with their signs, or with several written-out dots, are seeds, and score the words that stand before them;
+    any other address whose signs are written as words is one if it stands behind such words, or if those of its form
+    mostly do."""
     known = (F.col("shape") == "signs").cast("double")
     left = mails.groupBy("left").agg((F.sum(known) / (F.count("*") + 1)).alias("worth"))
     scored = mails.join(left, "left")
