@@ -5,7 +5,10 @@ A backend is any picklable object with the named methods; it is sent to the work
 
 from __future__ import annotations
 
+import concurrent.futures
 import hashlib
+import importlib.metadata
+import warnings
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -14,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from larkspur.functions.validate import cast_value, check_value
+
 
 class Embedder(Protocol):
     dimension: int
@@ -50,7 +55,7 @@ class OverlapReranker:
         return [len(words & set(t.lower().split())) / len(words) if words else 0.0 for t in texts]
 
 
-def embed(rows: DataFrame, key: str, text: str, backend: Embedder, batch: int = 10) -> DataFrame:
+def embed(rows: DataFrame, key: str, text: str, backend: Embedder, batch: int = 10, key_type: str = "long") -> DataFrame:
     """(key, v) of every row with a key and a text, in requests of at most ``batch`` texts. A reply of another count or
     dimension is an error."""
 
@@ -65,26 +70,23 @@ def embed(rows: DataFrame, key: str, text: str, backend: Embedder, batch: int =
                 out += reply
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out, pa.list_(pa.float32()))], ["k", "v"])
 
-    d = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return d.mapInArrow(of, "k long, v array<float>").withColumnRenamed("k", key)
+    d = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast(key_type).alias("k"), F.col(text).alias("t"))
+    return d.mapInArrow(of, f"k {key_type}, v array<float>").withColumnRenamed("k", key)
 
 
 def rerank(pairs: DataFrame, backend: Reranker) -> DataFrame:
-    """(query_id, key, rerank_score) of pairs (query_id, query, key, text). The texts of one query are asked together, as
-    far as they lie in one batch."""
+    """(query_id, key, rerank_score) of pairs (query_id, query, key, text). Each query makes one call with all its texts,
+    which are the pool of a search, a bounded list. A reply of another length is an error."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            asks, texts = b.column("query").to_pylist(), b.column("text").to_pylist()
-            scores = [0.0] * len(texts)
-            for q in dict.fromkeys(asks):
-                at = [k for k, x in enumerate(asks) if x == q]
-                for k, s in zip(at, backend.score(q, [texts[k] for k in at]), strict=True):
-                    scores[k] = float(s)
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("key"), pa.array(scores)], ["query_id", "key", "rerank_score"])
+    def of(key: tuple, table: pa.Table) -> pa.Table:
+        keys, texts = table.column("key").to_pylist(), table.column("text").to_pylist()
+        scores = [float(s) for s in backend.score(table.column("query")[0].as_py(), texts)]
+        if len(scores) != len(texts):
+            raise ValueError("the reply doesn't fit the request")
+        return pa.table([pa.array([key[0].as_py()] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "key", "rerank_score"])
 
-    d = pairs.where("query is not null and text is not null").select("query_id", "query", F.col("key").cast("long").alias("key"), "text").sortWithinPartitions("query_id")
-    return d.mapInArrow(of, "query_id long, key long, rerank_score double")
+    d = pairs.where("query is not null and text is not null").select(F.col("query_id").cast("long").alias("query_id"), "query", F.col("key").cast("long").alias("key"), "text")
+    return d.groupBy("query_id").applyInArrow(of, "query_id long, key long, rerank_score double")
 
 
 def verdict(n_evidence: Column, covered: Column, needed: float = 0.5) -> Column:
@@ -92,23 +94,79 @@ def verdict(n_evidence: Column, covered: Column, needed: float = 0.5) -> Column:
     return F.when(F.coalesce(n_evidence, F.lit(0)) == 0, "no_evidence").when(covered >= needed, "sufficient").otherwise("insufficient")
 
 
+STATUSES = ("sufficient", "insufficient", "no_evidence", "assessment_error")
+
+
+def assess(evidence: DataFrame, assessor: Callable[[str, list[str]], dict], seconds: float = 30.0) -> DataFrame:
+    """(query_id, status, reason) of evidence (query_id, query, texts): what an injected assessor says of each query's
+    texts. No texts are no_evidence without a call. A reply must be a mapping with a status of sufficient or insufficient
+    and a text as reason; any other reply, an exception, or more than ``seconds`` is assessment_error with its reason."""
+
+    def one(query: str, texts: list[str]) -> tuple[str, str]:
+        if not texts:
+            return "no_evidence", "nothing was found"
+        pool = concurrent.futures.ThreadPoolExecutor(1)
+        try:
+            reply = pool.submit(assessor, query, texts).result(seconds)
+        except concurrent.futures.TimeoutError:
+            return "assessment_error", "timeout"
+        except Exception as e:
+            return "assessment_error", f"{type(e).__name__}: {e}"
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+        if not isinstance(reply, dict) or reply.get("status") not in STATUSES[:2] or not isinstance(reply.get("reason", ""), str):
+            return "assessment_error", "invalid reply"
+        return reply["status"], reply.get("reason", "")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [one(q or "", t or []) for q, t in zip(b.column("query").to_pylist(), b.column("texts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["query_id", "status", "reason"])
+
+    d = evidence.select(F.col("query_id").cast("long").alias("query_id"), "query", "texts")
+    return d.mapInArrow(of, "query_id long, status string, reason string")
+
+
 class Tools:
-    """Named functions with the types of their arguments, cast before the call."""
+    """Named functions with a JSON schema of their arguments, which are cast and checked before the call."""
 
     def __init__(self):
-        self._tools: dict[str, tuple[Callable, dict[str, type]]] = {}
+        self._tools: dict[str, tuple[Callable, dict]] = {}
 
-    def add(self, name: str, call: Callable, **types: type) -> None:
+    def add(self, name: str, call: Callable, schema: dict) -> None:
         if name in self._tools:
             raise ValueError(f"{name} is there already")
-        self._tools[name] = (call, types)
+        if schema.get("type", "object") != "object":
+            raise ValueError("arguments are an object")
+        self._tools[name] = (call, {"type": "object"} | schema)
+
+    def names(self) -> list[str]:
+        return sorted(self._tools)
 
     def run(self, name: str, **arguments):
-        call, types = self._tools[name]
-        missing = [k for k in types if k not in arguments]
-        if missing or set(arguments) - set(types):
-            raise ValueError(f"arguments of {name}: {', '.join(types)}")
-        return call(**{k: types[k](v) for k, v in arguments.items()})
+        if name not in self._tools:
+            raise KeyError(name)
+        call, schema = self._tools[name]
+        cast = cast_value(arguments, schema)
+        errors = check_value(cast, schema)
+        if errors:
+            raise ValueError(f"arguments of {name}: {'; '.join(errors)}")
+        return call(**cast)
+
+
+def plug_ins(group: str, base: type | None = None) -> dict[str, object]:
+    """What installed packages offer under an entry-point group, by name; what doesn't load, or isn't a ``base``, is left
+    out and told as a warning."""
+    found = {}
+    for point in importlib.metadata.entry_points(group=group):
+        try:
+            thing = point.load()
+            if base is not None and not (isinstance(thing, type) and issubclass(thing, base)):
+                raise TypeError(f"no {base.__name__}")
+            found[point.name] = thing
+        except Exception as e:
+            warnings.warn(f"{point.name} of {group} is left out: {e}", stacklevel=2)
+    return found
 
 
 class Progress(StreamingQueryListener):

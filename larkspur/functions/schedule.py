@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -68,3 +68,19 @@ def next_cron(expr: str, now_ms: int, tz: str = "UTC") -> int | None:
 @F.pandas_udf(LongType())
 def cron_next(expr: pd.Series, now_ms: pd.Series, tz: pd.Series) -> pd.Series:
     return pd.Series([None if e is None or pd.isna(n) else next_cron(e, int(n), z or "UTC") for e, n, z in zip(expr, now_ms, tz, strict=True)], dtype="Int64")
+
+
+def next_of(kind: Column, at_ms: Column, every_ms: Column, expr: Column, tz: Column, now_ms: Column) -> Column:
+    """The next run of an entry of any kind; only cron entries go to Python."""
+    cron = kind == "cron"
+    return F.when(cron, cron_next(F.when(cron, expr), now_ms, tz)).otherwise(next_run(kind, at_ms, every_ms, now_ms))
+
+
+def tick(jobs: DataFrame, now_ms: Column) -> DataFrame:
+    """One turn of the scheduler over jobs (enabled, kind, at_ms, every_ms, expr, tz, next_ms): due jobs have run at
+    ``now_ms``; a one-off is disabled then, the others get their next run. ``ran`` tells which. Started again and again by
+    a trigger or an outside clock, at the least next_ms."""
+    ran = F.col("enabled") & F.coalesce(F.col("next_ms") <= now_ms, F.lit(False))
+    off = ran & (F.col("kind") == "at")
+    again = next_of(F.col("kind"), F.col("at_ms"), F.col("every_ms"), F.col("expr"), F.col("tz"), now_ms)
+    return jobs.withColumns({"ran": ran, "next_ms": F.when(off, F.lit(None).cast("long")).when(ran, again).otherwise(F.col("next_ms")), "enabled": F.col("enabled") & ~off})

@@ -68,3 +68,43 @@ def ranking_metrics(run: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] =
     for k in cutoffs:
         out += [ratio(F.col(f"dcg_{k}"), F.col(f"idcg_{k}"), 0.0).alias(f"ndcg_{k}"), ratio(F.col(f"ap_{k}"), F.col("n_gold"), 0.0).alias(f"map_{k}"), ratio(F.col(f"hits_{k}"), F.col("n_gold"), 0.0).alias(f"recall_{k}"), F.round(F.col(f"hits_{k}") / k, 6).alias(f"precision_{k}")]
     return j.select("query_id", *out)
+
+
+def document_id(url: Column, dataset: str) -> Column:
+    """The document that an address ``beir://dataset/quoted-id`` names; null for any other address and for an empty id."""
+    quoted = F.regexp_extract(url, rf"^beir://{dataset}/+([^?#]*)", 1)
+    return F.when(quoted != "", F.try_url_decode(F.replace(quoted, F.lit("+"), F.lit("%2B"))))
+
+
+def ranked_documents(sections: DataFrame, dataset: str) -> DataFrame:
+    """(query_id, doc_id, rank, score) of ranked sections (query_id, parent_rank, url): a document stands where its first
+    section does, and scores one over its rank. Addresses that name no document of the dataset are left out; ties of
+    rank are in the order of ``doc`` if there is such a column, else of the id."""
+    tie = F.col("doc") if "doc" in sections.columns else F.col("doc_id")
+    rows = sections.withColumn("doc_id", document_id(F.col("url"), dataset)).where("doc_id is not null")
+    best = rows.groupBy("query_id", "doc_id").agg(F.min(F.struct("parent_rank", tie.alias("tie"))).alias("at"))
+    w = Window.partitionBy("query_id").orderBy("at")
+    return best.select("query_id", "doc_id", F.row_number().over(w).alias("rank")).withColumn("score", F.round(1 / F.col("rank"), 6))
+
+
+def diagnostics(queries: DataFrame) -> DataFrame:
+    """(query_id, retrieved, in_evidence, hits, evidence_hits, recall) of (query_id, gold, retrieved, evidence), arrays of
+    documents: how many were retrieved and used, how many of them are gold, and the share of the gold ones retrieved,
+    1 where there is none. A null array is empty."""
+    of = lambda c: F.coalesce(c, F.array().cast(queries.schema[c].dataType))
+    both = lambda c: F.size(F.array_intersect(of("gold"), of(c)))
+    n = F.size(F.array_distinct(of("gold")))
+    return queries.select("query_id", F.size(of("retrieved")).alias("retrieved"), F.size(of("evidence")).alias("in_evidence"), both("retrieved").alias("hits"), both("evidence").alias("evidence_hits"), F.when(n == 0, F.lit(1.0)).otherwise(F.round(both("retrieved") / n, 6)).alias("recall"))
+
+
+def consistency(rows: DataFrame) -> DataFrame:
+    """One row: how many of (hit, correct) are of each of the four kinds."""
+    hit, correct = F.col("hit"), F.col("correct")
+    return rows.agg(F.count_if(hit & correct).alias("hit_correct"), F.count_if(hit & ~correct).alias("hit_wrong"), F.count_if(~hit & correct).alias("miss_correct"), F.count_if(~hit & ~correct).alias("miss_wrong"))
+
+
+def status_summary(rows: DataFrame, by: str) -> DataFrame:
+    """(by, passed, failed, not_implemented, status): counts of (by, status) and the worst of them, where passed is better
+    than failed and what isn't implemented only counts where nothing else is."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return rows.groupBy(by).agg(*(n(s).alias(s) for s in ("passed", "failed", "not_implemented")), F.when(n("failed") > 0, "failed").when(n("passed") > 0, "passed").otherwise("not_implemented").alias("worst")).withColumnRenamed("worst", "status")

@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable
 from math import sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,41 +27,38 @@ def bag_cosine(a: str, b: str) -> float:
 
 
 def best_assignment(cost: list[list[float]]) -> list[tuple[int, int]]:
-    """Pairs of least total cost that use every row and column of the shorter side, by shortest augmenting paths."""
+    """Pairs of least total cost that use every row and column of the shorter side: one shortest augmenting path a row,
+    each step over a whole row of reduced costs at once."""
     if not cost or not cost[0]:
         return []
-    turned = len(cost) > len(cost[0])
-    c = [list(x) for x in zip(*cost, strict=True)] if turned else cost
-    n, m = len(c), len(c[0])
-    inf = float("inf")
-    price_row, price_col, owner = [0.0] * n, [0.0] * m, [-1] * m
+    c = np.asarray(cost, float)
+    turned = c.shape[0] > c.shape[1]
+    c = c.T if turned else c
+    n, m = c.shape
+    price, owner = np.zeros(m), np.full(m, -1)
+    row_price = np.zeros(n)
     for row in range(n):
-        dist, came, done = [inf] * m, [-1] * m, [False] * m
-        i, j_last, at, base = row, -1, -1, 0.0
+        reach, came, open_ = np.full(m, np.inf), np.full(m, -1), np.ones(m, bool)
+        i, via, base = row, -1, 0.0
         while True:
-            best, at = inf, -1
-            for j in range(m):
-                if not done[j]:
-                    d = base + c[i][j] - price_row[i] - price_col[j]
-                    if d < dist[j]:
-                        dist[j], came[j] = d, j_last
-                    if dist[j] < best:
-                        best, at = dist[j], j
-            done[at], j_last, base = True, at, best
+            d = base + c[i] - row_price[i] - price
+            better = open_ & (d < reach)
+            reach[better], came[better] = d[better], via
+            at = int(np.argmin(np.where(open_, reach, np.inf)))
+            base, open_[at] = reach[at], False
             if owner[at] < 0:
                 break
-            i = owner[at]
-        for j in range(m):
-            if done[j]:
-                price_col[j] += dist[j] - base
-                if owner[j] >= 0:
-                    price_row[owner[j]] += base - dist[j]
-        price_row[row] += base
+            i, via = owner[at], at
+        done = np.flatnonzero(~open_)
+        shift = base - reach[done]
+        held = owner[done] >= 0
+        row_price[owner[done[held]]] += shift[held]
+        price[done] -= shift
+        row_price[row] += base
         while at >= 0:
-            before = came[at]
-            owner[at] = row if before < 0 else owner[before]
-            at = before
-    pairs = [(owner[j], j) for j in range(m) if owner[j] >= 0]
+            owner[at] = row if came[at] < 0 else owner[came[at]]
+            at = int(came[at])
+    pairs = [(int(i), int(j)) for j, i in enumerate(owner) if i >= 0]
     return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
 
 
@@ -107,3 +105,18 @@ def greedy_match(rows: DataFrame, floor: float = 0.55, top: int = 3, similarity:
         return out
 
     return rows.groupBy("case_id", "main_class").applyInPandas(match, "case_id string, main_class string, left_text string, right_text string, similarity double")
+
+
+def staged_match(rows: DataFrame, key: list[str], id_: str, threshold: float = 0.5, similarity: Callable[[str, str], float] = bag_cosine) -> DataFrame:
+    """(case_id, main_class, left_text, right_text, similarity, stage): rows equal in ``key`` pair off first, each once; only
+    what is left of both sides goes on to the assignment. ``rows`` is (case_id, main_class, side, text, ...) with an id
+    that tells repeated texts apart."""
+    side = lambda k: rows.where(F.col("side") == k)
+    group = ["case_id", "main_class"]
+    exact = exact_matches(side(0), side(1), [*group, *key], id_)
+    name = lambda c, new: F.col(c).alias(new)
+    lefts, rights = side(0).select(*group, name(id_, "left_id"), name("text", "left_text")), side(1).select(*group, name(id_, "right_id"), name("text", "right_text"))
+    pairs = exact.join(lefts, [*group, "left_id"]).join(rights, [*group, "right_id"]).select(*group, "left_text", "right_text", F.lit(1.0).alias("similarity"), F.lit("exact").alias("stage"))
+    gone = exact.select(*group, F.lit(0).alias("side"), name("left_id", id_)).unionByName(exact.select(*group, F.lit(1).alias("side"), name("right_id", id_)))
+    rest = rows.join(gone, [*group, "side", id_], "left_anti").select(*group, "side", "text")
+    return pairs.unionByName(assignment_match(rest, threshold, similarity).withColumn("stage", F.lit("assigned")))

@@ -65,18 +65,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """The vector at length 1; null for a zero vector."""
+    """The vector at length 1; a zero vector has no direction and is an error."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    return F.when(v.isNull(), F.lit(None)).when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.raise_error(F.lit("a zero vector can't be normalised")))
 
 
 def _pack(width: int):
+    """Rows (id, v) of one length to rows (ids, flat) of up to ``width`` vectors, buffer by buffer."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, width):
                 part = batch.slice(at, width)
-                flat = part.column("v").combine_chunks() if hasattr(part.column("v"), "combine_chunks") else part.column("v")
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([[float(x) for x in flat.flatten().to_numpy(zero_copy_only=False)]], pa.list_(pa.float64()))], ["ids", "flat"])
+                n, flat = part.num_rows, part.column("v").flatten()
+                whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([whole(part.column("id")), whole(flat.cast(pa.float32())), pa.array([len(flat) // n], pa.int32())], ["ids", "flat", "dim"])
 
     return of
 
@@ -84,38 +87,67 @@ def _pack(width: int):
 def _score(k: int | None, metric: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qids, qflat, ids, flat in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_flat", "ids", "flat")), strict=True):
-                q, v = np.array(qflat).reshape(len(qids), -1), np.array(flat).reshape(len(ids), -1)
+            values = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("q_ids", "q_flat", "ids", "flat")}
+            for row, dim in enumerate(batch.column("dim").to_pylist()):
+                qids, q, ids, v = (x[off[row] : off[row + 1]] for off, x in values.values())
+                q, v = q.reshape(-1, dim).astype(np.float64), v.reshape(-1, dim).astype(np.float64)
+                dots = q @ v.T
                 nq, nv = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
                 norms = nq[:, None] * nv[None, :]
-                cos = np.divide(q @ v.T, norms, out=np.zeros(norms.shape), where=norms > 0)
-                dist = np.sqrt(np.maximum(nq[:, None] ** 2 + nv[None, :] ** 2 - 2 * (q @ v.T), 0))
-                rank_by = -np.round(cos, 6) if metric == "cosine" else np.round(dist, 6)
-                ids_, out = np.array(ids), []
-                for i in range(len(qids)):
-                    order = np.lexsort((ids_, rank_by[i]))[:k]
-                    out.append((np.full(len(order), qids[i]), ids_[order], np.round(cos[i][order], 6) + 0.0, np.round(dist[i][order], 6)))
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "id", "similarity", "distance"])
+                cos = np.round(np.divide(dots, norms, out=np.zeros(norms.shape), where=norms > 0), 6) + 0.0
+                dist = np.round(np.sqrt(np.maximum(nq[:, None] ** 2 + nv[None, :] ** 2 - 2 * dots, 0)), 6)
+                by = -cos if metric == "cosine" else dist
+                if k is not None and k < len(ids):  # the k best and their ties, then in order
+                    last = np.partition(by, k - 1, axis=1)[:, k - 1 : k]
+                else:
+                    last = by.max(axis=1, keepdims=True)
+                at, to = np.nonzero(by <= last)
+                order = np.lexsort((ids[to], by[at, to], at))
+                at, to = at[order], to[order]
+                if k is not None:
+                    nth = np.arange(len(at)) - np.searchsorted(at, at)
+                    at, to = at[nth < k], to[nth < k]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(ids[to]), pa.array(cos[at, to]), pa.array(dist[at, to])], ["query_id", "id", "similarity", "distance"])
 
     return of
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", block: int = 1024, lanes: int = 8) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", block: int = 1024) -> DataFrame:
     """(query_id, id, similarity, distance, rank): exact search of the stated queries (query_id, v) in all vectors (id, v).
 
-    Both sides are packed into blocks, each block of vectors meets each block of queries by an equi-join on the query
-    block's lane, and one matrix product gives the block's best k. Only those reach the ranking. Null vectors and such of
-    another length than the queries' first are left out.
+    Both sides are packed into blocks. Query blocks are numbered; each vector block goes to all of them, in one of so many
+    lanes that there is a task for each shuffle partition. One matrix product a pair of blocks gives its best k, and only
+    those reach the ranking. Null vectors are left out. A vector of another length than the query has similarity 0 by
+    cosine and no distance; by distance it is an error. Zero vectors have similarity 0.
     """
-    width = queries.where("v is not null").agg(F.max(F.size("v"))).first()[0]
-    if not width:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double, distance double, rank int")
-    clean = lambda df, key: df.where(F.col(key).isNotNull() & F.col("v").isNotNull() & (F.size("v") == width)).select(F.col(key).cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
-    lane = F.pmod(F.xxhash64("q_ids"), F.lit(lanes))
-    q = clean(queries, "query_id").mapInArrow(_pack(block), "ids array<long>, flat array<double>").select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat")).withColumn("lane", lane)
-    v = clean(vectors, "id").mapInArrow(_pack(block), "ids array<long>, flat array<double>").select("ids", "flat", F.expr(f"explode(sequence(0L, {lanes - 1}L))").alias("lane"))
-    best = q.join(v, "lane").select("q_ids", "q_flat", "ids", "flat").mapInArrow(_score(k, metric), "query_id long, id long, similarity double, distance double")
+    spark = vectors.sparkSession
+    clean = lambda df, key: df.where(F.col(key).isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).select(F.col(key).cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"), F.size("v").alias("dim"))
+    v, q = clean(vectors, "id"), clean(queries, "query_id")
+    asked = {r[0]: r[1] for r in q.groupBy("dim").count().collect()}  # one row a length
+    there = [r[0] for r in v.select("dim").distinct().collect()]
+    if not asked or not there:
+        return spark.createDataFrame([], "query_id long, id long, similarity double, distance double, rank int")
+    if metric != "cosine" and set(asked) | set(there) != set(asked) & set(there) or metric != "cosine" and len(there) > 1:
+        raise ValueError(f"vectors of {sorted(there)} and queries of {sorted(asked)} numbers")
+    best = None
+    for dim, n in asked.items():
+        if dim not in there:
+            continue
+        n_blocks = -(-n // block)
+        lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks)
+        q_blocks = q.where(F.col("dim") == dim).select("id", "v").mapInArrow(_pack(block), "ids array<long>, flat array<float>, dim int")
+        q_blocks = q_blocks.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks)).alias("nth"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+        v_blocks = v.where(F.col("dim") == dim).select("id", "v").mapInArrow(_pack(block), "ids array<long>, flat array<float>, dim int")
+        v_blocks = v_blocks.select("ids", "flat", "dim", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("nth"))
+        found = v_blocks.join(q_blocks, ["nth", "lane"]).select("q_ids", "q_flat", "ids", "flat", "dim").mapInArrow(_score(k, metric), "query_id long, id long, similarity double, distance double")
+        best = found if best is None else best.unionByName(found)
+    for dim in there:  # of each other length the first ids are enough, since their similarity is the same
+        others = [x for x in asked if x != dim]
+        if others:
+            ids = v.where(F.col("dim") == dim).select("id").distinct().orderBy("id")
+            first = [r[0] for r in (ids.limit(k) if k is not None else ids).collect()]
+            zero = q.where(F.col("dim").isin(*others)).select(F.col("id").alias("query_id"), F.explode(F.array(*map(F.lit, first)).cast("array<long>")).alias("id"), F.lit(0.0).alias("similarity"), F.lit(None).cast("double").alias("distance"))
+            best = zero if best is None else best.unionByName(zero)
     return ranked(best, "similarity" if metric == "cosine" else "distance", "id", k, ascending=metric != "cosine")
 
 
@@ -164,9 +196,43 @@ def evidence_select(children: DataFrame, doc_limit: int = 10, evidence_limit: in
     return out.select("query_id", F.col("x.child_id").alias("child_id"), F.col("x.parent_id").alias("parent_id"), (F.col("pos") + 1).alias("nth"))
 
 
-def budget_pack(items: DataFrame, group: list[str], order: list[str], cost: str, budget: int, key: str) -> DataFrame:
-    """Whole items in order while they fit; what doesn't fit is skipped and the rest goes on. Groups are bounded pools."""
-    pool = items.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("_key"), F.col(cost).cast("long").alias("_cost")))).alias("pool"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda a, x: F.when(a["used"] + x["_cost"] <= budget, F.struct((a["used"] + x["_cost"]).alias("used"), F.concat(a["kept"], F.array(x["_key"])).alias("kept"))).otherwise(a)
-    return pool.select(*group, F.aggregate("pool", start, step).alias("r")).select(*group, F.col("r.used").alias("used"), F.size("r.kept").alias("n_kept"), F.array_join(F.col("r.kept").cast("array<string>"), ",").alias("kept"))
+BLOCK_HEAD = len("# Memory\n\n## Retrieved Memory")
+
+
+def budget_pack(items: DataFrame, group: list[str], order: list[str], line: str, budget: int, key: str, head: int = BLOCK_HEAD) -> DataFrame:
+    """(group, used, n_kept, kept): whole items in order while the rendered block, the head and the lines kept so far, stays
+    within ``budget`` by the length estimate; what doesn't fit is skipped and the rest goes on. The items of a group are
+    the pool of a search, a bounded list."""
+    pool = items.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("_key"), F.length(line).cast("long").alias("_n")))).alias("pool"))
+    start = F.struct(F.lit(head).cast("long").alias("chars"), F.array().cast("array<bigint>").alias("kept"))
+    cost = lambda n: F.floor(n / 4) + 4
+    step = lambda a, x: F.when(cost(a["chars"] + 1 + x["_n"]) <= budget, F.struct((a["chars"] + 1 + x["_n"]).alias("chars"), F.concat(a["kept"], F.array(x["_key"])).alias("kept"))).otherwise(a)
+    r = pool.select(*group, F.aggregate("pool", start, step).alias("r"))
+    return r.select(*group, F.when(F.size("r.kept") > 0, cost(F.col("r.chars"))).otherwise(F.lit(0)).cast("long").alias("used"), F.size("r.kept").alias("n_kept"), "r.kept")
+
+
+def fit_request(requests: DataFrame, available: int) -> DataFrame:
+    """(query_id, n_facts, children, parents, status, fits) of requests (query_id, core, facts, evidence, status): the last
+    facts are dropped until the rest fits, then the last pieces of evidence, with parents that no piece is left of; what
+    is core stays, and where that alone is too much nothing fits.
+
+    core is the cost of what must stay, facts an array of costs in order, evidence an array of (child_id, parent_id,
+    child_cost, parent_cost) in order. A verdict on the evidence no longer holds once some of it is dropped, and becomes
+    insufficient. Null arrays are empty. Both are bounded pools."""
+    facts, ev = F.coalesce("facts", F.array().cast("array<bigint>")), F.coalesce("evidence", F.array().cast("array<struct<child_id:bigint,parent_id:bigint,child_cost:bigint,parent_cost:bigint>>"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def upto(j: Column) -> Column:
+        kept = F.slice("_ev", F.lit(1), j)
+        parents = F.array_distinct(F.transform(kept, lambda x: F.struct(x["parent_id"].alias("p"), x["parent_cost"].alias("c"))))
+        return total(F.transform(kept, lambda x: x["child_cost"].cast("long"))) + total(F.transform(parents, lambda x: x["c"].cast("long")))
+
+    r = requests.withColumns({"_facts": facts, "_ev": ev})
+    all_ev = upto(F.size("_ev"))
+    n = F.array_max(F.filter(F.sequence(F.lit(0), F.size("_facts")), lambda i: F.col("core") + total(F.slice("_facts", F.lit(1), i)) + all_ev <= available))
+    m = F.array_max(F.filter(F.sequence(F.lit(0), F.size("_ev")), lambda j: F.col("core") + upto(j) <= available))
+    r = r.withColumns({"_n": n, "_m": m})
+    r = r.withColumns({"n_facts": F.coalesce("_n", F.lit(0)), "n_children": F.when(F.col("_n").isNotNull(), F.size("_ev")).otherwise(F.coalesce("_m", F.lit(0))), "fits": F.col("_n").isNotNull() | F.col("_m").isNotNull()})
+    kept = F.slice("_ev", F.lit(1), F.col("n_children"))
+    cut = (F.col("n_children") < F.size("_ev")) & F.col("status").isin("sufficient", "insufficient")
+    return r.select("query_id", "n_facts", F.transform(kept, lambda x: x["child_id"]).alias("children"), F.array_distinct(F.transform(kept, lambda x: x["parent_id"])).alias("parents"), F.when(cut, "insufficient").otherwise(F.col("status")).alias("status"), "fits")

@@ -37,17 +37,23 @@ def last_n(rows: DataFrame, group: list[str], order: list[str], n: int, salts: i
     return part.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*newest))).where(F.col("nth") <= n).drop("_salt", "_r")
 
 
-def islands(rows: DataFrame, group: list[str], order: str, same: list[str], width: int = 1000) -> DataFrame:
-    """``island``: the number, within the group, of the stretch of neighbouring rows that are equal in ``same``. Rows look
-    at the one before within their block; the first row of a block looks at the last row of the block before; the numbers
-    are a running sum by blocks. ``order`` is an integer column without ties."""
-    blocked = rows.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
-    tails = blocked.groupBy(*group, "_block").agg(F.max_by(F.struct(*same), F.col(order)).alias("_tail"))
+def islands(rows: DataFrame, group: list[str], order: str, same: list[str], joins: str | None = None, ends: str | None = None, width: int = 1000) -> DataFrame:
+    """``island``: the number, within the group, of the stretch of neighbouring rows that are equal in ``same``. With
+    ``joins`` only rows that have it join a neighbour; a row with ``ends`` is the last of its stretch. Rows look at the one
+    before within their block; the first row of a block looks at the last row of the block before; the numbers are a
+    running sum by blocks. ``order`` is an integer column without ties."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else None
+    here = F.struct(*same, (flag(joins) if joins else F.lit(True)).alias("_joins"), (flag(ends) if ends else F.lit(False)).alias("_ends"))
+    blocked = rows.withColumns({"_block": F.floor(F.col(order) / F.lit(width)), "_here": here})
+    tails = blocked.groupBy(*group, "_block").agg(F.max_by("_here", F.col(order)).alias("_tail"))
     before = tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*group).orderBy("_block")))
     w = Window.partitionBy(*group, "_block").orderBy(order)
-    at = blocked.withColumns({"_here": F.struct(*same), "_prev": F.lag(F.struct(*same)).over(w)}).join(before, [*group, "_block"])
-    prev = F.coalesce("_prev", "_tail")
-    flagged = at.withColumn("_start", F.when(prev.isNull() | ~F.col("_here").eqNullSafe(prev), 1).otherwise(0)).drop("_here", "_prev", "_tail", "_block")
+    at = blocked.withColumn("_prev", F.lag("_here").over(w)).join(before, [*group, "_block"])
+    prev, alike = F.coalesce("_prev", "_tail"), F.lit(True)
+    for c in same:
+        alike = alike & F.col("_here")[c].eqNullSafe(prev[c])
+    goes_on = prev.isNotNull() & alike & F.col("_here")["_joins"] & prev["_joins"] & ~prev["_ends"]
+    flagged = at.withColumn("_start", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).drop("_here", "_prev", "_tail", "_block")
     return running_sum(flagged, group, order, "_start", "island", width).drop("_start")
 
 

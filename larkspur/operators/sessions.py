@@ -11,12 +11,10 @@ are ``fan`` of them, so what is written for a batch grows with the batch, and wi
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.segments import SegmentStore
 from larkspur.session import new_path
 
 RUNS = "run_id string, session_key string, start_us long, end_us long"
@@ -58,55 +56,21 @@ def sessionize(intervals: DataFrame, gap_us: int) -> DataFrame:
     return numbered.groupBy("session_key", "nth").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_runs").alias("n_runs")).select("session_key", "start_us", "end_us", "n_runs")
 
 
-class SessionTable:
-    """Run states and sessions under one folder, as two logs of segments.
-
-    A small manifest names the segments. An update writes new ones and then replaces the manifest by one rename, so readers
-    see the table before or after a batch, never between. One writer at a time is assumed. Segments that a merge has
-    replaced are deleted one publication later, when no reader of the former manifest should be left.
+class SessionTable(SegmentStore):
+    """Run states and sessions as two logs of segments.
 
     What is known of a run only ever grows: its least key, earliest start and latest end, whatever the order in which its
     rows come. A run whose least key changes leaves its session, which is then rebuilt from the runs in it.
     """
 
+    TABLES = ("runs", "sessions")
+
     def __init__(self, spark: SparkSession, path: str, gap_us: int = 30 * 60 * 1_000_000, fan: int = 8):
-        self.spark, self.path, self.gap_us, self.fan = spark, path.rstrip("/"), gap_us, fan
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._context = jvm.org.apache.hadoop.fs.FileContext
-        self._rename = jvm.org.apache.hadoop.fs.Options.Rename
-
-    def _manifest(self) -> dict:
-        p = self._path(f"{self.path}/manifest.json")
-        if not self._fs.exists(p):
-            return {"batch": 0, "runs": [], "sessions": [], "dropped": []}
-        stream = self._fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _publish(self, manifest: dict) -> None:
-        new, final = self._path(f"{self.path}/manifest.new"), self._path(f"{self.path}/manifest.json")
-        out = self._fs.create(new, True)
-        out.write(json.dumps(manifest).encode())
-        out.close()
-        options = self.spark.sparkContext._gateway.new_array(self._rename, 1)
-        options[0] = self._rename.OVERWRITE
-        self._context.getFileContext(self._fs.getUri()).rename(self._fs.makeQualified(new), self._fs.makeQualified(final), options)
-
-    def _write(self, df: DataFrame, name: str) -> str:
-        folder = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(folder)
-        return folder
-
-    def _read(self, segments: list, schema: str) -> DataFrame:
-        """Segments are [level, folder], the oldest first."""
-        return self.spark.read.schema(schema).parquet(*(f for _, f in segments)) if segments else self.spark.createDataFrame([], schema)
+        super().__init__(spark, path, fan)
+        self.gap_us = gap_us
 
     def _latest(self, segments: list) -> DataFrame:
-        versions = self._read(segments, VERSIONS)
+        versions = self.read(segments, VERSIONS)
         return versions.groupBy("session_key", "start_us").agg(F.max_by(F.struct("end_us", "n_runs", "live", "batch"), "batch").alias("v")).select("session_key", "start_us", "v.*")
 
     def _live(self, segments: list) -> DataFrame:
@@ -114,38 +78,26 @@ class SessionTable:
 
     def sessions(self) -> DataFrame:
         """The sessions as last published."""
-        return self._live(self._manifest()["sessions"])
-
-    def _merged(self, segments: list, table: str, dropped: list) -> list:
-        """Segments with every ``fan`` neighbours of one level merged. Sessions that are gone are forgotten once nothing
-        older is left."""
-        while len(segments) >= self.fan and len({level for level, _ in segments[-self.fan :]}) == 1:
-            old, last = segments[: -self.fan], segments[-self.fan :]
-            if table == "runs":
-                df = states(self._read(last, RUNS))
-            else:
-                df = self._latest(last) if old else self._latest(last).where("live")
-            segments = [*old, [last[0][0] + 1, self._write(df, table)]]
-            dropped += [f for _, f in last]
-        return segments
+        return self._live(self.manifest()["sessions"])
 
     def update(self, runs: DataFrame) -> None:
         """Take in one batch of run rows. Rows seen before, in any order or number, change nothing."""
-        old = self._manifest()
-        number, dropped = old["batch"] + 1, []
+        old = self.manifest()
+        number, dropped = old["version"] + 1, []
+        self.claim(number)
         batch = run_intervals(runs)
         if old["runs"]:
-            kept = self._write(batch, "batch")
+            kept = self.write(batch, "batch")
             dropped.append(kept)
             batch = self.spark.read.schema(RUNS).parquet(kept)
-            before = states(self._read(old["runs"], RUNS).join(batch.select("run_id"), "run_id", "left_semi"))
+            before = states(self.read(old["runs"], RUNS).join(batch.select("run_id"), "run_id", "left_semi"))
             b = before.toDF("run_id", "old_key", "old_start", "old_end")
             both = batch.join(b, "run_id", "left")
             grown = both.select("run_id", F.least("session_key", "old_key").alias("session_key"), F.least("start_us", "old_start").alias("start_us"), F.greatest("end_us", "old_end").alias("end_us"), "old_key", "old_start", "old_end")
             changed = grown.where("old_key is null or session_key <> old_key or start_us <> old_start or end_us <> old_end").drop("old_end")
         else:
             changed = batch.select("*", F.lit(None).cast("string").alias("old_key"), F.lit(None).cast("long").alias("old_start"))
-        folder = self._write(changed, "runs")
+        folder = self.write(changed, "runs")
         changed = self.spark.read.schema(CHANGED).parquet(folder)
         log = [*old["runs"], [0, folder]]
         new = F.col("old_key").isNull() | (F.col("old_key") != F.col("session_key"))
@@ -158,25 +110,25 @@ class SessionTable:
             if not moved.isEmpty():
                 at = moved.select(F.col("old_key").alias("session_key"), "old_start")
                 left = near.join(at, "session_key").where("old_start between start_us and end_us").select("session_key", "start_us", "end_us").distinct()
-                left = self.spark.read.schema("session_key string, start_us long, end_us long").parquet(kept_left := self._write(left, "left"))
+                left = self.spark.read.schema("session_key string, start_us long, end_us long").parquet(kept_left := self.write(left, "left"))
                 dropped.append(kept_left)
                 stay = near.join(left, ["session_key", "start_us", "end_us"], "left_anti")
                 inside = lambda df: df.join(left.toDF("session_key", "s", "e"), "session_key").where("start_us between s and e").drop("s", "e")
-                was = self._read(old["runs"], RUNS)
+                was = self.read(old["runs"], RUNS)
                 members = inside(states(was.join(inside(was).select("run_id").distinct(), "run_id", "left_semi"))).select("run_id")
                 stayed = members.join(changed.where(new).select("run_id"), "run_id", "left_anti")
-                now = states(self._read(log, RUNS).join(stayed, "run_id", "left_semi"))
+                now = states(self.read(log, RUNS).join(stayed, "run_id", "left_semi"))
                 again = local.unionByName(now.select("session_key", "start_us", "end_us", F.lit(1).cast("long").alias("n_runs")))
             after = sessionize(stay.unionByName(again), self.gap_us)
             versions = near.toDF("session_key", "start_us", "e", "n").join(after, ["session_key", "start_us"], "full").where("not (end_us <=> e and n_runs <=> n)")
         else:
             versions = sessionize(local, self.gap_us)
         versions = versions.select("session_key", "start_us", "end_us", "n_runs", F.col("end_us").isNotNull().alias("live"), F.lit(number).cast("long").alias("batch"))
-        sessions = [*old["sessions"], [0, self._write(versions, "sessions")]]
-        runs_now, sessions_now = self._merged(log, "runs", dropped), self._merged(sessions, "sessions", dropped)
-        self._publish({"batch": number, "runs": runs_now, "sessions": sessions_now, "dropped": dropped})
-        for f in old["dropped"]:
-            self._fs.delete(self._path(f), True)
+        sessions = [*old["sessions"], [0, self.write(versions, "sessions")]]
+        runs_now = self.merged(log, "runs", dropped, lambda last, _: states(self.read(last, RUNS)))
+        # sessions that are gone are forgotten once nothing older is left
+        sessions_now = self.merged(sessions, "sessions", dropped, lambda last, oldest: self._latest(last).where("live") if oldest else self._latest(last))
+        self.publish({"version": number, "runs": runs_now, "sessions": sessions_now, "dropped": dropped}, old)
 
 
 def states(rows: DataFrame) -> DataFrame:

@@ -72,20 +72,15 @@ def eval_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return sets.agg(g("level").alias("all_levels"), g("scenario").alias("all_scenarios"), F.count("*").alias("cases"), F.round(F.avg(F.col("exact").cast("int")), 6).alias("exact_rate"), F.round(F.avg("f1"), 6).alias("f1")).select("all_levels", "all_scenarios", "level", "scenario", "cases", "exact_rate", "f1")
 
 
-@query(f"WITH {_SETS} SELECT count(*) FILTER (tp > 0 AND exact) AS hit_correct, count(*) FILTER (tp > 0 AND NOT exact) AS hit_wrong, count(*) FILTER (tp = 0 AND exact) AS miss_correct, count(*) FILTER (tp = 0 AND NOT exact) AS miss_wrong FROM sc")
-def consistency_matrix(spark: SparkSession, d: str) -> DataFrame:
-    hit, right = F.col("tp") > 0, F.col("exact")
-    return _scores(spark, d).agg(F.count_if(hit & right).alias("hit_correct"), F.count_if(hit & ~right).alias("hit_wrong"), F.count_if(~hit & right).alias("miss_correct"), F.count_if(~hit & ~right).alias("miss_wrong"))
-
-
-_PRIORITY = "CASE status WHEN 'error' THEN 2 WHEN 'running' THEN 1 ELSE 0 END"
-
-
-@query(f"WITH r AS (SELECT run_id, arg_max({{'c': channel, 's': status}}, logged_at) AS x FROM runs WHERE run_id IS NOT NULL GROUP BY 1), t AS (SELECT x.c AS channel, x.s AS status FROM r) SELECT channel, count(*) FILTER (status = 'completed') AS passed, count(*) FILTER (status = 'error') AS failed, count(*) FILTER (status = 'running') AS open, CASE max({_PRIORITY}) WHEN 2 THEN 'error' WHEN 1 THEN 'running' ELSE 'completed' END AS worst FROM t GROUP BY 1")
+@query(
+    f"WITH {_SETS}, l AS (SELECT case_id, coalesce(max(level), '?') AS mode, bool_or(gold_final_snapshot IS NOT NULL) AS told FROM cases WHERE case_id IS NOT NULL GROUP BY 1), t AS (SELECT mode, CASE WHEN NOT told THEN 'not_implemented' WHEN exact THEN 'passed' ELSE 'failed' END AS status FROM sc JOIN l USING (case_id)) "
+    "SELECT mode, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'not_implemented') AS not_implemented, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'passed') > 0 THEN 'passed' ELSE 'not_implemented' END AS status FROM t GROUP BY 1"
+)
 def mode_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("status")
-    worst = F.max(F.when(s == "error", 2).when(s == "running", 1).otherwise(0))
-    return data.runs(spark, d).groupBy("channel").agg(F.count_if(s == "completed").alias("passed"), F.count_if(s == "error").alias("failed"), F.count_if(s == "running").alias("open"), F.when(worst == 2, "error").when(worst == 1, "running").otherwise("completed").alias("worst"))
+    """Cases by level: passed if the predicted snapshot is the gold one, not implemented without a gold one."""
+    told = data.read_table(spark, d, "cases").where("case_id is not null").groupBy("case_id").agg(F.coalesce(F.max("level"), F.lit("?")).alias("mode"), F.max(F.col("gold_final_snapshot").isNotNull()).alias("told"))
+    rows = _scores(spark, d).join(told, "case_id")
+    return E.status_summary(rows.select("mode", F.when(~F.col("told"), "not_implemented").when(F.col("exact"), "passed").otherwise("failed").alias("status")), "mode")
 
 
 _RUN = search._with(search._DOCS, search._QUERY, search._BM25, search._VEC, search._FUSED, search._POOL)
@@ -130,21 +125,55 @@ def ir_mrr(spark: SparkSession, d: str) -> DataFrame:
 _DOC = "dr AS (SELECT query_id, page_id, min(parent_rank) AS r FROM prk JOIN (SELECT DISTINCT parent_id, page_id FROM docs) USING (parent_id) GROUP BY 1, 2), dd AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY r, page_id) AS rank FROM dr)"
 
 
+def _ranked_docs(spark: SparkSession, d: str, pool: DataFrame) -> DataFrame:
+    pages = data.children(spark, d).select("parent_id", "page_id").distinct()
+    url = F.concat(F.lit("beir://pages/"), F.url_encode(F.col("page_id").cast("string")))
+    rows = R.parent_aggregate(pool).join(pages, "parent_id").select("query_id", "parent_rank", F.lpad(F.col("page_id").cast("string"), 12, "0").alias("doc"), url.alias("url"))
+    return E.ranked_documents(rows, "pages")
+
+
 @query(f"{_RUN}, {_DOC} SELECT query_id, page_id, CAST(rank AS INT) AS rank, round(1 / rank, 6) AS score FROM dd")
 def doc_dedupe_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Ranked sections to ranked pages: a page's first section counts."""
-    kids = search._reranked(spark, d)
-    pages = data.children(spark, d).select("parent_id", "page_id").distinct()
-    best = R.parent_aggregate(kids).join(pages, "parent_id").groupBy("query_id", "page_id").agg(F.min("parent_rank").alias("r"))
-    return R.ranked(best, "r", "page_id", None, ascending=True).select("query_id", "page_id", "rank", F.round(1 / F.col("rank"), 6).alias("score"))
+    """Ranked sections to ranked pages by their addresses: a page's first section counts."""
+    return _ranked_docs(spark, d, search._reranked(spark, d)).select("query_id", F.col("doc_id").cast("long").alias("page_id"), "rank", "score")
+
 
+_DIAG = f"""{search._EVIDENCE}, {_DOC}, got AS (SELECT query_id, list(page_id) AS got FROM dd WHERE rank <= 10 GROUP BY 1), evd AS (SELECT query_id, list(DISTINCT page_id) AS evd FROM ev JOIN (SELECT DISTINCT child_id, page_id FROM docs) USING (child_id) GROUP BY 1),
+dg AS (SELECT query_id, len(coalesce(got, []::BIGINT[])) AS retrieved, len(coalesce(evd, []::BIGINT[])) AS in_evidence, list_contains(coalesce(got, []::BIGINT[]), query_id)::INT AS hits, list_contains(coalesce(evd, []::BIGINT[]), query_id)::INT AS evidence_hits FROM qs LEFT JOIN got USING (query_id) LEFT JOIN evd USING (query_id))"""
 
-@query(f"{_RUN}, {_DOC}, gold AS (SELECT query_id, [query_id] AS gold FROM qs), got AS (SELECT query_id, list(page_id) AS got FROM dd WHERE rank <= 10 GROUP BY 1) SELECT query_id, len(coalesce(got, []::BIGINT[])) AS retrieved, len(list_intersect(gold, coalesce(got, []::BIGINT[]))) AS hits, round(len(list_intersect(gold, coalesce(got, []::BIGINT[]))) / len(gold), 6) AS recall FROM gold LEFT JOIN got USING (query_id)")
+
+@query(_DIAG + " SELECT query_id, CAST(retrieved AS INT) AS retrieved, CAST(in_evidence AS INT) AS in_evidence, hits, evidence_hits, hits::DOUBLE AS recall FROM dg")
 def beir_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    got = doc_dedupe_rank(spark, d).where("rank <= 10").groupBy("query_id").agg(F.collect_set("page_id").alias("got"))
-    rows = data.queries(spark, d).select("query_id", F.array("query_id").alias("gold")).join(got, "query_id", "left").withColumn("got", F.coalesce("got", F.array().cast("array<bigint>")))
-    hits = F.size(F.array_intersect("gold", "got"))
-    return rows.select("query_id", F.size("got").cast("bigint").alias("retrieved"), hits.cast("bigint").alias("hits"), F.round(hits / F.size("gold"), 6).alias("recall"))
+    """Gold pages among the retrieved ones and among those of the evidence, query by query."""
+    return _diagnosed(spark, d).select("query_id", "retrieved", "in_evidence", "hits", "evidence_hits", "recall")
+
+
+def _diagnosed(spark: SparkSession, d: str) -> DataFrame:
+    pool = search._reranked(spark, d)
+    got = _ranked_docs(spark, d, pool).where("rank <= 10").groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("long")).alias("retrieved"))
+    kids = data.children(spark, d).select("child_id", "page_id").distinct()
+    evidence = search.evidence_of(spark, d, pool).join(kids, "child_id").groupBy("query_id").agg(F.collect_set("page_id").alias("evidence"))
+    rows = data.queries(spark, d).select("query_id", F.array("query_id").alias("gold")).join(got, "query_id", "left").join(evidence, "query_id", "left")
+    return E.diagnostics(rows)
+
+
+@query(_DIAG + " SELECT count(*) AS queries, round(avg(retrieved), 6) AS avg_retrieved, round(avg(in_evidence), 6) AS avg_evidence, round(avg(hits), 6) AS in_candidates_rate, round(avg(evidence_hits), 6) AS in_evidence_rate FROM dg")
+def beir_averages(spark: SparkSession, d: str) -> DataFrame:
+    """The averages of the diagnostics."""
+    r = _diagnosed(spark, d)
+    return r.agg(F.count("*").alias("queries"), *(F.round(F.avg(c), 6).alias(n) for c, n in (("retrieved", "avg_retrieved"), ("in_evidence", "avg_evidence"))), F.round(F.avg((F.col("hits") > 0).cast("int")), 6).alias("in_candidates_rate"), F.round(F.avg((F.col("evidence_hits") > 0).cast("int")), 6).alias("in_evidence_rate"))
+
+
+_STATUS = "cov2 AS (SELECT e.query_id, list_distinct(flatten(list(d.toks))) AS toks FROM ev e JOIN dtok d USING (child_id) GROUP BY 1), ok AS (SELECT q.query_id, coalesce(len(terms) > 0 AND len(list_intersect(terms, toks)) >= 0.5 * len(terms), false) AS correct FROM qterm q LEFT JOIN cov2 USING (query_id))"
+
+
+@query(_DIAG + f", {_STATUS} SELECT count(*) FILTER (hits > 0 AND correct) AS hit_correct, count(*) FILTER (hits > 0 AND NOT correct) AS hit_wrong, count(*) FILTER (hits = 0 AND correct) AS miss_correct, count(*) FILTER (hits = 0 AND NOT correct) AS miss_wrong FROM dg JOIN ok USING (query_id)")
+def consistency_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval against answer: whether the gold page was retrieved, and whether the evidence covers the question."""
+    pool = search._reranked(spark, d)
+    got = _ranked_docs(spark, d, pool).where("rank <= 10").select("query_id", (F.col("doc_id").cast("long") == F.col("query_id")).alias("hit")).groupBy("query_id").agg(F.max("hit").alias("hit"))
+    told = search._status(spark, d, search.evidence_of(spark, d, pool)).join(got, "query_id", "left")
+    return E.consistency(told.select(F.coalesce("hit", F.lit(False)).alias("hit"), (F.col("status") == "sufficient").alias("correct")))
 
 
 @query(
@@ -173,19 +202,21 @@ def support_metrics(spark: SparkSession, d: str) -> DataFrame:
 _NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(lower(trim({x})), '’', ''''), '“', '"'), '”', '"'), '[$,]', '', 'g'), '\b(\d+)\s*:\s*(\d+)\b', '\1:\2', 'g'), '\b(\d+)\s+(?:minutes?|mins?)\s+and\s+(\d+)\s+(?:seconds?|secs?)\b', '\1:\2', 'g'), '\b(\d+)\s+(?:minutes?|mins?)\b', '\1 min', 'g'), '[^\p{{L}}\p{{N}}_\s:]', ' ', 'g'), '[\s\x{{a0}}\x{{2009}}]+', ' ', 'g'))"""
 
 
-@query(f"WITH r AS (SELECT DISTINCT record_id, memory_id, text FROM canonical_memories WHERE record_id IS NOT NULL AND text IS NOT NULL AND memory_id IS NOT NULL), g AS (SELECT memory_id, max(text) AS gold FROM r GROUP BY 1) SELECT record_id, {_NORM.format(x='text')} AS answer, {_NORM.format(x='text')} = {_NORM.format(x='gold')} AS matches FROM r JOIN g USING (memory_id)")
+@query(f"WITH r AS (SELECT DISTINCT record_id, memory_id, text FROM canonical_memories WHERE record_id IS NOT NULL AND text IS NOT NULL AND memory_id IS NOT NULL), g AS (SELECT memory_id, max(text) AS gold, min(text) AS alias FROM r GROUP BY 1), n AS (SELECT record_id, {_NORM.format(x='text')} AS answer, {_NORM.format(x='gold')} AS gold, {_NORM.format(x='alias')} AS alias FROM r JOIN g USING (memory_id)) SELECT record_id, answer, answer <> '' AND (answer = gold OR answer = alias) AS matches FROM n")
 def answer_match(spark: SparkSession, d: str) -> DataFrame:
+    """Each text against the greatest text of its id as the answer, with the least one as an alias."""
     r = data.read_table(spark, d, "canonical_memories").where("record_id is not null and text is not null and memory_id is not null").select("record_id", "memory_id", "text").distinct()
-    g = r.groupBy("memory_id").agg(F.max("text").alias("gold"))
-    a = T.normalize_answer(F.col("text"))
-    return r.join(g, "memory_id").select("record_id", a.alias("answer"), (a == T.normalize_answer(F.col("gold"))).alias("matches"))
+    g = r.groupBy("memory_id").agg(F.max("text").alias("gold"), F.min("text").alias("alias"))
+    return r.join(g, "memory_id").select("record_id", T.normalize_answer(F.col("text")).alias("answer"), T.answers_match(F.col("text"), F.col("gold"), F.array("alias")).alias("matches"))
 
 
-@query("SELECT event_id, CASE WHEN json_valid(props) AND props->>'k' IS NOT NULL THEN CASE WHEN CAST(props->>'k' AS INT) >= 50 THEN 'correct' ELSE 'wrong' END WHEN contains(lower(props), 'correct') THEN 'correct' ELSE 'unclear' END AS verdict FROM events")
+@query("WITH r AS (SELECT 'd' || doc_id AS id, text AS t FROM documents UNION ALL SELECT 'e' || event_id, CASE WHEN event_type = 'view' THEN '{\"verdict\": \" Correct\", \"k\": ' || (props->>'k') || '}' ELSE props END FROM events) SELECT id, CASE WHEN starts_with(trim(t, ' '), '{') AND json_valid(t) THEN coalesce(lower(trim(t->>'verdict')) = 'correct', false) ELSE NOT contains(lower(coalesce(t, '')), 'incorrect') AND contains(lower(coalesce(t, '')), 'correct') END AS correct FROM r")
 def judge_parse(spark: SparkSession, d: str) -> DataFrame:
-    """A verdict out of a JSON answer, else out of its words."""
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return data.read_table(spark, d, "events").select("event_id", F.when(k.isNotNull(), F.when(k >= 50, "correct").otherwise("wrong")).when(F.lower("props").contains("correct"), "correct").otherwise("unclear").alias("verdict"))
+    """Texts as the replies of a judge, by their words; payloads as replies in JSON, those of views with a verdict."""
+    docs = data.read_table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("t"))
+    e = data.read_table(spark, d, "events")
+    told = F.when(F.col("event_type") == "view", F.concat(F.lit('{"verdict": " Correct", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))).otherwise(F.col("props"))
+    return docs.unionByName(e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), told.alias("t"))).select("id", T.verdict_of(F.col("t")).alias("correct"))
 
 
 _SIDE = "SELECT case_id, main_class, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm, text, row_number() OVER (PARTITION BY case_id, main_class, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY text, sub_class) AS nth FROM {x}"
@@ -200,15 +231,17 @@ def exact_match_stage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> DataFrame:
-    side = lambda k, *c: data.snapshot(spark, d, *c).select("case_id", "main_class", F.lit(k).alias("side"), "text").distinct()
+    norm = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    side = lambda k, *c: data.snapshot(spark, d, *c).select("case_id", "main_class", F.lit(k).alias("side"), "text", norm.alias("norm"), F.concat_ws("\n", "text", "sub_class").alias("id"))
     return side(0, "prior_snapshot").unionByName(side(1, "gold_final_snapshot"))
 
 
 @query()
 def assignment_match(spark: SparkSession, d: str) -> DataFrame:
-    return M.assignment_match(_sides(spark, d))
+    """Equal texts pair off, the rest is assigned."""
+    return M.staged_match(_sides(spark, d), ["norm"], "id")
 
 
 @query()
 def greedy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return M.greedy_match(_sides(spark, d))
+    return M.greedy_match(_sides(spark, d).select("case_id", "main_class", "side", "text").distinct())

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.functions.backends import HashEmbedder, embed
 from larkspur.operators import facts as K
 from larkspur.plans import data
 from larkspur.plans.registry import query
+from larkspur.session import keep, new_path
 
 SQL_STRIP = r"regexp_replace({x}, '^[\s\x{{a0}}\x{{2009}}\x{{3000}}]+|[\s\x{{a0}}\x{{2009}}\x{{3000}}]+$', '', 'g')"
 _F = f"f AS (SELECT DISTINCT record_id, workspace, memory_id, main_class, {SQL_STRIP.format(x='coalesce(sub_class, chr(32))')} AS sub_class, {SQL_STRIP.format(x='text')} AS text FROM canonical_memories WHERE record_id IS NOT NULL AND text IS NOT NULL AND main_class IS NOT NULL)"
@@ -103,27 +105,52 @@ def conversion_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SECTIONS = ", ".join(
-    f"'## {K.TITLES[c]}' || chr(10) || chr(10) || CASE WHEN len(list_filter(s, lambda x: x.main_class = '{c}')) > 0 THEN array_to_string(list_transform(list_sort(list_transform(list_filter(s, lambda x: x.main_class = '{c}'), lambda x: {{'s': x.sub_class, 't': x.text}})), lambda x: '- ' || x.s || ': ' || x.t), chr(10)) ELSE '{K.EMPTY}' END"
-    for c in K.CLASSES
+    f"'## {title}' || chr(10) || chr(10) || CASE WHEN len(list_filter(s, lambda x: x.main_class = '{c}')) > 0 THEN array_to_string(list_transform(list_sort(list_transform(list_filter(s, lambda x: x.main_class = '{c}'), lambda x: {{'s': x.sub_class, 'i': x.memory_id, 't': x.text}})), lambda x: '- ' || x.s || ': ' || x.t), chr(10)) ELSE '{empty}' END"
+    for c, title, empty in K.SECTIONS
 )
+_HEAD = ", ".join(f"'{x}'" for x in K.HEAD)
 
 
-@query(f"SELECT case_id, concat_ws(chr(10) || chr(10), {_SECTIONS}) AS document FROM (SELECT DISTINCT case_id, list_transform(gold_final_snapshot, lambda x: {{'main_class': x.main_class, 'sub_class': coalesce(x.sub_class, ''), 'text': coalesce(x.text, '')}}) AS s FROM cases WHERE case_id IS NOT NULL AND gold_final_snapshot IS NOT NULL)")
+@query(f"WITH w AS (SELECT workspace, list({{'main_class': main_class, 'sub_class': sub_class, 'text': text, 'memory_id': coalesce(memory_id, '')}}) AS s FROM (SELECT DISTINCT workspace, main_class, {SQL_STRIP.format(x='coalesce(sub_class, chr(32))')} AS sub_class, {SQL_STRIP.format(x='text')} AS text, memory_id FROM canonical_memories WHERE workspace IS NOT NULL AND record_id IS NOT NULL AND text IS NOT NULL AND main_class IS NOT NULL) GROUP BY 1) SELECT workspace, md5(concat_ws(chr(10) || chr(10), {_HEAD}, {_SECTIONS}, '---', '{K.FOOT.format(writer='the engine')}')) AS document FROM w")
 def render_md(spark: SparkSession, d: str) -> DataFrame:
-    rows = data.read_table(spark, d, "cases").where("case_id is not null and gold_final_snapshot is not null").select("case_id", F.transform("gold_final_snapshot", lambda x: F.struct(x["main_class"].alias("main_class"), F.coalesce(x["sub_class"], F.lit("")).alias("sub_class"), F.coalesce(x["text"], F.lit("")).alias("text"))).alias("s")).distinct()
-    return rows.select("case_id", K.render(F.col("s")).alias("document"))
+    """The document of each workspace. A document is one row by its nature."""
+    f = data.facts(spark, d).where("workspace is not null").select("workspace", "main_class", "sub_class", "text", F.coalesce("memory_id", F.lit("")).alias("memory_id")).distinct()
+    s = f.groupBy("workspace").agg(F.collect_list(F.struct("main_class", "sub_class", "text", "memory_id")).alias("s"))
+    return s.select("workspace", F.md5(K.render(F.col("s"))).alias("document"))
+
+
+_LINE = "'- [' || main_class || '/' || sub_class || '] ' || text"
 
 
 @query(
-    f"""WITH s AS ({_NEW}), l AS (SELECT case_id, string_agg('- [' || main_class || '] ' || sub_class || ': ' || text, chr(10) ORDER BY list_position({_CLASSES}, main_class), sub_class, text) FILTER (main_class IN ({_CORE})) AS core,
-    string_agg('- [' || main_class || '] ' || sub_class || ': ' || text, chr(10) ORDER BY list_position({_CLASSES}, main_class), sub_class, text) FILTER (main_class NOT IN ({_CORE})) AS found FROM s GROUP BY 1)
-    SELECT case_id, 'Core:' || chr(10) || coalesce(core, '') || chr(10) || chr(10) || 'Retrieved:' || chr(10) || coalesce(found, '') AS block FROM l"""
+    f"""WITH s AS ({_NEW}), l AS (SELECT case_id, string_agg({_LINE}, chr(10) ORDER BY list_position({_CLASSES}, main_class), sub_class, text) FILTER (main_class IN ({_CORE})) AS core,
+    string_agg({_LINE}, chr(10) ORDER BY list_position({_CLASSES}, main_class), sub_class, text) FILTER (main_class NOT IN ({_CORE})) AS found FROM s GROUP BY 1)
+    SELECT case_id, '# Memory' || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), '## Core Memory' || chr(10) || core, '## Retrieved Memory' || chr(10) || found) AS block FROM l"""
 )
 def context_block(spark: SparkSession, d: str) -> DataFrame:
     """Core facts, then the retrieved ones, as the text of a prompt. A snapshot is one row's array, so groups are small."""
     s = data.snapshot(spark, d, "gold_final_snapshot")
-    line = F.concat(F.lit("- ["), "main_class", F.lit("] "), "sub_class", F.lit(": "), "text")
-    item = F.struct(K.class_rank(F.col("main_class")).alias("r"), "sub_class", "text", line.alias("line"))
+    item = F.struct(K.class_rank(F.col("main_class")).alias("r"), "sub_class", "text", "main_class")
     lists = s.groupBy("case_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("main_class").isin(*K.CORE) == core, item))).alias(name) for name, core in (("core", True), ("found", False))))
-    text = lambda c: F.array_join(F.col(f"{c}.line"), "\n")
-    return lists.select("case_id", F.concat(F.lit("Core:\n"), text("core"), F.lit("\n\nRetrieved:\n"), text("found")).alias("block"))
+    return lists.select("case_id", K.context_block(F.col("core"), F.col("found")).alias("block"))
+
+
+@query(
+    f"""WITH {_DIFF}, c AS (SELECT 1 AS version, count(*) AS added, 0 AS removed, count(*) FILTER (main_class NOT IN ({_CORE})) AS indexed FROM o UNION ALL
+    SELECT 2, count(*) FILTER (status = 'added'), count(*) FILTER (status = 'removed'), (SELECT count(*) FROM n WHERE main_class NOT IN ({_CORE})) FROM diff)
+    SELECT CAST(version AS BIGINT) AS version, CAST(added AS BIGINT) AS added, CAST(removed AS BIGINT) AS removed, CAST(indexed AS BIGINT) AS indexed FROM c"""
+)
+def snapshot_commit(spark: SparkSession, d: str) -> DataFrame:
+    """The prior snapshots of all cases committed to a store, then the final ones from the version so made: the events, and
+    how many facts each version had in its index. Broken facts are left out before."""
+    store = K.FactStore(spark, new_path(spark, "facts"))
+    embedder, out = HashEmbedder(16), []
+    for column in ("prior_snapshot", "gold_final_snapshot"):
+        s = data.snapshot(spark, d, column)
+        facts = keep(s.select(F.md5(F.to_json(F.struct("case_id", *K.TRIPLE))).alias("memory_id"), *K.TRIPLE), "facts")
+        had = store.facts().select("memory_id")
+        fresh = facts.where(~F.col("main_class").isin(*K.CORE)).join(had, "memory_id", "left_anti")
+        version = store.commit(facts, store.version(), embed(fresh, "memory_id", "text", embedder, key_type="string"), column)
+        out.append((version, store.vectors().count()))
+    indexed = spark.createDataFrame(out, "version bigint, indexed bigint")
+    return store.events().join(indexed, "version").select("version", "added", "removed", "indexed")

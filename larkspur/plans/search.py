@@ -108,11 +108,12 @@ def _reranked(spark: SparkSession, d: str) -> DataFrame:
     q = data.queries(spark, d).select("query_id", T.query_terms(F.col("query")).alias("terms"))
     rows = _pool(spark, d).drop("rank").join(data.children(spark, d), "child_id").join(q, "query_id")
     scored = rows.select("query_id", "child_id", "parent_id", "page_id", "sources", "text", R.overlap_score(F.col("terms"), T.tokens(F.col("text"))).alias("rerank_score"))
-    return R.ranked(scored, "rerank_score", "child_id", None, rank="rerank_rank")
+    # the pool is small, POOL rows a query, and is read by several branches of what follows
+    return keep(R.ranked(scored, "rerank_score", "child_id", None, rank="rerank_rank"), "pool")
 
 
-def _searched(spark: SparkSession, d: str) -> DataFrame:
-    kids = _reranked(spark, d)
+def _searched(spark: SparkSession, d: str, kids: DataFrame | None = None) -> DataFrame:
+    kids = _reranked(spark, d) if kids is None else kids
     return kids.join(R.parent_aggregate(kids).select("query_id", "parent_id", "parent_score", "parent_rank"), ["query_id", "parent_id"])
 
 
@@ -174,7 +175,7 @@ def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))))), 6) AS total FROM embeddings WHERE list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)) > 0")
 def vector_normalize(spark: SparkSession, d: str) -> DataFrame:
-    rows = data.vectors(spark, d).select(F.col("id").alias("vec_id"), R.normalized(F.col("v")).alias("n")).where("n is not null")
+    rows = data.vectors(spark, d).where(F.exists("v", lambda x: x != 0)).select(F.col("id").alias("vec_id"), R.normalized(F.col("v")).alias("n"))
     return rows.select("vec_id", F.round(F.aggregate("n", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
@@ -191,7 +192,7 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 )
 def hybrid_recall_gated(spark: SparkSession, d: str) -> DataFrame:
     """Fusion, then what passes the lexical gate or the similarity threshold, then the limit."""
-    vec = _vec(spark, d)
+    vec = keep(_vec(spark, d), "vec")
     q = data.queries(spark, d).select("query_id", T.query_terms(F.col("query")).alias("terms"))
     rows = R.rrf([("fts", _fts(spark, d)), ("vec", vec)], "child_id").join(data.children(spark, d).select("child_id", "text"), "child_id").join(q, "query_id").join(vec.select("query_id", "child_id", "similarity"), ["query_id", "child_id"], "left")
     passes = T.lexical_gate(F.col("terms"), T.tokens(F.col("text"))) | (F.coalesce("similarity", F.lit(0.0)) >= 0.35)
@@ -231,13 +232,17 @@ _EVIDENCE = (
 )
 
 
-@query(_EVIDENCE + "SELECT * FROM ev")
-def evidence_select(spark: SparkSession, d: str) -> DataFrame:
+def evidence_of(spark: SparkSession, d: str, pool: DataFrame | None = None) -> DataFrame:
     costs = data.parents(spark, d).groupBy("parent_id").agg(F.max(F.length("text")).alias("n")).select("parent_id", (F.floor(F.col("n") / 4) + 4).alias("parent_cost"))
-    rows = _searched(spark, d).join(costs, "parent_id").withColumn("child_cost", T.token_estimate(F.col("text")).cast("long"))
+    rows = _searched(spark, d, pool).join(costs, "parent_id").withColumn("child_cost", T.token_estimate(F.col("text")).cast("long"))
     return R.evidence_select(rows)
 
 
+@query(_EVIDENCE + "SELECT * FROM ev")
+def evidence_select(spark: SparkSession, d: str) -> DataFrame:
+    return evidence_of(spark, d)
+
+
 @query(
     _EVIDENCE
     + """, cov AS (SELECT e.query_id, count(*) AS n, list_distinct(flatten(list(d.toks))) AS toks FROM ev e JOIN dtok d USING (child_id) GROUP BY 1)
@@ -246,19 +251,26 @@ def evidence_select(spark: SparkSession, d: str) -> DataFrame:
 )
 def evidence_status(spark: SparkSession, d: str) -> DataFrame:
     """How many pieces of evidence each query has, and whether they cover its terms (the default assessor)."""
+    return _status(spark, d, evidence_select(spark, d))
+
+
+def _status(spark: SparkSession, d: str, chosen: DataFrame) -> DataFrame:
     kids = data.children(spark, d).select("child_id", T.tokens(F.col("text")).alias("toks"))
     # at most the evidence limit of lists a query
-    cover = evidence_select(spark, d).join(kids, "child_id").groupBy("query_id").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("toks"))).alias("toks"))
+    cover = chosen.join(kids, "child_id").groupBy("query_id").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("toks"))).alias("toks"))
     rows = data.queries(spark, d).select("query_id", T.query_terms(F.col("query")).alias("terms")).join(cover, "query_id", "left")
     share = F.when(F.size("terms") > 0, F.size(F.array_intersect("terms", "toks")) / F.size("terms")).otherwise(F.lit(0.0))
     return rows.select("query_id", F.coalesce("n", F.lit(0)).alias("evidence"), verdict(F.col("n"), share).alias("status"))
 
 
-@query("SELECT c.child_id, p.parent_id, w.page_id, w.final_url, length(c.text) AS n FROM (SELECT DISTINCT child_id, parent_id, page_id, text FROM parent_children WHERE text IS NOT NULL) c JOIN (SELECT DISTINCT parent_id, page_id FROM page_parents WHERE text IS NOT NULL) p ON p.parent_id = c.parent_id JOIN (SELECT page_id, max(final_url) AS final_url FROM web_pages GROUP BY 1) w ON w.page_id = p.page_id")
+@query(_with(_DOCS) + " SELECT p.child_id, d.parent_id, w.page_id, w.final_url, count(*) AS tokens FROM post p JOIN docs d USING (child_id) JOIN (SELECT DISTINCT parent_id, page_id FROM page_parents WHERE text IS NOT NULL) r ON r.parent_id = d.parent_id JOIN (SELECT page_id, max(final_url) AS final_url FROM web_pages GROUP BY 1) w ON w.page_id = r.page_id GROUP BY ALL")
 def fk_chain_join(spark: SparkSession, d: str) -> DataFrame:
-    """Children with their parents and pages. The size of each side decides whether it is broadcast."""
+    """Postings with their children, parents and pages. The size of each side decides whether it is broadcast; postings are
+    counted by child first, since all of a child's have the same chain."""
     pages = data.read_table(spark, d, "web_pages").groupBy("page_id").agg(F.max("final_url").alias("final_url"))
-    return data.children(spark, d).select("child_id", "parent_id", F.length("text").alias("n")).join(data.parents(spark, d).select("parent_id", "page_id").distinct(), "parent_id").join(pages, "page_id").select("child_id", "parent_id", "page_id", "final_url", "n")
+    counts = R.postings(data.children(spark, d), "child_id").groupBy("child_id").agg(F.count("*").alias("tokens"))
+    chain = counts.join(data.children(spark, d).select("child_id", "parent_id"), "child_id").join(data.parents(spark, d).select("parent_id", "page_id").distinct(), "parent_id").join(pages, "page_id")
+    return chain.select("child_id", "parent_id", "page_id", "final_url", "tokens")
 
 
 @query(_with(_DOCS, _QUERY, _VEC) + " SELECT v.query_id, v.id AS child_id, d.parent_id, d.page_id, v.similarity FROM vecc v JOIN docs d ON d.child_id = v.id")
@@ -266,45 +278,95 @@ def vector_topk_joined(spark: SparkSession, d: str) -> DataFrame:
     return _vec(spark, d).join(data.children(spark, d).select("child_id", "parent_id", "page_id"), "child_id").select("query_id", "child_id", "parent_id", "page_id", "similarity")
 
 
-@query(
-    f"""WITH f AS (SELECT DISTINCT record_id, main_class, coalesce(sub_class, '') || ' ' || text AS t FROM canonical_memories WHERE record_id IS NOT NULL AND text IS NOT NULL AND main_class IN ('projects', 'daily_life', 'plans_commitments')),
-    fraw AS (SELECT *, {sql_raw_tokens('t')} AS raw FROM f), ft AS (SELECT record_id, main_class, {sql_tokens('raw')} AS toks FROM fraw),
-    fp AS (SELECT record_id, list_filter(string_split(replace(array_to_string(toks, ' '), '_', ' '), ' '), lambda t: t <> '') AS parts FROM ft),
-    post AS (SELECT record_id, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT record_id, len(parts) AS dl, unnest(parts) AS token FROM fp) GROUP BY 1, 2),
-    st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT record_id, dl FROM post)), dfs AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
-    {_QUERY.strip().rstrip(',')},
-    bm AS (SELECT query_id, record_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM qpost JOIN post USING (token) JOIN dfs USING (token), st GROUP BY 1, 2)
-    SELECT query_id, record_id, bm25, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, record_id) AS rank FROM bm) WHERE rank <= 24"""
-)
-def bm25_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of the dynamic classes, indexed by slot and text."""
+_FACT_POOL = f"""
+ff AS (SELECT DISTINCT record_id, main_class, coalesce(sub_class, '') AS sub_class, text FROM canonical_memories WHERE record_id IS NOT NULL AND text IS NOT NULL AND main_class IN ('projects', 'daily_life', 'plans_commitments')),
+fraw AS (SELECT record_id, {sql_raw_tokens("sub_class || ' ' || text")} AS raw FROM ff), ft AS (SELECT record_id, {sql_tokens('raw')} AS toks FROM fraw),
+fp AS (SELECT record_id, list_filter(string_split(replace(array_to_string(toks, ' '), '_', ' '), ' '), lambda t: t <> '') AS parts FROM ft),
+fpost AS (SELECT record_id, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT record_id, len(parts) AS dl, unnest(parts) AS token FROM fp) GROUP BY 1, 2),
+fst AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT record_id, dl FROM fpost)), fdf AS (SELECT token, count(*) AS df FROM fpost GROUP BY 1),
+fbm AS (SELECT query_id, record_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM qpost JOIN fpost USING (token) JOIN fdf USING (token), fst GROUP BY 1, 2),
+fpool AS (SELECT query_id, record_id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, record_id) AS rank FROM fbm) WHERE rank <= {POOL}),
+fline AS (SELECT query_id, record_id, rank, length('- [' || main_class || '/' || sub_class || '] ' || text) AS n FROM fpool JOIN ff USING (record_id)),
+"""
+
+
+def _dynamic_facts(spark: SparkSession, d: str) -> DataFrame:
     rows = data.read_table(spark, d, "canonical_memories").where(F.col("main_class").isin("projects", "daily_life", "plans_commitments") & F.col("text").isNotNull() & F.col("record_id").isNotNull())
-    rows = rows.select("record_id", F.concat(F.coalesce("sub_class", F.lit("")), F.lit(" "), "text").alias("text")).distinct()
+    return rows.select("record_id", "main_class", F.coalesce("sub_class", F.lit("")).alias("sub_class"), "text").distinct()
+
+
+def _fact_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The best facts of each query, at most POOL."""
+    rows = _dynamic_facts(spark, d).select("record_id", F.concat("sub_class", F.lit(" "), "text").alias("text"))
     return R.ranked(R.bm25(keep(R.postings(rows, "record_id"), "postings"), R.query_postings(data.queries(spark, d)), "record_id"), "bm25", "record_id", POOL).select("query_id", "record_id", "bm25", "rank")
 
 
-@query(
-    "WITH f AS (SELECT DISTINCT record_id, workspace, length(text) // 4 + 4 AS cost FROM canonical_memories WHERE text IS NOT NULL AND record_id IS NOT NULL AND workspace IS NOT NULL),"
-    " l AS (SELECT workspace, list({'used': cost::BIGINT, 'kept': [record_id]} ORDER BY record_id) AS l FROM f GROUP BY 1),"
-    " r AS (SELECT workspace, list_reduce(l, lambda a, x: CASE WHEN a.used + x.used <= 1200 THEN {'used': a.used + x.used, 'kept': list_concat(a.kept, x.kept)} ELSE a END, {'used': 0::BIGINT, 'kept': []::BIGINT[]}) AS r FROM l)"
-    " SELECT workspace, r.used AS used, CAST(len(r.kept) AS INT) AS n_kept, array_to_string(r.kept, ',') AS kept FROM r"
-)
+@query(_with(_QUERY, _FACT_POOL) + " SELECT query_id, record_id, bm25, CAST(rank AS INT) AS rank FROM fpool")
+def bm25_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the dynamic classes, indexed by slot and text."""
+    return _fact_pool(spark, d)
+
+
+def _fact_lines(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.lit("- ["), "main_class", F.lit("/"), "sub_class", F.lit("] "), "text")
+    return _fact_pool(spark, d).join(_dynamic_facts(spark, d).select("record_id", line.alias("line")), "record_id")
+
+
+_PACKED = f"""
+pl AS (SELECT query_id, list({{'chars': n::BIGINT, 'kept': [record_id]}} ORDER BY rank, record_id) AS l FROM fline GROUP BY 1),
+pk AS (SELECT query_id, list_reduce(l, lambda a, x: CASE WHEN (a.chars + 1 + x.chars) // 4 + 4 <= 300 THEN {{'chars': a.chars + 1 + x.chars, 'kept': list_concat(a.kept, x.kept)}} ELSE a END, {{'chars': {R.BLOCK_HEAD}::BIGINT, 'kept': []::BIGINT[]}}) AS r FROM pl),
+"""
+
+
+@query(_with(_QUERY, _FACT_POOL, _PACKED) + " SELECT query_id, CASE WHEN len(r.kept) > 0 THEN r.chars // 4 + 4 ELSE 0 END AS used, CAST(len(r.kept) AS INT) AS n_kept, array_to_string(r.kept, ',') AS kept FROM pk")
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The facts of each workspace, in order, while they fit in 1,200 tokens."""
-    rows = data.read_table(spark, d, "canonical_memories").where("text is not null and record_id is not null and workspace is not null").select("record_id", "workspace", T.token_estimate(F.col("text")).alias("cost")).distinct()
-    return R.budget_pack(rows, ["workspace"], ["record_id"], "cost", 1200, "record_id")
+    """The facts found for each query, in order, while their block stays within 300 tokens."""
+    r = R.budget_pack(_fact_lines(spark, d), ["query_id"], ["rank"], "line", 300, "record_id")
+    return r.select("query_id", "used", "n_kept", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
+
+
+_FIT = """
+ev2 AS (SELECT query_id, nth, e.child_id, e.parent_id, length(d.text) // 4 + 4 AS cc, pt.n // 4 + 4 AS pc FROM ev e JOIN (SELECT DISTINCT child_id, text FROM docs) d USING (child_id) JOIN pt ON pt.parent_id = e.parent_id),
+el AS (SELECT query_id, list({'c': child_id, 'p': parent_id, 'cc': cc, 'pc': pc} ORDER BY nth) AS el FROM ev2 GROUP BY 1),
+fl AS (SELECT query_id, list(n // 4 + 4 ORDER BY rank, record_id) AS fl FROM fline GROUP BY 1),
+stt AS (SELECT q.query_id, CASE WHEN coalesce(n, 0) = 0 THEN 'no_evidence' WHEN len(terms) > 0 AND len(list_intersect(terms, toks)) >= 0.5 * len(terms) THEN 'sufficient' ELSE 'insufficient' END AS status FROM qterm q LEFT JOIN (SELECT e.query_id, count(*) AS n, list_distinct(flatten(list(d.toks))) AS toks FROM ev e JOIN dtok d USING (child_id) GROUP BY 1) USING (query_id)),
+rq AS (SELECT query_id, status, coalesce(fl, []::BIGINT[]) AS fl, coalesce(el, []::STRUCT(c BIGINT, p BIGINT, cc BIGINT, pc BIGINT)[]) AS el FROM stt LEFT JOIN fl USING (query_id) LEFT JOIN el USING (query_id)),
+up AS (SELECT *, list_transform(range(0, len(fl) + 1), lambda i: coalesce(list_sum(fl[1:i]), 0)) AS fu,
+  list_transform(range(0, len(el) + 1), lambda j: coalesce(list_sum(list_transform(el[1:j], lambda x: x.cc)), 0) + coalesce(list_sum(list_transform(list_distinct(list_transform(el[1:j], lambda x: {'p': x.p, 'c': x.pc})), lambda x: x.c)), 0)) AS eu FROM rq),
+nm AS (SELECT *, list_max(list_filter(range(0, len(fl) + 1), lambda i: 100 + fu[i + 1] + eu[len(el) + 1] <= 1500)) AS n, list_max(list_filter(range(0, len(el) + 1), lambda j: 100 + eu[j + 1] <= 1500)) AS m FROM up),
+fit AS (SELECT query_id, coalesce(n, 0) AS n_facts, CASE WHEN n IS NOT NULL THEN len(el) ELSE coalesce(m, 0) END AS k, el, status, n IS NOT NULL OR m IS NOT NULL AS fits FROM nm)
+SELECT query_id, CAST(n_facts AS INT) AS n_facts, array_to_string(list_transform(el[1:k], lambda x: x.c), ',') AS children, CAST(len(list_distinct(list_transform(el[1:k], lambda x: x.p))) AS INT) AS n_parents, CASE WHEN k < len(el) AND status IN ('sufficient', 'insufficient') THEN 'insufficient' ELSE status END AS status, fits FROM fit
+"""
 
 
-@query(
-    "WITH f AS (SELECT DISTINCT record_id, workspace, length(text) // 4 + 4 AS cost FROM canonical_memories WHERE text IS NOT NULL AND record_id IS NOT NULL AND workspace IS NOT NULL),"
-    " s AS (SELECT *, sum(cost) OVER (PARTITION BY workspace ORDER BY record_id) AS upto FROM f)"
-    " SELECT workspace, CAST(count(*) FILTER (upto <= 1200) AS BIGINT) AS kept, CAST(count(*) FILTER (upto > 1200) AS BIGINT) AS dropped FROM s GROUP BY 1"
-)
+@query(_EVIDENCE.rstrip() + ", " + _FACT_POOL + _FIT)
 def fit_request(spark: SparkSession, d: str) -> DataFrame:
-    """Items dropped from the end until the rest fits: a cut at the running sum. Sums come by block first, so a hot
-    workspace is never one task's."""
-    from larkspur.operators.sequences import running_sum
+    """Facts and evidence of each query cut to 1,500 tokens, 100 of which the core needs."""
+    facts = _fact_lines(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "record_id", T.token_estimate(F.col("line")).cast("long").alias("c")))).alias("f")).select("query_id", F.col("f.c").alias("facts"))
+    chosen = keep(evidence_select(spark, d), "evidence")
+    costs = data.parents(spark, d).groupBy("parent_id").agg(F.max(F.length("text")).alias("n")).select("parent_id", (F.floor(F.col("n") / 4) + 4).alias("parent_cost"))
+    kids = data.children(spark, d).select("child_id", T.token_estimate(F.col("text")).cast("long").alias("child_cost"))
+    ev = chosen.join(kids, "child_id").join(costs, "parent_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("nth", "child_id", "parent_id", "child_cost", "parent_cost"))).alias("e"))
+    ev = ev.select("query_id", F.transform("e", lambda x: F.struct(x["child_id"].alias("child_id"), x["parent_id"].alias("parent_id"), x["child_cost"].alias("child_cost"), x["parent_cost"].alias("parent_cost"))).alias("evidence"))
+    asked = _status(spark, d, chosen).select("query_id", "status").join(facts, "query_id", "left").join(ev, "query_id", "left").withColumn("core", F.lit(100))
+    r = R.fit_request(asked, 1500)
+    return r.select("query_id", "n_facts", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"), F.size("parents").alias("n_parents"), "status", "fits")
+
+
+_UNION = ", u AS (SELECT query_id, list_distinct_first FROM (SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_first FROM (SELECT query_id, list(id ORDER BY nth, rank) AS l FROM (SELECT query_id, child_id AS id, rank, 0 AS nth FROM fts UNION ALL SELECT query_id, id, rank, 1 FROM vecc) GROUP BY 1)))"
+
+
+@query(_with(_DOCS, _QUERY, _BM25, _VEC) + _UNION + " SELECT query_id, array_to_string(list_distinct_first, ',') AS ids FROM u")
+def ordered_union(spark: SparkSession, d: str) -> DataFrame:
+    """The children of both candidate lists of each query, each once, at their first places."""
+    lists = [df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "child_id"))).alias("l")).select("query_id", F.lit(k).alias("nth"), F.col("l.child_id").alias("ids")) for k, df in enumerate((_fts(spark, d), _vec(spark, d)))]
+    both = lists[0].unionByName(lists[1]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("nth", "ids"))).alias("l"))
+    return both.select("query_id", F.array_join(T.ordered_union(F.col("l.ids")).cast("array<string>"), ",").alias("ids"))
+
 
-    rows = data.read_table(spark, d, "canonical_memories").where("text is not null and record_id is not null and workspace is not null").select("record_id", "workspace", T.token_estimate(F.col("text")).cast("long").alias("cost")).distinct()
-    s = running_sum(rows, ["workspace"], "record_id", "cost", "upto")
-    return s.groupBy("workspace").agg(F.count_if(F.col("upto") <= 1200).alias("kept"), F.count_if(F.col("upto") > 1200).alias("dropped"))
+@query(_with(_DOCS, _QUERY, _VEC) + " SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The guarded cosine of each vector and the next."""
+    v = data.vectors(spark, d)
+    a, b = v.select(F.col("id").alias("id_a"), F.col("v").alias("a"), (F.col("id") + 1).alias("id_b")), v.select(F.col("id").alias("id_b"), F.col("v").alias("b"))
+    return a.join(b, "id_b").select("id_a", "id_b", (F.round(R.cosine(F.col("a"), F.col("b")), 6) + F.lit(0.0)).alias("similarity"))

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.functions import validate as V
 from larkspur.operators import chunk as C
 from larkspur.operators import upsert as U
 from larkspur.plans import data
 from larkspur.plans.memory import SQL_STRIP
 from larkspur.plans.registry import query
+from larkspur.session import new_path
 
 _WS = r"[\s\x{a0}\x{2009}\x{3000}]"
 _PAGES = "pg AS (SELECT DISTINCT page_id, source_url, final_url, title, raw_text, content_hash, is_partial, status FROM web_pages WHERE page_id IS NOT NULL)"
@@ -131,7 +133,7 @@ def preview(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("p.text").alias("text"), "p.truncated")
 
 
-@query("SELECT doc_id, md5(CASE WHEN length(text) > 10000 THEN left(text, 5000) || chr(10) || chr(10) || '... (' || (length(text) - 10000) || ' chars truncated) ...' || chr(10) || chr(10) || right(text, 5000) ELSE text END) AS clipped FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 10000 THEN left(text, 5000) || chr(10) || chr(10) || '... (' || format('{:,}', length(text) - 10000) || ' chars truncated) ...' || chr(10) || chr(10) || right(text, 5000) ELSE text END) AS clipped FROM documents WHERE text IS NOT NULL")
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
     return data.read_table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.truncate_middle(F.col("text"))).alias("clipped"))
 
@@ -169,28 +171,46 @@ def fetch_accept(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", (get("error").isNull() & (get("status").cast("int") < 400) & F.coalesce(F.trim(get("text")) != "", F.lit(False))).alias("accepted")).distinct()
 
 
-_URL = "CASE record_id % 6 WHEN 0 THEN 'http://10.1.2.' || record_id % 256 || '/a' WHEN 1 THEN 'https://8.8.' || record_id % 256 || '.1/' WHEN 2 THEN 'ftp://x.example/' WHEN 3 THEN 'http://localhost:80/' WHEN 4 THEN 'https://172.' || record_id % 64 || '.0.1:8080/x' ELSE 'https://a.example/b' END"
+def _sql_private() -> str:
+    """Whether the IPv4 number ``ip`` or the bracketed host ``six`` lies in a private network."""
+    parts = []
+    for net in T.PRIVATE_NETS:
+        base, bits = net.split("/")
+        low = sum(int(x) * 256 ** (3 - k) for k, x in enumerate(base.split(".")))
+        parts.append(f"coalesce(ip BETWEEN {low} AND {low + 2 ** (32 - int(bits)) - 1}, false)")
+    return " OR ".join([*parts, "regexp_matches(six, '^[0:]*:0{0,3}1$')", "regexp_matches(six, '^f[cd][0-9a-f]{2}:')", "regexp_matches(six, '^fe[89ab][0-9a-f]:')"])
 
 
-@query(f"WITH u AS (SELECT DISTINCT record_id, {_URL} AS url FROM canonical_memories WHERE record_id IS NOT NULL) SELECT record_id, CASE record_id % 6 WHEN 0 THEN 'private' WHEN 2 THEN 'bad_scheme' WHEN 3 THEN 'private' WHEN 4 THEN CASE WHEN record_id % 64 BETWEEN 16 AND 31 THEN 'private' ELSE 'ok' END ELSE 'ok' END AS verdict FROM u")
+_VERDICT = rf"""h AS (SELECT url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)) AS host FROM u),
+n AS (SELECT *, regexp_extract(host, '^\[([0-9a-f:.]*:[0-9a-f:.]*)', 1) AS six, CASE WHEN regexp_matches(host, '^\d{{1,3}}(\.\d{{1,3}}){{3}}$') THEN list_sum(list_transform(string_split(host, '.'), lambda x, i: CAST(x AS BIGINT) * (256 ** (4 - i))::BIGINT)) END AS ip FROM h),
+v AS (SELECT url, CASE WHEN scheme NOT IN ('http', 'https') THEN 'bad_scheme' WHEN host IN ('', '[]') THEN 'no_host' WHEN host = 'localhost' OR {_sql_private()} THEN 'private' ELSE 'ok' END AS verdict FROM n)"""
+
+
+@query(f"WITH u AS (SELECT source_url AS url FROM web_pages WHERE source_url IS NOT NULL UNION SELECT final_url FROM web_pages WHERE final_url IS NOT NULL), {_VERDICT} SELECT url, verdict FROM v")
 def url_safety(spark: SparkSession, d: str) -> DataFrame:
-    u = F.expr("case record_id % 6 when 0 then concat('http://10.1.2.', record_id % 256, '/a') when 1 then concat('https://8.8.', record_id % 256, '.1/') when 2 then 'ftp://x.example/' when 3 then 'http://localhost:80/' when 4 then concat('https://172.', record_id % 64, '.0.1:8080/x') else 'https://a.example/b' end")
-    return data.read_table(spark, d, "canonical_memories").where("record_id is not null").select("record_id").distinct().select("record_id", T.url_safety(u).alias("verdict"))
+    """Every address of the pages, as asked for and as found."""
+    pages = data.read_table(spark, d, "web_pages")
+    urls = pages.select(F.explode(F.array("source_url", "final_url")).alias("url")).where("url is not null").distinct()
+    return urls.select("url", T.url_safety(F.col("url")).alias("verdict"))
 
 
-@query("WITH c AS (SELECT DISTINCT record_id, CASE record_id % 4 WHEN 0 THEN 'rm -rf /tmp/x' WHEN 1 THEN 'ls; shutdown now' WHEN 2 THEN 'echo format' ELSE 'dd if=/dev/zero' END AS c FROM canonical_memories WHERE record_id IS NOT NULL) SELECT record_id, record_id % 4 <> 2 AS denied FROM c")
+_DENIED = " OR ".join(f"regexp_matches(l, '{p}')" for p in T.DENIED)
+
+
+@query(rf"WITH {_PAGES}, ln AS (SELECT DISTINCT page_id, unnest(string_split(raw_text, chr(10))) AS line FROM pg WHERE raw_text IS NOT NULL), t AS (SELECT page_id, line, lower({_strip('line')}) AS l FROM ln), u AS (SELECT DISTINCT unnest(regexp_extract_all(line, '(?i)https?://[^\s\x22''`;|<>]+')) AS url FROM ln), {_VERDICT}, bad AS (SELECT url FROM v WHERE verdict <> 'ok') SELECT page_id, count(*) FILTER ({_DENIED} OR list_has_any(regexp_extract_all(line, '(?i)https?://[^\s\x22''`;|<>]+'), (SELECT coalesce(list(url), []) FROM bad))) AS denied FROM t GROUP BY 1")
 def regex_guard(spark: SparkSession, d: str) -> DataFrame:
-    c = F.expr("case record_id % 4 when 0 then 'rm -rf /tmp/x' when 1 then 'ls; shutdown now' when 2 then 'echo format' else 'dd if=/dev/zero' end")
-    return data.read_table(spark, d, "canonical_memories").where("record_id is not null").select("record_id").distinct().select("record_id", T.denied_command(c).alias("denied"))
+    """How many lines of each page would be refused as commands."""
+    lines = _pages(spark, d).where("raw_text is not null").select("page_id", F.explode(F.split("raw_text", "\n")).alias("line")).distinct()
+    return lines.groupBy("page_id").agg(F.count_if(T.denied_command(F.col("line"))).alias("denied"))
 
 
 @query("SELECT event_id, array_to_string(list_filter([CASE WHEN TRY_CAST(props->>'k' AS BIGINT) IS NULL THEN 'k: integer' ELSE '' END, CASE WHEN TRY_CAST(props->>'k' AS BIGINT) > 90 THEN 'k: maximum' ELSE '' END, CASE WHEN event_type NOT IN ('view', 'click', 'purchase', 'error') THEN 'event_type: enum' ELSE '' END], lambda x: x <> ''), ',') AS errors FROM events")
 def schema_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Payloads cast to their types and held against ranges and lists of values."""
-    k = F.get_json_object("props", "$.k").try_cast("long")
-    rules = [(k.isNull(), "k: integer"), (F.coalesce(k > 90, F.lit(False)), "k: maximum"), (~F.col("event_type").isin("view", "click", "purchase", "error"), "event_type: enum")]
-    errors = F.filter(F.array(*(F.when(c, F.lit(m)).otherwise(F.lit("")) for c, m in rules)), lambda x: x != "")
-    return data.read_table(spark, d, "events").select("event_id", F.array_join(errors, ",").alias("errors"))
+    """Payloads cast to their types and held against a schema: k an integer of at most 90, the type one of a list."""
+    schema = {"type": "object", "properties": {"k": {"type": "integer", "maximum": 90}, "event_type": {"enum": ["view", "click", "purchase", "error"]}}}
+    payload = F.to_json(F.struct(F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"), "event_type"))
+    rows = data.read_table(spark, d, "events").select("event_id", payload.alias("payload"))
+    return V.validated(rows, "event_id", "payload", schema).select("event_id", F.array_join("errors", ",").alias("errors"))
 
 
 _UP = "up AS (SELECT final_url, arg_max(content_hash, {'a': last_seen_at, 'b': page_id}) AS h, min(page_id) AS id FROM web_pages WHERE final_url IS NOT NULL AND content_hash IS NOT NULL AND last_seen_at IS NOT NULL GROUP BY 1), old AS (SELECT final_url, CASE WHEN id % 5 = 0 THEN 'stale' ELSE h END AS h FROM up WHERE id % 3 <> 0), new AS (SELECT final_url, h FROM up WHERE id % 7 <> 0), st AS (SELECT final_url, CASE WHEN new.h IS NULL THEN 'kept' WHEN old.h IS NULL THEN 'inserted' WHEN old.h = new.h THEN 'unchanged' ELSE 'updated' END AS status FROM old FULL JOIN new USING (final_url))"
@@ -224,10 +244,54 @@ def cascade_anti(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT run_id, channel = 'slack' OR channel = 'cli' AS allowed FROM (SELECT run_id, max(channel) AS channel FROM runs WHERE run_id IS NOT NULL AND channel IS NOT NULL GROUP BY 1)")
 def allow_list(spark: SparkSession, d: str) -> DataFrame:
-    """Empty lists let nobody in, ``*`` everybody."""
-    allowed = ["slack", "cli"]
+    """Runs by whether their channel is on the list."""
     rows = data.read_table(spark, d, "runs").where("run_id is not null and channel is not null").groupBy("run_id").agg(F.max("channel").alias("channel"))
-    return rows.select("run_id", (F.lit(True) if "*" in allowed else F.col("channel").isin(*allowed)).alias("allowed"))
+    return rows.select("run_id", T.is_allowed(F.col("channel"), ["slack", "cli"]).alias("allowed"))
+
+
+_PAGE_STATE = f"""up1 AS (SELECT final_url, arg_max({{'h': content_hash, 't': raw_text, 's': last_seen_at}}, {{'a': last_seen_at, 'b': content_hash}}) AS x FROM web_pages WHERE final_url IS NOT NULL AND content_hash IS NOT NULL AND last_seen_at IS NOT NULL AND page_id % 3 <> 0 GROUP BY 1),
+up2 AS (SELECT final_url, arg_max({{'h': content_hash, 't': raw_text, 's': last_seen_at}}, {{'a': last_seen_at, 'b': content_hash}}) AS x FROM web_pages WHERE final_url IS NOT NULL AND content_hash IS NOT NULL AND last_seen_at IS NOT NULL AND page_id % 7 <> 0 GROUP BY 1)
+SELECT final_url, CASE WHEN b.x IS NULL THEN 'kept' WHEN a.x IS NULL THEN 'inserted' WHEN a.x.h = b.x.h THEN 'unchanged' ELSE 'updated' END AS status, coalesce(b.x.h, a.x.h) AS content_hash,
+  CASE WHEN a.x.h = b.x.h OR b.x IS NULL THEN a.x.s ELSE b.x.s END AS updated_at, greatest(a.x.s, b.x.s) AS last_seen_at, coalesce(a.x.s, b.x.s) AS created_at,
+  CAST(CASE WHEN a.x.h = b.x.h OR b.x IS NULL THEN len(string_split(coalesce(a.x.t, ''), chr(10))) ELSE len(string_split(coalesce(b.x.t, ''), chr(10))) END AS BIGINT) AS n_lines
+FROM up1 a FULL JOIN up2 b USING (final_url)"""
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """A stand-in for what is made of a page's text: its lines, numbered."""
+    return pages.select("final_url", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("nth", "line"))
+
+
+@query("WITH " + _PAGE_STATE)
+def page_store(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches of pages through the store: what became of each address, and what is stored of it then."""
+    rows = data.read_table(spark, d, "web_pages").where("final_url is not null and content_hash is not null and last_seen_at is not null")
+    cols = ["final_url", "title", F.col("raw_text").alias("text"), "content_hash", F.col("status").cast("int").alias("status"), F.col("last_seen_at").alias("seen_at")]
+    store = U.PageStore(spark, new_path(spark, "pages"), page_lines, "final_url string, nth int, line string")
+    # of rows of one address seen at one time the greatest hash counts
+    best = lambda df: df.select(*cols).groupBy("final_url").agg(F.max_by(F.struct("title", "text", "content_hash", "status", "seen_at"), F.struct("seen_at", "content_hash")).alias("x")).select("final_url", "x.*")
+    store.apply(best(rows.where("page_id % 3 <> 0")))
+    status = store.apply(best(rows.where("page_id % 7 <> 0")))
+    lines = store.dependants().groupBy("final_url").agg(F.count("*").alias("n_lines"))
+    out = store.pages().join(status, "final_url", "left").join(lines, "final_url", "left")
+    return out.select("final_url", F.coalesce(status["status"], F.lit("kept")).alias("status"), "content_hash", "updated_at", "last_seen_at", "created_at", "n_lines")
+
+
+_TABLES = r"(?m)^\|[^\n]*(?:\n\|[^\n]*)*"
+_CELLS = r"list_transform(string_split(regexp_replace({x}, '^\|+|\|+$', '', 'g'), '|'), lambda c: trim(c, ' '))"
+
+
+@query(
+    rf"""WITH p AS (SELECT DISTINCT parent_id, text FROM page_parents WHERE text IS NOT NULL AND parent_id IS NOT NULL), t AS (SELECT parent_id, unnest(regexp_extract_all(replace(text, chr(13), ''), '{_TABLES}')) AS t, unnest(range(1, len(regexp_extract_all(replace(text, chr(13), ''), '{_TABLES}')) + 1)) AS nth FROM p),
+    l AS (SELECT parent_id, nth, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM t),
+    h AS (SELECT *, {_CELLS.format(x='l[1]')} AS head, CASE WHEN regexp_matches(coalesce(l[2], ''), '^[|\s:\-]+$') THEN l[3:] ELSE l[2:] END AS body FROM l WHERE len(l) >= 2)
+    SELECT parent_id, CAST(nth AS INT) AS nth, array_to_string(list_filter(list_transform(body, lambda r: array_to_string(list_filter(list_transform(range(1, len(head) + 1), lambda i: CASE WHEN coalesce(({_CELLS.format(x='r')})[i], '') <> '' THEN '**' || head[i] || '**: ' || ({_CELLS.format(x='r')})[i] END), lambda x: x IS NOT NULL), ' · ')), lambda x: x <> ''), chr(10)) AS listed FROM h"""
+)
+def md_table_list(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of each section as lists."""
+    rows = data.parents(spark, d).where("parent_id is not null").select("parent_id", F.replace("text", F.lit("\r"), F.lit("")).alias("text")).distinct()
+    tables = rows.select("parent_id", F.posexplode(F.regexp_extract_all("text", F.lit(_TABLES), F.lit(0))).alias("pos", "t")).select("parent_id", (F.col("pos") + 1).alias("nth"), F.split("t", "\n").alias("l"))
+    return tables.where(F.size(F.filter("l", lambda x: F.trim(x) != "")) >= 2).select("parent_id", "nth", T.table_as_list(F.col("l")).alias("listed"))
 
 
 # --- sequential splitting, rows only ---
@@ -249,7 +313,9 @@ def structure_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_parents(spark: SparkSession, d: str) -> DataFrame:
-    return C.pieces(_bodies(spark, d), "page_id", "raw_text", C.parent_blocks)
+    """Sections of each page, the first of which begins with the page's title."""
+    rows = _pages(spark, d).where("raw_text is not null").select("page_id", F.concat(F.coalesce("title", F.lit("")), F.lit("\0"), "raw_text").alias("both")).distinct()
+    return C.pieces(rows, "page_id", "both", lambda t: C.parent_blocks(t.partition("\0")[2], t.partition("\0")[0]))
 
 
 @query()

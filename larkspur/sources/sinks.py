@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 
 def write_sessions(headers: DataFrame, messages: DataFrame, path: str) -> None:
-    """One text file a session: its header line, then its messages in order. ``headers`` has key and any other columns,
-    ``messages`` has key, nth and any others."""
+    """One text file a session, as session logs are: its header line, then its messages in order. ``headers`` has key and any
+    other columns, ``messages`` has key, nth and any others. A folder is named by the key with other signs replaced, and
+    a hash, so that no two keys share one. A folder a session suits an export of some sessions; tables are for all."""
     head = headers.select("key", F.lit(-1).cast("long").alias("nth"), F.to_json(F.struct(F.lit("metadata").alias("_type"), *headers.columns)).alias("value"))
     body = messages.select("key", F.col("nth").cast("long").alias("nth"), F.to_json(F.struct(*(c for c in messages.columns if c not in ("key", "nth")))).alias("value"))
-    rows = head.unionByName(body).withColumn("session", F.regexp_replace("key", r"[^A-Za-z0-9_-]", "_"))
+    rows = head.unionByName(body).withColumn("session", F.concat(F.left(F.regexp_replace("key", r"[^A-Za-z0-9_-]", "_"), F.lit(80)), F.lit("-"), F.substring(F.md5("key"), 1, 8)))
     rows.repartition("session").sortWithinPartitions("session", "nth").select("session", "value").write.partitionBy("session").mode("overwrite").text(path)
 
 

@@ -6,7 +6,9 @@ and timer forms keep state per key with ``transformWithStateInPandas``, which ne
 
 from __future__ import annotations
 
-import json
+import itertools
+import queue
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from larkspur.functions import text as T
+from larkspur.operators.sequences import islands
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,24 +32,33 @@ def dedup_within(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 class _LastIds(StatefulProcessor):
+    """The last ``cap`` distinct ids of a key as two maps, id to place and place to id: an id costs a lookup and two puts,
+    whatever ``cap`` is."""
+
     def __init__(self, cap: int):
         self.cap = cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "ids string")
+        self.place = handle.getMapState("place", "id string", "n long")
+        self.ids = handle.getMapState("ids", "n long", "id string")
+        self.ends = handle.getValueState("ends", "first long, next long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ids = json.loads(self.seen.get()[0]) if self.seen.exists() else []
-        known, out = set(ids), []
+        first, next_ = self.ends.get() if self.ends.exists() else (0, 0)
+        out = []
         for pdf in rows:
-            for row in pdf.itertuples(index=False):
-                if row.id not in known:
-                    ids.append(row.id)
-                    known.add(row.id)
-                    if len(ids) > self.cap:  # first in, first out
-                        known.discard(ids.pop(0))
-                    out.append((row.key, row.id, row.body))
-        self.seen.update((json.dumps(ids),))
+            for id_, body in zip(pdf.id, pdf.body, strict=True):
+                if self.place.containsKey((id_,)):
+                    continue
+                self.place.updateValue((id_,), (next_,))
+                self.ids.updateValue((next_,), (id_,))
+                next_ += 1
+                if next_ - first > self.cap:  # first in, first out
+                    self.place.removeKey((self.ids.getValue((first,))[0],))
+                    self.ids.removeKey((first,))
+                    first += 1
+                out.append((key[0], id_, body))
+        self.ends.update((first, next_))
         yield pd.DataFrame(out, columns=["key", "id", "body"])
 
     def close(self) -> None:
@@ -57,54 +71,60 @@ def dedup_last(events: DataFrame, cap: int = 1000) -> DataFrame:
 
 
 class _Buffer(StatefulProcessor):
-    """Collects the bodies of a key. ``from_first``: the timer runs from the first entry, else each entry restarts it."""
+    """Collects the bodies and media of a key in a list. ``from_first``: the timer runs from the first entry, else each entry
+    restarts it."""
 
     def __init__(self, wait_ms: int, from_first: bool, mention: str | None):
         self.wait_ms, self.from_first, self.mention = wait_ms, from_first, mention
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "bodies string")
+        self.held = handle.getListState("held", "body string, media array<string>")
 
-    def _flush(self, key: str, bodies: list[str]) -> pd.DataFrame:
+    def _flush(self, key: str) -> pd.DataFrame:
+        entries = list(self.held.get())
         self.held.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        return pd.DataFrame([(key, "\n".join(b for b in bodies if b), len(bodies))], columns=["key", "body", "entries"])
+        media = list(dict.fromkeys(m for _, several in entries for m in several or ()))
+        return pd.DataFrame([(key, "\n".join(b for b, _ in entries if b), len(entries), media)], columns=["key", "body", "entries", "media"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bodies = json.loads(self.held.get()[0]) if self.held.exists() else []
-        started = bool(bodies)
+        started = waiting = self.held.exists()
         for pdf in rows:
-            for body in pdf.body:
-                bodies.append(body or "")
+            media = pdf.media if "media" in pdf.columns else [None] * len(pdf)
+            for body, several in zip(pdf.body, media, strict=True):
+                self.held.appendValue((body or "", list(several) if several is not None else []))
+                waiting = True
                 if self.mention and self.mention in (body or ""):
-                    yield self._flush(key[0], bodies)
-                    bodies, started = [], False
-        if bodies:
-            if not (started and self.from_first):
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-            self.held.update((json.dumps(bodies),))
+                    yield self._flush(key[0])
+                    started = waiting = False
+        if waiting and not (started and self.from_first):
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.held.exists():
-            yield self._flush(key[0], json.loads(self.held.get()[0]))
+            yield self._flush(key[0])
 
     def close(self) -> None:
         pass
 
 
+BUFFERED = "key string, body string, entries int, media array<string>"
+
+
 def debounce(events: DataFrame, quiet_ms: int = 120_000, mention: str | None = None) -> DataFrame:
-    """(key, body, entries): entries of a key merged once none has come for ``quiet_ms``; one with the mention joins the
+    """(key, body, entries, media): entries of a key merged once none has come for ``quiet_ms``; one with the mention joins the
     buffer and flushes it at once. Timers fire with the next micro-batch after they are due."""
-    return events.groupBy("key").transformWithStateInPandas(_Buffer(quiet_ms, False, mention), "key string, body string, entries int", "append", "processingTime")
+    return events.groupBy("key").transformWithStateInPandas(_Buffer(quiet_ms, False, mention), BUFFERED, "append", "processingTime")
 
 
 def group_buffer(events: DataFrame, wait_ms: int = 600) -> DataFrame:
-    """As ``debounce``, with the wait counted from the first entry."""
-    return events.groupBy("key").transformWithStateInPandas(_Buffer(wait_ms, True, None), "key string, body string, entries int", "append", "processingTime")
+    """As ``debounce``, with the wait counted from the first entry. ``media``, an array of texts that entries may have, comes
+    as the distinct items at their first places."""
+    return events.groupBy("key").transformWithStateInPandas(_Buffer(wait_ms, True, None), BUFFERED, "append", "processingTime")
 
 
 def quiet_windows(events: DataFrame, gap: str = "2 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -141,19 +161,13 @@ def throttle(events: DataFrame, gap_ms: int = 500) -> DataFrame:
     return events.groupBy("key").transformWithStateInPandas(_Throttle(gap_ms), "key string, id string, body string", "append", "none")
 
 
-def coalesce_deltas(messages: list[dict]) -> list[dict]:
-    """Messages of one micro-batch in order, with neighbouring deltas of one target merged. A delta marked as the end is
-    merged and ends its stream; an end that is no delta, another target or another kind of message is a boundary."""
-    out: list[dict] = []
-    for m in messages:
-        last = out[-1] if out else None
-        joins = last is not None and last.get("delta") and m.get("delta") and not last.get("end") and (last["channel"], last["chat_id"]) == (m["channel"], m["chat_id"])
-        if joins:
-            last["content"] += m["content"]
-            last["end"] = bool(m.get("end"))
-        else:
-            out.append(dict(m))
-    return out
+def coalesced(rows: DataFrame, group: list[str], order: str, target: list[str], content: str, delta: str, end: str) -> DataFrame:
+    """(group, island, target, content, ended): neighbouring deltas of one target merged, in order. A delta marked as the end
+    is merged and ends its stream; an end that is no delta, another target and any other kind of message stand alone. For
+    a micro-batch within ``foreachBatch``, or for a table. A merged message is one row, so its parts are gathered."""
+    i = islands(rows, group, order, target, joins=delta, ends=end)
+    parts = i.groupBy(*group, "island").agg(*(F.first(c).alias(c) for c in target), F.array_sort(F.collect_list(F.struct(order, content))).alias("_parts"), F.max(end).alias("ended"))
+    return parts.select(*group, "island", *target, F.array_join(F.col("_parts")[content], "").alias(content), "ended")
 
 
 def strip_think_stream(buffer: str) -> str:
@@ -163,7 +177,89 @@ def strip_think_stream(buffer: str) -> str:
     return re.sub(r"(?s)<think>.*$", "", re.sub(r"(?s)<think>.*?</think>", "", buffer)).strip()
 
 
-def ingest(events: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str):
+def serially(events: DataFrame, step: Callable[[str, Iterator], list[tuple]], schema: str, lanes: int = 3) -> DataFrame:
+    """What ``step(key, rows)`` gives for each key of a micro-batch or table of events: the rows of a key come one after
+    another, in the order of (ts, id), keys are worked on side by side in ``lanes`` tasks. Rows stream through sorted
+    batches, so no key is gathered."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in pdf.itertuples(index=False))
+        for key, own in itertools.groupby(rows, lambda r: r.key):
+            yield pd.DataFrame(step(key, own), columns=names)
+
+    return events.repartition(lanes, "key").sortWithinPartitions("key", "ts", "id").mapInPandas(of, schema)
+
+
+def advance_cursors(cursors: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new cursors (key, cursor), events that are taken) of stored cursors and a micro-batch (key, seq, ...). A cursor never
+    goes back, and negative places don't count; the first batch of a key without a cursor only sets it, and its events
+    are skipped; of the others what the cursor has passed is rejected. Cursors are kept once a batch, after its events."""
+    top = batch.where("key is not null and seq >= 0").groupBy("key").agg(F.max("seq").alias("top"))
+    new = cursors.join(top, "key", "full").select("key", F.greatest("cursor", "top").alias("cursor"))
+    return new, batch.join(cursors, "key").where(F.col("seq") > F.col("cursor")).drop("cursor")
+
+
+class Broadcast:
+    """Events to any number of subscribers, each with a queue of bounded size. One whose queue is full is emptied and told
+    the end (None), and gets no more: a slow reader never holds up the others."""
+
+    def __init__(self, size: int = 32):
+        self.size = size
+        self._queues: set[queue.Queue] = set()
+
+    def subscribe(self) -> queue.Queue:
+        q: queue.Queue = queue.Queue(self.size)
+        self._queues.add(q)
+        return q
+
+    def unsubscribe(self, q: queue.Queue) -> None:
+        self._queues.discard(q)
+
+    def _end(self, q: queue.Queue) -> None:
+        self._queues.discard(q)
+        while not q.empty():
+            q.get_nowait()
+        q.put_nowait(None)
+
+    def publish(self, event: dict) -> None:
+        for q in tuple(self._queues):
+            try:
+                q.put_nowait(event)
+            except queue.Full:
+                self._end(q)
+
+    def batch(self, df: DataFrame, epoch: int) -> None:
+        """For ``foreachBatch``: tells the subscribers of each micro-batch, not its rows."""
+        self.publish({"type": "batch", "epoch": epoch, "rows": df.count()})
+
+    def close(self) -> None:
+        for q in tuple(self._queues):
+            self._queues.discard(q)
+            if q.full():
+                q.get_nowait()
+            q.put_nowait(None)
+
+
+TRANSIENT = T.TRANSIENT
+
+
+def with_retry(call: Callable, waits: tuple[float, ...] = (1, 2, 4), passes: Callable[[Exception], bool] | None = None, sleep: Callable[[float], None] = time.sleep):
+    """The result of ``call()``, tried again after each of ``waits`` while it fails with an error that may pass (by its
+    words, unless ``passes`` says otherwise); the last error, and any other, is raised."""
+    may_pass = passes or (lambda e: any(sign in str(e).lower() for sign in TRANSIENT))
+    for wait in waits:
+        try:
+            return call()
+        except Exception as e:
+            if not may_pass(e):
+                raise
+        sleep(wait)
+    return call()
+
+
+def ingest(events: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):
     """Start a stream whose micro-batches go through ``upsert(batch, epoch)``; an epoch that is run again must change
-    nothing, as upserts by key do."""
-    return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()
+    nothing, as upserts by key do. ``once`` takes what is there and ends."""
+    w = events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()

@@ -18,9 +18,11 @@ def runs(spark, rows):
 def test_overview(spark):
     now = datetime(2024, 1, 2)
     at = datetime(2024, 1, 1, 12)
-    rows = [("a", at, 10.0, "completed", "completed"), ("b", at, 11.0, "completed", "completed"), ("c", at, 12.0, "completed", "tool_error"), ("d", now, 99.0, "completed", "completed"), ("e", at, None, "running", None)]
-    r = O.overview(runs(spark, rows), F.lit(now).cast("timestamp_ntz")).first()
-    assert (r.runs, r.success_rate, r.p95_ms, r.tool_errors) == (4, round(2 / 3, 6), 12.0, 1)
+    rows = [("a", at, 10.0, "completed", "completed"), ("b", at, 11.0, "completed", "completed"), ("c", at, 12.0, "completed", "tool_error"), ("d", now, 99.0, "completed", "completed"), ("e", at, 500.0, "running", None)]
+    calls = '{"calls": [{"name": "x", "status": "error"}, {"name": "y", "status": "ok"}, {"status": "error"}]}'
+    events = spark.createDataFrame([("a", "tools", calls), ("d", "tools", calls), ("b", "tools", "broken"), ("b", "tools", None), ("c", "usage", calls)], "run_id string, kind string, data string")
+    r = O.overview(runs(spark, rows), F.lit(now).cast("timestamp_ntz"), events=events).first()
+    assert (r.runs, r.success_rate, r.avg_ms, r.p95_ms, r.tool_errors) == (4, round(2 / 3, 6), 11.0, 12.0, 2)
     empty = O.overview(runs(spark, []), F.lit(now).cast("timestamp_ntz")).first()
     assert (empty.runs, empty.success_rate, empty.p95_ms) == (0, None, None)
     buckets = O.hourly_buckets(runs(spark, rows), F.lit(now).cast("timestamp_ntz")).collect()
@@ -29,13 +31,34 @@ def test_overview(spark):
 
 def test_pages_overlap_nowhere(spark):
     at = datetime(2024, 1, 1)
-    df = runs(spark, [(k, at, 1.0, "completed", "completed") for k in "abc"])
-    first = O.keyset_page(df, 2).collect()
-    cursor = O.decode_cursor(O.encode_cursor(first[-1].started_at.isoformat(), first[-1].run_id))
-    rest = O.keyset_page(df, 2, (F.lit(cursor[0]).cast("timestamp_ntz"), F.lit(cursor[1]))).collect()
-    assert [r.run_id for r in first + rest] == ["c", "b", "a"]
-    with pytest.raises(ValueError):
-        O.decode_cursor("?")
+    df = runs(spark, [(k, at, 1.0, "completed", "completed") for k in "abcde"])
+    seen, cursor, pages = [], None, 0
+    while pages == 0 or cursor:
+        page, cursor = O.keyset_page(df, 2, cursor)
+        seen += [r.run_id for r in page]
+        pages += 1
+    assert seen == list("edcba") and pages == 3
+    for bad in ("?", O.encode_cursor("x", "y")[:-4], "WzFd"):
+        with pytest.raises(ValueError):
+            O.decode_cursor(bad)
+    for bad in (0, 101):
+        with pytest.raises(ValueError):
+            O.keyset_page(df, bad)
+
+
+def test_runs_fold_out_of_their_log(spark):
+    rows = spark.createDataFrame([("a", "k", "c", "m", datetime(2024, 1, 1), None, None, None, None, None, 5, None, False, datetime(2024, 1, 1)), ("a", "k", "c", "m", None, datetime(2024, 1, 2), 7.0, "completed", "completed", None, None, 3, True, datetime(2024, 1, 2)), ("b", "k", "c", "m", datetime(2024, 1, 1), None, None, None, None, None, None, None, None, None)], "run_id string, session_key string, channel string, model string, started_at timestamp_ntz, finished_at timestamp_ntz, duration_ms double, status string, stop_reason string, error string, prompt_tokens long, completion_tokens long, usage_reported boolean, logged_at timestamp_ntz")
+    log = O.started(rows.where("started_at is not null")).unionByName(O.finished(rows.where("finished_at is not null"))).unionByName(O.used(rows))
+    got = {r.run_id: r for r in O.fold_runs(log).collect()}
+    assert (got["a"].status, got["a"].prompt_tokens, got["a"].completion_tokens, got["a"].usage_reported, got["a"].duration_ms) == ("completed", 5, 3, True, 7.0)
+    assert (got["b"].status, got["b"].finished_at, got["b"].usage_reported) == ("running", None, False)
+
+
+def test_tick(spark):
+    schema = "id int, enabled boolean, kind string, at_ms long, every_ms long, expr string, tz string, next_ms long"
+    df = spark.createDataFrame([(1, True, "at", 50, None, None, None, 50), (2, True, "every", None, 30, None, None, 90), (3, True, "every", None, 30, None, None, 200), (4, True, "cron", None, None, "0 0 * * *", "UTC", 100), (5, False, "every", None, 30, None, None, 1), (6, True, "cron", None, None, "bad", "UTC", None)], schema)
+    got = {r.id: (r.ran, r.enabled, r.next_ms) for r in S.tick(df, F.lit(100).cast("long")).collect()}
+    assert got == {1: (True, False, None), 2: (True, True, 130), 3: (False, True, 200), 4: (True, True, 86_400_000), 5: (False, False, 1), 6: (False, True, None)}
 
 
 def test_cron():
@@ -107,7 +130,7 @@ def test_suffixes_drop_results_without_their_call(spark):
 
 def test_islands_match_a_plain_window(spark):
     df = spark.range(400).select((F.col("id") % 2).alias("g"), "id", (F.floor(F.col("id") / 7) % 3).cast("int").alias("v"), F.when(F.col("id") % 50 < 40, "a").alias("s"))
-    got = {(r.g, r.id): r.island for r in Q.islands(df, ["g"], "id", ["v", "s"], 30).collect()}
+    got = {(r.g, r.id): r.island for r in Q.islands(df, ["g"], "id", ["v", "s"], width=30).collect()}
     for g in (0, 1):
         last, n = object(), 0
         for r in df.where(F.col("g") == g).orderBy("id").collect():

@@ -1,5 +1,8 @@
 import math
 
+import pytest
+from pyspark.sql import functions as F
+
 from larkspur.operators import retrieval as R
 
 
@@ -24,7 +27,12 @@ def test_vector_search(spark):
     v = spark.createDataFrame([(1, [0.6, 0.8]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, None)], "id long, v array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, v array<float>")
     rows = R.vector_search(v, q, 10).orderBy("rank").collect()
-    assert [(r.id, r.similarity) for r in rows] == [(2, 1.0), (1, 0.6), (3, 0.0)]
+    assert [(r.id, r.similarity) for r in rows] == [(2, 1.0), (1, 0.6), (3, 0.0), (4, 0.0)]  # a vector of another length has 0
+    assert [r.id for r in R.vector_search(v, q, 2).orderBy("rank").collect()] == [2, 1]
+    with pytest.raises(ValueError):
+        R.vector_search(v, q, 10, "l2")
+    near = R.vector_search(v.where("id < 4"), q, 2, "l2").orderBy("rank").collect()
+    assert [(r.id, r.distance) for r in near] == [(2, 0.0), (1, round((0.4**2 + 0.8**2) ** 0.5, 6))]
     assert R.vector_search(v, q.where("false"), 10).count() == 0
     assert R.vector_search(v.where("false"), q, 10).count() == 0
 
@@ -41,7 +49,45 @@ def test_rejected_evidence_takes_no_slot(spark):
     assert [r.child_id for r in R.evidence_select(df).orderBy("nth").collect()] == [1, 4, 6]
 
 
-def test_budget_skips_and_goes_on(spark):
-    df = spark.createDataFrame([("a", k, c) for k, c in enumerate([5, 9, 4, 2])], "g string, k long, c long")
-    r = R.budget_pack(df, ["g"], ["k"], "c", 10, "k").first()
-    assert (r.used, r.kept) == (9, "0,2")
+def test_search_in_blocks_is_exact(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(300, 8)), 2).astype(np.float32)
+    v[7] = v[3]  # a tie
+    df = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(v)], "id long, v array<float>")
+    q = df.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    got = {}
+    for x in R.vector_search(df, q, 6, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.id)
+    w = v.astype(float)
+    cos = np.round(w @ w.T / np.sqrt((w * w).sum(1))[:, None] / np.sqrt((w * w).sum(1))[None, :], 6)
+    assert got == {k: [int(j) for j in np.lexsort((np.arange(300), -cos[k]))[:6]] for k in range(0, 300, 5)}
+
+
+def test_guarded_cosine_and_normalising(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 6) for r in df.select(R.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0, 0.0]
+    assert spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(R.normalized(F.col("v"))).first()[0] == [0.6, 0.8]
+    with pytest.raises(Exception, match="zero vector"):
+        spark.createDataFrame([([0.0, 0.0],)], "v array<double>").select(R.normalized(F.col("v")).alias("n")).collect()
+
+
+def test_budget_counts_the_block_and_goes_on(spark):
+    df = spark.createDataFrame([("a", k, "x" * n) for k, n in enumerate([20, 400, 40, 8])], "g string, k long, line string")
+    r = R.budget_pack(df, ["g"], ["k"], "line", 20, "k", head=10).first()
+    # 10 + 1 + 20 and 1 + 8 characters; 1 + 40 more would be 21 tokens
+    assert (r.used, r.n_kept, r.kept) == ((31 + 9) // 4 + 4, 2, [0, 3])
+    assert R.budget_pack(df, ["g"], ["k"], "line", 4, "k").first().used == 0
+
+
+def test_requests_lose_facts_then_evidence(spark):
+    ev = [(1, 10, 20, 30), (2, 10, 20, 30), (3, 11, 20, 30)]  # 60 and 60 in all
+    rows = [(1, 100, [10, 10], ev, "sufficient"), (2, 265, [10, 10], ev, "sufficient"), (3, 300, [10], ev, "insufficient"), (4, 380, [], ev, "sufficient"), (5, 400, None, ev, "error"), (6, 401, None, None, "no_evidence"), (7, 350, [], ev, "no_evidence")]
+    df = spark.createDataFrame(rows, "query_id long, core long, facts array<long>, evidence array<struct<child_id:long,parent_id:long,child_cost:long,parent_cost:long>>, status string")
+    got = {r.query_id: (r.n_facts, r.children, r.parents, r.status, r.fits) for r in R.fit_request(df, 400).collect()}
+    assert got[1] == (2, [1, 2, 3], [10, 11], "sufficient", True)
+    assert got[2] == (1, [1, 2, 3], [10, 11], "sufficient", True)  # 265 + 10 + 120, a second fact would be too much
+    assert got[3] == (0, [1, 2], [10], "insufficient", True)
+    assert got[4] == (0, [], [], "insufficient", True) and got[5] == (0, [], [], "error", True)
+    assert got[6] == (0, [], [], "no_evidence", False) and got[7] == (0, [1], [10], "no_evidence", True)

@@ -104,7 +104,7 @@ def test_many_batches_are_merged_and_old_segments_deleted(spark, tmp_path):
         table.update(spark.createDataFrame(batch, SCHEMA))
     want = [(k, us(s), us(e), n) for k, s, e, n in brute(rows)]
     assert sorted(tuple(x) for x in table.sessions().select("session_key", "start_us", "end_us", "n_runs").collect()) == want
-    assert len(table._manifest()["runs"]) <= 3 and len(table._manifest()["sessions"]) <= 3
+    assert len(table.manifest()["runs"]) <= 3 and len(table.manifest()["sessions"]) <= 3
     assert len([f for f in os.listdir(tmp_path / "t") if "-" in f]) <= 14
 
 
@@ -112,7 +112,7 @@ def test_what_a_batch_writes_follows_the_batch(spark, tmp_path):
     table = SessionTable(spark, str(tmp_path / "t"))
     table.update(spark.createDataFrame([entry(f"r{k}", f"k{k % 40}", k * 7) for k in range(4000)], SCHEMA))
     table.update(spark.createDataFrame([entry("new", "k1", 90_000), entry("r5", "k5", 35)], SCHEMA))
-    size = lambda name: sum(spark.read.parquet(f).count() for _, f in table._manifest()[name][1:])
+    size = lambda name: sum(spark.read.parquet(f).count() for _, f in table.manifest()[name][1:])
     assert size("runs") == 1 and size("sessions") == 1
 
 

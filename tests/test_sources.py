@@ -40,12 +40,55 @@ def test_jobs_and_listing(spark, tmp_path):
     assert n == 1 and names[0].endswith("jobs.json")
 
 
-def test_fetched_pages(spark):
+def test_fetched_pages(spark, tmp_path):
     spark.dataSource.register(files.FetchedPages)
     good = {"url": "u", "finalUrl": "f", "status": 200, "extractor": "raw", "truncated": False, "text": "t"}
-    payloads = [json.dumps(p) for p in (good, good | {"status": 404}, good | {"error": "e"}, good | {"text": " "})] + ["nothing"]
-    rows = spark.read.format("fetched_pages").option("payloads", json.dumps(payloads)).load().collect()
-    assert [(r.final_url, r.status) for r in rows] == [("f", 200)]
+    lines = [json.dumps(p) for p in (good, good | {"status": 404}, good | {"error": "e"}, good | {"text": " "}, {"url": "only", "text": "x"})] + ["nothing", ""]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    rows = spark.read.format("fetched_pages").load(str(tmp_path)).collect()
+    assert [(r.final_url, r.status) for r in rows] == [("f", 200), ("only", 0)]
+    pages, rejects = files.fetched_pages(spark, str(tmp_path))
+    assert sorted(map(tuple, pages.collect())) == sorted(map(tuple, rows))
+    assert {r.reason: r.n for r in rejects.collect()} == {"status": 1, "error": 1, "text": 1, "json": 1}
+
+
+def test_a_broken_session_is_told(spark, tmp_path):
+    (tmp_path / "good.jsonl").write_text('{"_type": "metadata", "key": "k"}\n{"role": "user", "content": "a"}\n')
+    (tmp_path / "bad.jsonl").write_text('{"_type": "metadata", "key": "b"}\n{"role": "user", "content": "a"}\nbroken\n')
+    (tmp_path / "bare.jsonl").write_text('{"role": "user", "content": "a"}\n')
+    got = {r.file.rpartition("/")[2]: (r.key, r.messages, r.error) for r in files.session_files(spark, str(tmp_path)).collect()}
+    assert got == {"good.jsonl": ("k", 1, None), "bad.jsonl": ("b", None, "1 broken lines"), "bare.jsonl": (None, None, "no header")}
+
+
+def test_keys_that_look_alike_get_files_of_their_own(spark, tmp_path):
+    heads = spark.createDataFrame([("a:b",), ("a_b",)], "key string")
+    msgs = spark.createDataFrame([("a:b", 0, "1"), ("a_b", 0, "2")], "key string, nth long, content string")
+    sinks.write_sessions(heads, msgs, str(tmp_path / "s"))
+    assert files.session_headers(spark, str(tmp_path / "s")).select("file").distinct().count() == 2
+
+
+def test_a_job_file_is_listed_anew_only_when_written(spark, tmp_path):
+    import os
+
+    p = tmp_path / "jobs.json"
+    job = files.JobFile(spark, str(p))
+    assert job.load().count() == 0
+    p.write_text(json.dumps({"jobs": [{"id": "1"}]}))
+    first = job.load()
+    assert first.count() == 1 and job.load() is first and first.first().modified_at is not None
+    p.write_text(json.dumps({"jobs": [{"id": "1"}, {"id": "2"}]}))
+    os.utime(p, (2_000_000_000, 2_000_000_000))
+    assert job.load().count() == 2
+
+
+def test_beir(spark, tmp_path):
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").write_text('{"_id": "1", "title": " T ", "text": "a"}\n{"_id": "2", "text": "b"}\n')
+    (tmp_path / "queries.jsonl").write_text('{"_id": "q", "text": "x"}\n{"_id": "r", "text": "y"}\n')
+    (tmp_path / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\nq\t1\t1\n")
+    corpus, queries, told = files.beir(spark, str(tmp_path))
+    assert [tuple(r) for r in corpus.orderBy("doc_id").collect()] == [("1", "T", "a"), ("2", "", "b")]
+    assert [tuple(r) for r in queries.collect()] == [("q", "x")] and [tuple(r) for r in told.collect()] == [("q", "1", 1)]
 
 
 def test_replace_file(tmp_path):

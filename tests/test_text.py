@@ -91,5 +91,53 @@ def test_line_kinds(spark):
 
 
 def test_url_safety(spark):
-    for url, want in {"http://10.0.0.1/": "private", "https://8.8.8.8/": "ok", "ftp://a/": "bad_scheme", "http:///x": "no_host", "http://localhost/": "private"}.items():
-        assert one(spark, T.url_safety, url) == want
+    private = ["http://10.0.0.1/", "http://localhost/", "http://[::1]/", "https://u@[0:0::1]:80/", "http://[fc00::1]/", "http://[fd12:3456::1%25eth0]/", "http://[FE80::1]/", "http://100.64.1.1/", "http://0.1.2.3"]
+    fine = ["https://8.8.8.8/", "http://[2001:db8::1]/", "http://[fe00::1]/", "http://fc00.example/", "http://100.128.0.1/", "http://[::2]/"]
+    for url, want in {**dict.fromkeys(private, "private"), **dict.fromkeys(fine, "ok"), "ftp://a/": "bad_scheme", "http:///x": "no_host", "http://[]/": "no_host", "": "bad_scheme"}.items():
+        assert one(spark, T.url_safety, url) == want, url
+
+
+def test_commands(spark):
+    denied = lambda c, *allowed: one(spark, lambda x: T.denied_command(x, list(allowed)), c)
+    for c in ("rm -rf /tmp/x", "ls; Shutdown now", "dd if=/dev/zero", "curl http://10.1.2.3/a", "curl 'http://[::1]/'"):
+        assert denied(c) is True
+    assert denied("echo format") is False and denied("curl https://8.8.8.8/x") is False
+    assert denied("ls -l", "^ls") is False and denied("cat x", "^ls") is True and denied("ls; reboot", "^ls") is True
+    for allowed, want in (([], False), (["*"], True), (["a"], True), (["b"], False)):
+        assert one(spark, lambda c, allowed=allowed: T.is_allowed(c, allowed), "a") is want
+
+
+def test_entities_and_cuts(spark):
+    assert one(spark, T.strip_html, "<b>caf&eacute; &#65;&#x42; &lt;i&gt; &amp;amp; a&b</b>") == "café AB <i> &amp; a&b"
+    assert one(spark, T.truncate_middle, "x" * 1_012_345) == "x" * 5000 + "\n\n... (1,002,345 chars truncated) ...\n\n" + "x" * 5000
+    assert one(spark, T.truncate_result, "y" * 16_001) == "y" * 16_000 + "\n... (truncated)" and one(spark, T.truncate_result, "y" * 16_000) == "y" * 16_000
+
+
+def test_answers_and_verdicts(spark):
+    match = lambda a, g, *al: one(spark, lambda x, y: T.answers_match(x, y, F.array(*map(F.lit, al)).cast("array<string>")), a, g)
+    assert match("18 minutes and 40 seconds", "18:40") and match("$1,000.", "no", "1000") and not match("a", "b", "c") and not match("?!", "!?") and not match(None, "a")
+    for reply, want in {'{"verdict": " Correct "}': True, '{"verdict": "wrong", "why": "correct"}': False, '{"a": 1}': False, "it is correct": True, "INCORRECT, not correct": False, "": False, '["correct"]': True, '{"broken correct': True}.items():
+        assert one(spark, T.verdict_of, reply) is want, reply
+    assert one(spark, T.verdict_of, None) is False
+
+
+def test_table_as_list(spark):
+    show = lambda *lines: spark.createDataFrame([(list(lines),)], "l array<string>").select(T.table_as_list(F.col("l"))).first()[0]
+    assert show("| a | b |", "|---|:--|", "| 1 | 2 |", "| | 3 | 9 |", "| | |") == "**a**: 1 · **b**: 2\n**b**: 3"
+    assert show("| a |", "| 1 |") == "**a**: 1" and show("| a |") == "| a |"
+
+
+def test_messages_requirements_and_unions(spark):
+    line = spark.range(1).select(T.message_line(F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"), F.lit("user"), F.array(F.lit("a"), F.lit("b")), F.lit("x")).alias("l")).first().l
+    assert line == "[2024-01-02T03:04] USER [tools: a, b]: x"
+    met = lambda bins, env: spark.createDataFrame([(bins, env)], "b array<string>, e array<string>").select(T.requirements_met(F.col("b"), F.col("e"), ["git"], ["HOME"])).first()[0]
+    assert met(["git"], ["HOME"]) and met(None, None) and not met(["gh"], []) and not met([], ["KEY"])
+    assert spark.createDataFrame([([[3, 1], [1, 2]],)], "l array<array<int>>").select(T.ordered_union(F.col("l"))).first()[0] == [3, 1, 2]
+
+
+def test_token_count(spark):
+    from larkspur.functions.text import token_count
+
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    got = spark.createDataFrame([("hello world",), ("",), (None,)], "t string").select(token_count(F.col("t"), ranks, r"\s*\S+").alias("n")).collect()
+    assert [r.n for r in got][1:] == [4, None] and 5 <= got[0].n <= 9
