@@ -3,7 +3,7 @@
 A host's suffixes are sorted by hashing: of the suffix array of all its pages only the suffixes that begin at a line
 are needed, and of each the prefix that ends with the line, since boilerplate is repeated by whole lines. Equal
 prefixes meet in an equi-aggregation on (host, hash), so no host is ever gathered in one task. Digits count as equal.
-A prefix that stands on many pages of its host is boilerplate there. Small hosts learn from the others: a template (the
+A prefix that stands on many pages of its host is boilerplate there, a long one only on more of them. Small hosts learn from the others: a template (the
 line without digits, proper names and the name of the site) is boilerplate if, on hosts large enough to tell, most of
 its lines were repeated. That keeps headings and list items, which are alike but not repeated, in the body.
 
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from larkspur.llm.text import site
 from larkspur.session import keep
 
-LONGEST = 200
+LONG = 200  # a longer line may be a passage of a copied article: it must stand on more pages to be boilerplate
 BIG_SITE = 10
 _MARK = re.compile(r"^\s*(?:[#>*+\-•·–]+\s+|#+\s*)+")
 _SPLIT = re.compile(r"\r?\n")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}")
-LINES = "site string, page_id long, line_no int, title boolean, prefix long, template long, like1 long, like2 long"
+LINES = "site string, page_id long, line_no int, title boolean, prefix long, template long, like1 long, like2 long, long boolean"
 
 
 def _h(text: str) -> int:
@@ -76,18 +76,18 @@ def _line_features(host: str, line: str) -> tuple[int, int, int, int]:
 
 
 def _candidates(text: str) -> Iterator[tuple[int, str]]:
-    """(line number, line) of the lines that may be boilerplate: short, with letters, outside code and tables."""
+    """(line number, line) of the lines that may be boilerplate: with letters, outside code and tables."""
     fenced = False
     for k, line in enumerate(_SPLIT.split(text), 1):
         s = line.strip()
         if s.startswith("```"):
             fenced = not fenced
-        elif not fenced and s and s[0] != "|" and len(s) <= LONGEST and _letters(s):
+        elif not fenced and s and s[0] != "|" and _letters(s):
             yield k, s
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
     names = [c.split()[0] for c in LINES.split(", ")]
     cache: dict[tuple[str, str], tuple] = {}
     for batch in batches:
@@ -95,14 +95,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for host, page, title, text in zip(d["site"], d["page_id"], d["title"], d["raw_text"], strict=True):
             if title and title.strip():
-                rows.append((host, page, 0, True, *_line_features(host, title)))
+                rows.append((host, page, 0, True, *_line_features(host, title), False))
             if len(cache) > 200_000:  # repeated lines are what costs; the cache is filled anew
                 cache.clear()
             for k, line in _candidates(text):
                 f = cache.get((host, line))
                 if f is None:
                     f = cache[host, line] = _line_features(host, line)
-                rows.append((host, page, k, False, *f))
+                rows.append((host, page, k, False, *f, len(line) > LONG))
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
@@ -186,13 +186,16 @@ def main_body(pages: DataFrame, min_share: float = 0.08, trust: float = 0.5) ->
     rows = pages.where("page_id is not null and raw_text <> ''").select(F.coalesce(site(F.col("final_url")), F.lit("")).alias("site"), "page_id", "title", "final_url", "raw_text")
     lines = keep(rows.select("site", "page_id", "title", "raw_text").mapInArrow(_features, LINES), "p6-lines")
     sizes = lines.select("site", "page_id").distinct().groupBy("site").agg(F.count("*").alias("site_pages"))
-    prefixes = lines.where("not title").select("site", "prefix", "template", "page_id").distinct().groupBy("site", "prefix", "template").agg(F.count("*").alias("pages")).join(sizes, "site")
-    prefixes = prefixes.withColumn("often", (F.col("pages") >= F.greatest(F.lit(3), F.col("site_pages") * F.lit(min_share))).cast("int"))
+    prefixes = lines.where("not title").select("site", "prefix", "template", "long", "page_id").distinct().groupBy("site", "prefix", "template", "long").agg(F.count("*").alias("pages")).join(sizes, "site")
+    # a long line is told by a quarter of the pages and at least six
+    least = F.when(F.col("long"), F.greatest(F.lit(6), F.col("site_pages") * F.lit(0.25))).otherwise(F.greatest(F.lit(3), F.col("site_pages") * F.lit(min_share)))
+    prefixes = prefixes.withColumn("often", (F.col("pages") >= least).cast("int"))
     prefixes = keep(prefixes, "p6-prefixes")
     big = prefixes.where(F.col("site_pages") >= BIG_SITE)
     templates = big.groupBy("template").agg(F.sum("pages").alias("seen"), F.sum(F.col("pages") * F.col("often")).alias("repeated")).where("seen >= 3")
     told = prefixes.join(templates, "template", "left")
     bad = F.when(F.col("seen") >= 20, F.col("repeated") >= F.col("seen") * F.lit(trust)).otherwise((F.col("often") == 1) & (F.col("pages") >= F.col("site_pages") * F.lit(2 * min_share)))
+    bad = F.when(F.col("long"), F.col("often") == 1).otherwise(bad)
     repeated = told.where(bad).select("site", "prefix", F.lit(1).alias("bad")).distinct()
     titles = lines.where("title").groupBy(F.col("like2").alias("like")).agg(F.count("*").alias("n")).where("n >= 3").select("like")
     liked = lines.where("not title").select("page_id", "line_no", F.explode(F.array_distinct(F.array("like1", "like2"))).alias("like")).join(titles, "like", "left_semi").select("page_id", "line_no", F.lit(False).alias("bad"))

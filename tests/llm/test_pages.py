@@ -109,3 +109,14 @@ def test_split_oversized(spark):
 
 def test_masks():
     assert body.site_names("docs.harbour-desk.example") == ["harbour desk"] and body.site_names("the-lag.example") == ["the lag", "lag"]
+
+
+def test_a_long_notice_on_many_pages_goes_and_a_copied_passage_stays(spark):
+    notice = "We and our partners keep and read details on your device to show what may matter to you, " * 3
+    passage = "The river rose by a metre in the night and the lower fields were under water until noon, said the warden of the lock. " * 2
+    rows = [(k, f"https://a.example/{k}", f"Story number {k} of the day", f"Story number {k} of the day\n\nOnly page {k} says this sentence about topic {k * 7}.\n\n{passage if k < 3 else f'A paragraph of page {k} with words of its own.'}\n\n{notice}") for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, final_url string, title string, raw_text string")
+    kept = {}
+    for r in body.main_body(df).collect():
+        kept.setdefault(r.page_id, set()).add(r.line_no)
+    assert all(7 not in lines for lines in kept.values()) and all(5 in kept[k] for k in range(3))
