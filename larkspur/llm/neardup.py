@@ -18,6 +18,7 @@ is never more than the runs they differ in. What is left is verified on the text
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,10 @@ class Shingler:
 
     def __init__(self, run: int):
         self.run = run
-        self.of_word = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+        self.of_word = np.zeros(0x110000, bool)
+        every = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        for m in re.finditer(r"[^\W_]+", every):  # letters and digits lie in some hundred stretches
+            self.of_word[m.start() : m.end()] = True
         self.up = self.down = np.ones(1, np.uint64)
 
     def _word_hashes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
