@@ -37,6 +37,23 @@ UNION ALL SELECT DISTINCT 'parent_children', child_id FROM parent_children WHERE
 """
 
 
+_RUNS = "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+_P5 = f"""
+WITH t AS (SELECT DISTINCT 'web_pages' AS origin, page_id AS id, raw_text AS text FROM web_pages WHERE page_id IS NOT NULL AND raw_text IS NOT NULL UNION ALL SELECT DISTINCT 'page_parents', parent_id, text FROM page_parents WHERE parent_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT origin, id, regexp_extract_all({_FOLD.format(x="text")}, '[\\p{{L}}\\p{{N}}]+') AS w FROM t),
+s AS (SELECT DISTINCT origin, id, unnest({_RUNS}) AS s FROM w WHERE len(w) >= 3),
+n AS (SELECT origin, id, count(*) AS n FROM s GROUP BY 1, 2),
+p AS (SELECT a.origin, a.id AS id_a, b.id AS id_b, count(*) AS met FROM s a JOIN s b ON a.origin = b.origin AND a.s = b.s AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT p.origin, id_a, id_b FROM p JOIN n a ON a.origin = p.origin AND a.id = id_a JOIN n b ON b.origin = p.origin AND b.id = id_b WHERE met >= 0.7 * (a.n + b.n - met)
+"""
+
+_P10 = """
+WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 250)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS i FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 250)),
+m AS (SELECT doc_id, h FROM w WHERE h IN (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2,
@@ -44,4 +61,10 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _P3 + "SELECT kept_id, record_id FROM g WHERE record_id <> kept_id",
         "p3_collapsed": _P3 + "SELECT kept_id, count(*) AS copies FROM g GROUP BY 1",
         "p7_found": _P7,
+        # what must hold of every result, next to what the tables tell
+        "p5_found": _P5,
+        "p10_found": _P10,
+        "p7_audit": f"SELECT origin, item_id, true AS within, true AS covered, true AS overlapping FROM ({_P7})",
+        "p8_audit": "SELECT count(*) AS docs, true AS whole, true AS within, true AS unsplit FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '[^\\s\\x{a0}\\x{2009}\\x{3000}]'))",
+        "p9_audit": "SELECT source, target_share, true AS reached, true AS within FROM source_targets WHERE source IS NOT NULL AND target_share IS NOT NULL",
     }
