@@ -301,7 +301,20 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).where("raw_text is not null").select("page_id", "raw_text").distinct()
 
 
-@query()
+def _recursive(rows: str, key: str, text: str, end: str, back: int, strip: bool) -> str:
+    """Pieces of texts, one after another: ``end`` is the end of a piece that begins at ``pos``."""
+    piece = _strip("substr(body, pos + 1, stop - pos)") if strip else "substr(body, pos + 1, stop - pos)"
+    start = f"(CASE WHEN stop - {back} > pos THEN stop - {back} ELSE stop END)"
+    return rf"""WITH RECURSIVE b AS (SELECT DISTINCT {key}, {_strip(text) if strip else text} AS body FROM {rows} WHERE {key} IS NOT NULL AND {text} IS NOT NULL),
+    s AS (SELECT {key}, body, 0 AS pos, 0 AS nth FROM b WHERE body <> '' UNION ALL SELECT {key}, body, CAST({start} + length(regexp_extract(substr(body, {start} + 1), '^{_WS}*')) AS INT), nth + 1 FROM (SELECT *, {end} AS stop FROM s) WHERE stop < length(body) AND {start} + length(regexp_extract(substr(body, {start} + 1), '^{_WS}*')) < length(body))
+    SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY pos) - 1 AS INT) AS nth, piece FROM (SELECT {key}, pos, {piece} AS piece FROM (SELECT *, {end} AS stop FROM s)) WHERE piece <> ''"""
+
+
+_WINDOW_END = r"CASE WHEN pos + 800 < length(body) THEN CAST(pos + 800 - CASE WHEN length(regexp_extract(substr(body, pos + 401, 400), '[^ \n]*$')) < 400 THEN length(regexp_extract(substr(body, pos + 401, 400), '[^ \n]*$')) + 1 ELSE 0 END AS INT) ELSE length(body) END"
+_MESSAGE_END = r"CASE WHEN pos + 2000 < length(body) THEN CAST(pos + CASE WHEN contains(substr(body, pos + 2, 1999), chr(10)) THEN 2000 - length(regexp_extract(substr(body, pos + 2, 1999), '[^\n]*$')) - 1 WHEN contains(substr(body, pos + 2, 1999), ' ') THEN 2000 - length(regexp_extract(substr(body, pos + 2, 1999), '[^ ]*$')) - 1 ELSE 2000 END AS INT) ELSE length(body) END"
+
+
+@query(_recursive("page_parents", "parent_id", "text", _WINDOW_END, 150, True))
 def chunk_children(spark: SparkSession, d: str) -> DataFrame:
     return C.pieces(data.parents(spark, d).select("parent_id", "text").distinct(), "parent_id", "text", lambda t: C.windows(t, 800, 150))
 
@@ -318,7 +331,7 @@ def chunk_parents(spark: SparkSession, d: str) -> DataFrame:
     return C.pieces(rows, "page_id", "both", lambda t: C.parent_blocks(t.partition("\0")[2], t.partition("\0")[0]))
 
 
-@query()
+@query(_recursive("web_pages", "page_id", "raw_text", _MESSAGE_END, 0, False))
 def split_message(spark: SparkSession, d: str) -> DataFrame:
     return C.pieces(_bodies(spark, d), "page_id", "raw_text", C.split_message)
 
