@@ -1,11 +1,14 @@
 """The main body of web pages: long substrings repeated across the pages of a host are boilerplate.
 
-A host's suffixes are sorted by hashing: of the suffix array of all its pages only the suffixes that begin at a line
-are needed, and of each the prefix that ends with the line, since boilerplate is repeated by whole lines. Equal
-prefixes meet in an equi-aggregation on (host, hash), so no host is ever gathered in one task. Digits count as equal.
-A prefix that stands on many pages of its host is boilerplate there, a long one only on more of them. Small hosts learn from the others: a template (the
-line without digits, proper names and the name of the site) is boilerplate if, on hosts large enough to tell, most of
-its lines were repeated. That keeps headings and list items, which are alike but not repeated, in the body.
+Of the suffix array of all pages of a host only the suffixes that begin at a line are needed, and of each what it has in
+common with its neighbours up to the end of the line, since boilerplate is repeated by whole lines. The suffixes of all
+hosts are sorted at once, by host, line and page, in ranges whose bounds Spark samples; neighbours that share their line
+are a run, and the pages of a run are counted as it streams by. A range may cut a run, never the suffixes of one page in
+it, so the counts of its parts add up and a host, or a line on a third of all pages, is never gathered. Digits count as
+equal. A run that has many pages of its host is boilerplate there, a long line only with more of them. Small hosts learn
+from the others: a template (the line without digits, proper names and the name of the site) is boilerplate if, on hosts
+large enough to tell, most of its lines were repeated. That keeps headings and list items, which are alike but not
+repeated, in the body.
 
 Repetition alone misses what differs from page to page, so the layout of a page decides the rest: what stands above
 the title line isn't body; links to other articles are lines made like the titles of pages, under a repeated line;
@@ -17,7 +20,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +112,40 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
+RUN = ["site", "prefix", "template", "long"]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, pages) of sorted suffixes, a row for each run or part of one that lies in a batch."""
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        opens = np.zeros(n, bool)
+        opens[0] = True
+        for c in RUN:
+            opens[1:] |= pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        page = batch.column("page_id").to_numpy()
+        fresh = opens.copy()
+        fresh[1:] |= page[1:] != page[:-1]
+        ends = [tuple(batch.column(c)[k].as_py() for c in (*RUN, "page_id")) for k in (0, n - 1)]
+        if ends[0] == last:  # the page was counted in the batch before
+            fresh[0] = False
+        last = ends[1]
+        first = np.flatnonzero(opens)
+        runs = batch.select(RUN).take(pa.array(first))
+        yield pa.RecordBatch.from_arrays([*runs.columns, pa.array(np.add.reduceat(fresh.astype(np.int64), first))], [*RUN, "pages"])
+
+
+def repeated_runs(lines: DataFrame) -> DataFrame:
+    """(site, prefix, template, long, pages): the runs of the suffix array with the number of their pages."""
+    order = [*RUN, "page_id"]
+    sorted_ = lines.where("not title").select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = sorted_.mapInArrow(_runs, "site string, prefix long, template long, long boolean, pages long")
+    return parts.groupBy(*RUN).agg(F.sum("pages").alias("pages"))
+
+
 def _same(line: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", line.casefold()))
 
@@ -186,7 +225,7 @@ def main_body(pages: DataFrame, min_share: float = 0.08, trust: float = 0.5) ->
     rows = pages.where("page_id is not null and raw_text <> ''").select(F.coalesce(site(F.col("final_url")), F.lit("")).alias("site"), "page_id", "title", "final_url", "raw_text")
     lines = keep(rows.select("site", "page_id", "title", "raw_text").mapInArrow(_features, LINES), "p6-lines")
     sizes = lines.select("site", "page_id").distinct().groupBy("site").agg(F.count("*").alias("site_pages"))
-    prefixes = lines.where("not title").select("site", "prefix", "template", "long", "page_id").distinct().groupBy("site", "prefix", "template", "long").agg(F.count("*").alias("pages")).join(sizes, "site")
+    prefixes = repeated_runs(lines).join(sizes, "site")
     # a long line is told by a quarter of the pages and at least six
     least = F.when(F.col("long"), F.greatest(F.lit(6), F.col("site_pages") * F.lit(0.25))).otherwise(F.greatest(F.lit(3), F.col("site_pages") * F.lit(min_share)))
     prefixes = prefixes.withColumn("often", (F.col("pages") >= least).cast("int"))

@@ -120,3 +120,22 @@ def test_a_long_notice_on_many_pages_goes_and_a_copied_passage_stays(spark):
     for r in body.main_body(df).collect():
         kept.setdefault(r.page_id, set()).add(r.line_no)
     assert all(7 not in lines for lines in kept.values()) and all(5 in kept[k] for k in range(3))
+
+
+@pytest.mark.parametrize("rows", [1, 3, 50, 10_000])
+def test_runs_of_sorted_suffixes_count_pages(rows):
+    import pyarrow as pa
+
+    r = Random(rows)
+    data = sorted((r.choice(["a", "b"]), r.randint(0, 3), r.randint(0, 1), r.random() < 0.2, r.randint(0, 12)) for _ in range(400))
+    want = {}
+    for *key, page in data:
+        want.setdefault(tuple(key), set()).add(page)
+    names = [*body.RUN, "page_id"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in data[k : k + rows]], schema=pa.schema([("site", pa.string()), ("prefix", pa.int64()), ("template", pa.int64()), ("long", pa.bool_()), ("page_id", pa.int64())])) for k in range(0, len(data), rows)]
+    got = {}
+    for b in body._runs(iter(batches)):
+        for x in b.to_pylist():
+            key = tuple(x[c] for c in body.RUN)
+            got[key] = got.get(key, 0) + x["pages"]
+    assert got == {k: len(v) for k, v in want.items()}
