@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from larkspur.functions.text import is_allowed
+
 MESSAGE = "role string, content string, timestamp string, tool_call_id string, name string, tool_calls array<struct<id:string>>"
 HEADER = "_type string, key string, created_at string, updated_at string, last_consolidated int"
 FACT = "array<struct<main_class:string,sub_class:string,text:string>>"
@@ -108,6 +110,23 @@ def listing(spark: SparkSession, path: str, ignore: tuple[str, ...] = (".git", "
     return row["names"], row["n"]
 
 
+CHANNEL_MESSAGE = "channel string, chat_id string, sender string, id string, ts timestamp, content string, media array<string>"
+
+
+def message_stream(spark: SparkSession, path: str, allowed: dict[str, list[str]] | None = None) -> DataFrame:
+    """The messages of chat channels as a stream: every channel's adapter, outside, appends JSON lines to its folder below
+    ``path``. Messages without an id or chat are left out, and so are senders whom the channel's list doesn't allow (a
+    channel without a list lets nobody in); without lists everybody is let in. ``key`` is channel and chat, as the
+    streaming operators want it."""
+    rows = spark.readStream.schema(CHANNEL_MESSAGE).option("recursiveFileLookup", "true").json(path).where("id is not null and chat_id is not null and channel is not null")
+    if allowed is not None:
+        let_in = F.lit(False)
+        for channel, names in allowed.items():
+            let_in = let_in | ((F.col("channel") == channel) & is_allowed(F.col("sender"), names))
+        rows = rows.where(let_in)
+    return rows.select(F.concat_ws(":", "channel", "chat_id").alias("key"), "id", "ts", F.col("content").alias("body"), "media", "sender")
+
+
 PAYLOAD = "url string, finalUrl string, status int, extractor string, text string, truncated boolean, error string"
 
 

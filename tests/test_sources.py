@@ -106,3 +106,13 @@ def test_report(spark):
     assert json.loads(js)["rows"] == [{"a": "x|y", "b": 0.5}] and "| x\\|y | 0.5000 |" in md
     with pytest.raises(ValueError):
         sinks.report(df.union(df), "T", 1)
+
+
+def test_messages_of_allowed_senders_stream_in(spark, tmp_path):
+    (tmp_path / "in" / "cli").mkdir(parents=True)
+    rows = [{"channel": c, "chat_id": "1", "sender": s, "id": f"{c}{s}", "content": "x"} for c in ("cli", "slack", "none") for s in "ab"] + [{"channel": "cli", "sender": "a"}]
+    (tmp_path / "in" / "cli" / "m.json").write_text("\n".join(map(json.dumps, rows)))
+    q = files.message_stream(spark, str(tmp_path / "in"), {"cli": ["*"], "slack": ["a"], "none": []}).writeStream.format("memory").queryName("messages").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.key, r.id) for r in spark.sql("select * from messages").collect()} == {("cli:1", "clia"), ("cli:1", "clib"), ("slack:1", "slacka")}
