@@ -104,10 +104,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(cache) > 200_000:  # repeated lines are what costs; the cache is filled anew
                 cache.clear()
             for k, line in _candidates(text):
+                if len(line) > LONG:  # mostly met once, and never a link: only its own repetition tells
+                    h = _h(re.sub(r"\d+", "0", " ".join(_MARK.sub("", line).split()).casefold()))
+                    rows.append((host, page, k, False, h, 0, 0, 0, True))
+                    continue
                 f = cache.get((host, line))
                 if f is None:
                     f = cache[host, line] = _line_features(host, line)
-                rows.append((host, page, k, False, *f, len(line) > LONG))
+                rows.append((host, page, k, False, *f, False))
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
@@ -230,14 +234,14 @@ def main_body(pages: DataFrame, min_share: float = 0.08, trust: float = 0.5) ->
     least = F.when(F.col("long"), F.greatest(F.lit(6), F.col("site_pages") * F.lit(0.25))).otherwise(F.greatest(F.lit(3), F.col("site_pages") * F.lit(min_share)))
     prefixes = prefixes.withColumn("often", (F.col("pages") >= least).cast("int"))
     prefixes = keep(prefixes, "p6-prefixes")
-    big = prefixes.where(F.col("site_pages") >= BIG_SITE)
+    big = prefixes.where((F.col("site_pages") >= BIG_SITE) & ~F.col("long"))
     templates = big.groupBy("template").agg(F.sum("pages").alias("seen"), F.sum(F.col("pages") * F.col("often")).alias("repeated")).where("seen >= 3")
     told = prefixes.join(templates, "template", "left")
     bad = F.when(F.col("seen") >= 20, F.col("repeated") >= F.col("seen") * F.lit(trust)).otherwise((F.col("often") == 1) & (F.col("pages") >= F.col("site_pages") * F.lit(2 * min_share)))
     bad = F.when(F.col("long"), F.col("often") == 1).otherwise(bad)
     repeated = told.where(bad).select("site", "prefix", F.lit(1).alias("bad")).distinct()
     titles = lines.where("title").groupBy(F.col("like2").alias("like")).agg(F.count("*").alias("n")).where("n >= 3").select("like")
-    liked = lines.where("not title").select("page_id", "line_no", F.explode(F.array_distinct(F.array("like1", "like2"))).alias("like")).join(titles, "like", "left_semi").select("page_id", "line_no", F.lit(False).alias("bad"))
+    liked = lines.where("not title and not long").select("page_id", "line_no", F.explode(F.array_distinct(F.array("like1", "like2"))).alias("like")).join(titles, "like", "left_semi").select("page_id", "line_no", F.lit(False).alias("bad"))
     marks = lines.where("not title").join(repeated.select("site", "prefix"), ["site", "prefix"], "left_semi").select("page_id", "line_no", F.lit(True).alias("bad")).unionByName(liked)
     of_page = marks.groupBy("page_id").agg(F.collect_set(F.when(F.col("bad"), F.col("line_no"))).alias("repeated"), F.collect_set(F.when(~F.col("bad"), F.col("line_no"))).alias("linklike"))
     done = rows.select("page_id", "title", "final_url", "raw_text").join(of_page, "page_id", "left")
