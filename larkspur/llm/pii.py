@@ -212,7 +212,7 @@ class Seeds:
     thing: tuple[str, ...] = tuple(THING_WORDS)
 
 
-def score_numbers(numbers: DataFrame, seeds: Seeds = Seeds(), most_rounds: int = 10, still: float = 0.01) -> DataFrame:
+def score_numbers(numbers: DataFrame, seeds: Seeds = Seeds(), most_rounds: int = 10, still: float = 0.05) -> DataFrame:
     """(shape, left, right, kind) of the number patterns that are phone or identity. Three classes spread between
     patterns and the instances in them; seeds keep their class. It ends when no score has moved by more than ``still``."""
     kinds = ("phone", "identity", "thing")
