@@ -94,9 +94,11 @@ def _fts(spark: SparkSession, d: str) -> DataFrame:
 
 def _vec(spark: SparkSession, d: str) -> DataFrame:
     """Vector candidates among the children that have a vector, for the queries that have one."""
-    kids = data.children(spark, d).select(F.col("child_id").alias("id")).distinct()
+    kids = data.read_table(spark, d, "parent_children").where("text is not null").select(F.col("child_id").alias("id")).distinct()
     asked = data.queries(spark, d).select("query_id")
-    found = R.vector_search(data.vectors(spark, d).join(kids, "id", "left_semi"), data.query_vectors(spark, d).join(asked, "query_id", "left_semi"), POOL)
+    # the search reads both sides several times
+    vectors = keep(data.vectors(spark, d).join(kids, "id", "left_semi"), "vectors")
+    found = R.vector_search(vectors, keep(data.query_vectors(spark, d).join(asked, "query_id", "left_semi"), "asked"), POOL)
     return found.withColumnRenamed("id", "child_id")
 
 
