@@ -91,3 +91,45 @@ def test_requests_lose_facts_then_evidence(spark):
     assert got[3] == (0, [1, 2], [10], "insufficient", True)
     assert got[4] == (0, [], [], "insufficient", True) and got[5] == (0, [], [], "error", True)
     assert got[6] == (0, [], [], "no_evidence", False) and got[7] == (0, [1], [10], "no_evidence", True)
+
+
+@pytest.mark.parametrize("lane,block", [(1 << 20, 1 << 17), (40, 5)])
+def test_best_of_lanes_are_the_best_of_all(spark, lane, block):
+    import random
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(40)] + ["a_b", "a_a_b", "_x", "running", "runs", "漢字", "漢字語"]
+    rows = [(k, " ".join(r.choices(words, [1 / (x + 1) for x in range(len(words))], k=r.randint(1, 12)))) for k in range(150)]
+    docs = spark.createDataFrame([*rows, *((k + 1000, t) for k, t in rows[:60]), (5000, None), (None, "w1"), (5001, "_ !")], "doc_id long, text string")  # copies tie
+    queries = spark.createDataFrame([(k, " ".join(r.choices(words, k=4))) for k in range(30)] + [(99, "unheard"), (100, "")], "query_id long, query string")
+    terms = R.query_postings(queries)
+    want = R.ranked(R.bm25(R.postings(docs), terms), "bm25", "doc_id", 7)
+    got = R.bm25_top(R.entries(docs), terms, 7, lane=lane, block=block)
+    rows_of = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.bm25) for r in df.collect())
+    assert rows_of(got) == rows_of(want) and got.schema["doc_id"].dataType == want.schema["doc_id"].dataType
+
+
+def test_entries_have_the_tokens_of_the_expression(spark):
+    from larkspur.functions import text as T
+
+    texts = ["Running runs_ed _x__ ab_ab_ab s ss Ass 漢字語A 語", "snake_case_ing cases_", "___", "", "ÄRunnings été", "a A a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for r in df.select("doc_id", T.index_text(F.col("text")).alias("t")).collect():
+        parts = [p for p in r.t.replace("_", " ").split(" ") if p]
+        want |= {(r.doc_id, p): (parts.count(p), len(parts)) for p in parts}
+    assert {(r.doc_id, r.token): (r.tf, r.dl) for r in R.postings(df).collect()} == want
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_pairs_of_queries_and_documents_are_no_rows(spark, monkeypatch, name):
+    from larkspur.plans import catalog
+
+    def pairs(*a, **k):
+        raise AssertionError("a row for each query and document that share a term")
+
+    monkeypatch.setattr(R, "bm25", pairs)
+    assert catalog.queries()[name](spark, SMALL).count() > 0
