@@ -126,7 +126,7 @@ _DOC = "dr AS (SELECT query_id, page_id, min(parent_rank) AS r FROM prk JOIN (SE
 
 
 def _ranked_docs(spark: SparkSession, d: str, pool: DataFrame) -> DataFrame:
-    pages = data.children(spark, d).select("parent_id", "page_id").distinct()
+    pages = data.child_rows(spark, d).select("parent_id", "page_id").distinct()
     url = F.concat(F.lit("beir://pages/"), F.url_encode(F.col("page_id").cast("string")))
     rows = R.parent_aggregate(pool).join(pages, "parent_id").select("query_id", "parent_rank", F.lpad(F.col("page_id").cast("string"), 12, "0").alias("doc"), url.alias("url"))
     return E.ranked_documents(rows, "pages")
@@ -151,7 +151,7 @@ def beir_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 def _diagnosed(spark: SparkSession, d: str) -> DataFrame:
     pool = search._reranked(spark, d)
     got = _ranked_docs(spark, d, pool).where("rank <= 10").groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("long")).alias("retrieved"))
-    kids = data.children(spark, d).select("child_id", "page_id").distinct()
+    kids = data.child_rows(spark, d).select("child_id", "page_id").distinct()
     evidence = search.evidence_of(spark, d, pool).join(kids, "child_id").groupBy("query_id").agg(F.collect_set("page_id").alias("evidence"))
     rows = data.queries(spark, d).select("query_id", F.array("query_id").alias("gold")).join(got, "query_id", "left").join(evidence, "query_id", "left")
     return E.diagnostics(rows)

@@ -124,7 +124,7 @@ def test_entries_have_the_tokens_of_the_expression(spark):
 SMALL = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["bm25_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "consistency_matrix"])
 def test_pairs_of_queries_and_documents_are_no_rows(spark, monkeypatch, name):
     from larkspur.plans import catalog
 
@@ -133,3 +133,13 @@ def test_pairs_of_queries_and_documents_are_no_rows(spark, monkeypatch, name):
 
     monkeypatch.setattr(R, "bm25", pairs)
     assert catalog.queries()[name](spark, SMALL).count() > 0
+
+
+def test_only_chosen_children_are_tokenized(spark):
+    from larkspur.plans import search
+
+    chosen = spark.createDataFrame([(50, 1)], "query_id long, child_id long")
+    plan = search._status(spark, SMALL, chosen)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scan = next(k for k, line in enumerate(plan) if "Relation" in line and "child_id" in line)
+    join = max(k for k, line in enumerate(plan[:scan]) if "Join" in line and "child_id" in line)
+    assert any("regexp_extract_all" in line for line in plan[:join]) and not any("regexp_extract_all" in line for line in plan[join:scan])
