@@ -124,7 +124,7 @@ def test_entries_have_the_tokens_of_the_expression(spark):
 SMALL = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "consistency_matrix", "fit_request", "rrf_fuse", "beir_diagnostics", "doc_dedupe_rank", "parent_aggregate", "search_local", "lexical_gate"])
+@pytest.mark.parametrize("name", ["bm25_topk", "consistency_matrix", "fit_request", "rrf_fuse", "beir_diagnostics", "doc_dedupe_rank", "parent_aggregate", "search_local", "lexical_gate", "rerank_rank"])
 def test_pairs_of_queries_and_documents_are_no_rows(spark, monkeypatch, name):
     from larkspur.plans import catalog
 
