@@ -143,3 +143,42 @@ def test_only_chosen_children_are_tokenized(spark):
     scan = next(k for k, line in enumerate(plan) if "Relation" in line and "child_id" in line)
     join = max(k for k, line in enumerate(plan[:scan]) if "Join" in line and "child_id" in line)
     assert any("regexp_extract_all" in line for line in plan[:join]) and not any("regexp_extract_all" in line for line in plan[join:scan])
+
+def test_only_terms_asked_for_are_indexed(spark, monkeypatch):
+    from larkspur.plans import catalog, data, search
+
+    made = {}
+
+    def kept(df, name):
+        made[name] = R.keep(df, name)
+        return made[name]
+
+    monkeypatch.setattr(search, "keep", kept)
+    assert catalog.queries()["rrf_fuse"](spark, SMALL).count() > 0
+    terms = {r.token for r in R.query_postings(data.queries(spark, SMALL)).collect()}
+    assert {r.token for r in R.flat(made["entries"], "child_id").select("token").distinct().collect()} <= terms
+
+
+@pytest.mark.parametrize("few", [100, 1])
+def test_entries_asked_for_rank_as_all_do(spark, few):
+    docs = spark.createDataFrame([(1, "red Apples a_b"), (1, "red Apples a_b"), (2, "red pear 漢字"), (3, "plum of all apples")], "doc_id long, text string")
+    terms = R.query_postings(spark.createDataFrame([(7, "red apples"), (8, "b 漢字")], "query_id long, query string"))
+    asked = R.asked_for(terms, few)
+    some, every = (R.entries(docs, asked=x, repeats=True) for x in (asked, None))
+    assert isinstance(asked, bytes) == (few == 1) and some.count() == 3
+    assert {r.token for r in R.flat(some).collect()} == {"red", "apples", "apple", "appl", "b", "漢字"}
+    rows_of = lambda index: sorted((r.query_id, r.rank, r.doc_id, r.bm25) for r in R.bm25_top(index, terms, 2).collect())
+    assert rows_of(some) == rows_of(every) == rows_of(R.entries(docs.distinct()))
+
+
+def test_sums_of_common_terms_are_shared_rightly(spark):
+    import random
+
+    r = random.Random(8)
+    common, rare = ["the", "of", "in", "to"], [f"n{k}" for k in range(60)]
+    rows = [(k, " ".join(r.sample(common, r.randint(0, 4)) + r.choices(rare, k=r.randint(0, 3)))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asks = [(k, " ".join(r.sample(common, r.randint(0, 3)) + r.choices(rare, k=r.randint(0, 40)))) for k in range(60)]  # many rare terms touch all of the best
+    terms = R.query_postings(spark.createDataFrame(asks, "query_id long, query string"))
+    rows_of = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.bm25) for r in df.collect())
+    assert rows_of(R.bm25_top(R.entries(docs), terms, 3)) == rows_of(R.ranked(R.bm25(R.postings(docs), terms), "bm25", "doc_id", 3))
