@@ -182,3 +182,31 @@ def test_sums_of_common_terms_are_shared_rightly(spark):
     terms = R.query_postings(spark.createDataFrame(asks, "query_id long, query string"))
     rows_of = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.bm25) for r in df.collect())
     assert rows_of(R.bm25_top(R.entries(docs), terms, 3)) == rows_of(R.ranked(R.bm25(R.postings(docs), terms), "bm25", "doc_id", 3))
+
+
+def test_terms_found_are_the_tokens_in_common(spark):
+    from larkspur.functions import text as T
+
+    texts = ["Running runs_ed _x__ ab_ab_ab s ss 漢字語A 語", "plain Words, with endings: running walked", "", None, "ÄRunnings été naïvely"]
+    asks = ["running run runs ed x ab 漢字 語", "word walk ending plain none", "漢", "a"]
+    rows = spark.createDataFrame([(q, t) for q in asks for t in texts], "query string, text string").withColumn("terms", T.query_terms(F.col("query")))
+    got = R.with_found(rows).select(F.sort_array("found"), F.sort_array(F.array_intersect("terms", T.tokens(F.col("text"))))).collect()
+    assert len(got) == len(asks) * len(texts) and all(a == b for a, b in got)
+
+
+def tokens_of_queries_only(spark, monkeypatch, name):
+    from larkspur.functions import text as T
+    from larkspur.plans import catalog
+
+    made = T.tokens
+
+    def tokens(text):
+        assert "query" in str(text), "children cut by an expression"
+        return made(text)
+
+    monkeypatch.setattr(T, "tokens", tokens)
+    return catalog.queries()[name](spark, SMALL)
+
+
+def test_rerank_rank_cuts_the_pool_in_arrow(spark, monkeypatch):
+    assert tokens_of_queries_only(spark, monkeypatch, "rerank_rank").count() > 0
