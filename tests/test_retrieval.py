@@ -210,3 +210,7 @@ def tokens_of_queries_only(spark, monkeypatch, name):
 
 def test_rerank_rank_cuts_the_pool_in_arrow(spark, monkeypatch):
     assert tokens_of_queries_only(spark, monkeypatch, "rerank_rank").count() > 0
+
+
+def test_search_local_cuts_the_pool_in_arrow(spark, monkeypatch):
+    assert tokens_of_queries_only(spark, monkeypatch, "search_local").count() > 0
