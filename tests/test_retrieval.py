@@ -214,3 +214,7 @@ def test_rerank_rank_cuts_the_pool_in_arrow(spark, monkeypatch):
 
 def test_search_local_cuts_the_pool_in_arrow(spark, monkeypatch):
     assert tokens_of_queries_only(spark, monkeypatch, "search_local").count() > 0
+
+
+def test_parent_aggregate_cuts_the_pool_in_arrow(spark, monkeypatch):
+    assert tokens_of_queries_only(spark, monkeypatch, "parent_aggregate").count() > 0
