@@ -218,3 +218,7 @@ def test_search_local_cuts_the_pool_in_arrow(spark, monkeypatch):
 
 def test_parent_aggregate_cuts_the_pool_in_arrow(spark, monkeypatch):
     assert tokens_of_queries_only(spark, monkeypatch, "parent_aggregate").count() > 0
+
+
+def test_lexical_gate_cuts_what_is_found_in_arrow(spark, monkeypatch):
+    assert tokens_of_queries_only(spark, monkeypatch, "lexical_gate").count() > 0
