@@ -126,7 +126,7 @@ _DOC = "dr AS (SELECT query_id, page_id, min(parent_rank) AS r FROM prk JOIN (SE
 
 
 def _ranked_docs(spark: SparkSession, d: str, pool: DataFrame) -> DataFrame:
-    pages = data.child_rows(spark, d).select("parent_id", "page_id").distinct()
+    pages = search.only(data.child_rows(spark, d).select("parent_id", "page_id"), pool, "parent_id").distinct()
     url = F.concat(F.lit("beir://pages/"), F.url_encode(F.col("page_id").cast("string")))
     rows = R.parent_aggregate(pool).join(pages, "parent_id").select("query_id", "parent_rank", F.lpad(F.col("page_id").cast("string"), 12, "0").alias("doc"), url.alias("url"))
     return E.ranked_documents(rows, "pages")
