@@ -151,7 +151,7 @@ def beir_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 def _diagnosed(spark: SparkSession, d: str) -> DataFrame:
     pool = search._reranked(spark, d)
     got = _ranked_docs(spark, d, pool).where("rank <= 10").groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("long")).alias("retrieved"))
-    kids = data.child_rows(spark, d).select("child_id", "page_id").distinct()
+    kids = search.only(data.child_rows(spark, d).select("child_id", "page_id"), pool, "child_id").distinct()
     evidence = search.evidence_of(spark, d, pool).join(kids, "child_id").groupBy("query_id").agg(F.collect_set("page_id").alias("evidence"))
     rows = data.queries(spark, d).select("query_id", F.array("query_id").alias("gold")).join(got, "query_id", "left").join(evidence, "query_id", "left")
     return E.diagnostics(rows)

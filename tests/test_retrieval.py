@@ -226,3 +226,7 @@ def test_lexical_gate_cuts_what_is_found_in_arrow(spark, monkeypatch):
 
 def test_doc_dedupe_rank_cuts_the_pool_in_arrow(spark, monkeypatch):
     assert tokens_of_queries_only(spark, monkeypatch, "doc_dedupe_rank").count() > 0
+
+
+def test_beir_diagnostics_cuts_the_pool_in_arrow(spark, monkeypatch):
+    assert tokens_of_queries_only(spark, monkeypatch, "beir_diagnostics").count() > 0
