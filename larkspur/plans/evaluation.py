@@ -13,6 +13,7 @@ from larkspur.operators import retrieval as R
 from larkspur.plans import data, search
 from larkspur.plans.memory import SNAP
 from larkspur.plans.registry import query
+from larkspur.session import keep
 
 _SETS = f"""
 p AS ({SNAP.format(c='prior_snapshot')}), g AS ({SNAP.format(c='gold_final_snapshot')}), q AS ({SNAP.format(c='list_concat(gold_preserved_snapshot, gold_extracted_snapshot)')}),
@@ -172,7 +173,7 @@ def consistency_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval against answer: whether the gold page was retrieved, and whether the evidence covers the question."""
     pool = search._reranked(spark, d)
     got = _ranked_docs(spark, d, pool).where("rank <= 10").select("query_id", (F.col("doc_id").cast("long") == F.col("query_id")).alias("hit")).groupBy("query_id").agg(F.max("hit").alias("hit"))
-    told = search._status(spark, d, search.evidence_of(spark, d, pool)).join(got, "query_id", "left")
+    told = search._status(spark, d, keep(search.evidence_of(spark, d, pool), "evidence")).join(got, "query_id", "left")
     return E.consistency(told.select(F.coalesce("hit", F.lit(False)).alias("hit"), (F.col("status") == "sufficient").alias("correct")))
 
 

@@ -230,3 +230,7 @@ def test_doc_dedupe_rank_cuts_the_pool_in_arrow(spark, monkeypatch):
 
 def test_beir_diagnostics_cuts_the_pool_in_arrow(spark, monkeypatch):
     assert tokens_of_queries_only(spark, monkeypatch, "beir_diagnostics").count() > 0
+
+
+def test_fit_request_cuts_the_evidence_in_arrow(spark, monkeypatch):
+    assert tokens_of_queries_only(spark, monkeypatch, "fit_request").count() > 0
