@@ -234,3 +234,91 @@ def test_beir_diagnostics_cuts_the_pool_in_arrow(spark, monkeypatch):
 
 def test_fit_request_cuts_the_evidence_in_arrow(spark, monkeypatch):
     assert tokens_of_queries_only(spark, monkeypatch, "fit_request").count() > 0
+
+
+def test_texts_without_cjk_are_cut_together(spark, monkeypatch):
+    def one_by_one(cjk, suffixes):
+        def start():
+            def tokens(text):
+                raise AssertionError("a text cut alone")
+
+            return tokens
+
+        return start
+
+    monkeypatch.setattr(R, "_tokenizer", one_by_one)
+    docs = spark.createDataFrame([(1, "Été: Running a_b_a"), (2, ""), (3, "two  words")], "doc_id long, text string")
+    got = {(r.doc_id, r.token): (r.tf, r.dl) for r in R.postings(docs).collect()}
+    assert got == {(1, "t"): (1, 6), (1, "running"): (1, 6), (1, "runn"): (1, 6), (1, "a"): (2, 6), (1, "b"): (1, 6), (3, "two"): (1, 3), (3, "words"): (1, 3), (3, "word"): (1, 3)}
+
+
+@pytest.mark.parametrize("width", [1, 200, 1 << 22])
+def test_cut_together_or_alone_texts_have_the_same_entries(width):
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from larkspur.functions import text as T
+
+    r = random.Random(3)
+    signs = "abSseEdgiIngly_ _-.漢字語éÄ0 9\n\tß日本K~"
+    texts = ["".join(r.choices(signs if k % 3 else signs.replace("漢字語", "").replace("日本", ""), k=r.randint(0, 40))) for k in range(400)]
+    start = R._tokenizer(T.CJK, T.SUFFIXES)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(texts)], ["doc_id", "row", "text"])
+    for asked in (None, frozenset([b"ing", b"s", "漢".encode()])):
+        got = {}
+        for b in R._entries("doc_id", start, asked, width=width)(iter([batch.slice(0, 150), batch.slice(150)])):
+            got |= {k: (dl, {x["token"]: x["tf"] for x in e}) for k, dl, e in zip(*(b.column(c).to_pylist() for c in ("doc_id", "dl", "e")))}
+        for k, text in enumerate(texts):
+            parts = Counter(x for t in start()(text.encode()) for x in t.split(b"_") if x)
+            assert got[k] == (sum(parts.values()), {t.decode(): n for t, n in parts.items() if asked is None or t in asked})
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_repeated_rows_count_once_without_a_shuffle_of_entries(spark, few):
+    docs = spark.createDataFrame([(1, "red apple"), (1, "red apple"), (1, "red apple"), (2, "plum"), (2, "pear"), (3, "plum")], "doc_id long, text string").repartition(4)
+    places = R.places(docs)
+    assert "Exchange" not in places._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    rows_of = lambda index: sorted((r.doc_id, r.dl, sorted(x.token for x in r.e)) for r in index.collect())
+    assert rows_of(R.once(R.keep(places, "entries"), few=few)) == rows_of(R.entries(docs, repeats=True)) == rows_of(R.entries(docs.distinct()))
+
+
+def test_terms_in_arrow_are_those_of_the_expression(spark):
+    from larkspur.functions import text as T
+
+    asks = ["Running runs_ed _x__ ab_ab s ss 漢字語A 語", "漢", "湖水 x", "", None, "___", "Words, words: ÄRunnings été", "é漢 b 漢"]
+    df = R.with_terms(spark.createDataFrame([(q,) for q in asks], "query string"))
+    assert all(r[0] == r[1] for r in df.select("terms", T.query_terms(F.col("query"))).collect())
+
+
+def test_parents_of_children_are_those_of_the_aggregate(spark):
+    rows = [(1, 10, 1, 0.9), (1, 10, 3, 0.5), (1, 20, 2, 0.9), (1, None, 4, 0.4), (1, 30, 5, 0.4), (1, 10, 6, 0.0), (2, 20, 1, 0.0), (2, 10, 2, 0.0)]
+    kids = spark.createDataFrame(rows, "query_id long, parent_id long, rerank_rank int, rerank_score double")
+    want = kids.join(R.parent_aggregate(kids).drop("best"), ["query_id", "parent_id"])
+    rows_of = lambda df: sorted((r.query_id, r.parent_id, r.rerank_rank, r.rerank_score, r.parent_score, r.parent_rank) for r in df.collect())
+    assert rows_of(R.with_parents(kids)) == rows_of(want)
+
+
+def terms_and_tables(spark, monkeypatch, name):
+    from larkspur.functions import text as T
+    from larkspur.plans import catalog, search
+
+    made = []
+
+    def terms(query):
+        raise AssertionError("terms of queries by an expression")
+
+    def kept(df, name):
+        made.append(name)
+        return R.keep(df, name)
+
+    monkeypatch.setattr(T, "query_terms", terms)
+    monkeypatch.setattr(search, "keep", kept)
+    assert catalog.queries()[name](spark, SMALL).count() > 0
+    return made
+
+
+def test_search_local_makes_terms_once_and_no_table_of_its_pool(spark, monkeypatch):
+    made = terms_and_tables(spark, monkeypatch, "search_local")
+    assert made.count("queries") == 1 and "pool" not in made
