@@ -322,3 +322,8 @@ def terms_and_tables(spark, monkeypatch, name):
 def test_search_local_makes_terms_once_and_no_table_of_its_pool(spark, monkeypatch):
     made = terms_and_tables(spark, monkeypatch, "search_local")
     assert made.count("queries") == 1 and "pool" not in made
+
+
+def test_parent_aggregate_makes_terms_once_and_no_table_of_its_pool(spark, monkeypatch):
+    made = terms_and_tables(spark, monkeypatch, "parent_aggregate")
+    assert made.count("queries") == 1 and "pool" not in made
